@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.contracts import BY_KIND, TableContract
 from anchorline.functions.hashing import has_control_characters
-from anchorline.functions.scalar import exact_format
+from anchorline.functions.scalar import exact_format, major_minor
 
 
 def row_errors(contract: TableContract) -> Column:
@@ -83,16 +83,16 @@ def registered_model(name: Column, version: Column) -> Column:
     return F.coalesce(name.rlike(MODEL_NAME_PATTERN) & (version > 0), F.lit(False))
 
 
-def version_mismatches(logged: DataFrame, required: dict[str, str]) -> DataFrame:
+def version_mismatches(logged: DataFrame, required: DataFrame) -> DataFrame:
     """Signals whose logged major.minor differs from the required one, or is absent.
 
-    ``logged`` has ``signal`` and ``version``; unreadable versions never match.
+    ``logged`` has ``signal`` and ``version``, ``required`` has ``signal`` and ``running``;
+    unreadable versions never match.
     """
-    from anchorline.functions.scalar import major_minor
-
-    pairs = F.explode(F.create_map(*[F.lit(x) for kv in required.items() for x in kv])).alias("signal", "running")
-    spark = logged.sparkSession
-    wanted = spark.range(1).select(pairs)
-    joined = wanted.join(logged.select("signal", F.col("version").alias("pinned")), "signal", "left")
-    same = F.coalesce(major_minor(F.col("pinned")) == major_minor(F.col("running")), F.lit(False))
-    return joined.filter(~same).select("signal", "pinned", "running")
+    joined = required.join(logged.select("signal", F.col("version").alias("pinned")), "signal", "left")
+    return joined.filter(~same_series(F.col("pinned"), F.col("running"))).select("signal", "pinned", "running")
+
+
+def same_series(pinned: Column, running: Column) -> Column:
+    """Whether two three-part versions share major and minor; false when either is unreadable."""
+    return F.coalesce(major_minor(pinned) == major_minor(running), F.lit(False))
