@@ -17,19 +17,22 @@ def classify_encounters(encounters: DataFrame, patients: DataFrame, *, strict: b
     """
     people = patients.select(F.col("id").alias("patient"), "birthdate", "deathdate")
     joined = checked_lookup(encounters, people, ["patient"])
+    return joined.withColumns(
+        {"age_at_discharge": calendar_age("birthdate", "stop"), "exclusion_reason": exclusion_reason(strict)}
+    ).drop("birthdate", "deathdate")
+
+
+def exclusion_reason(strict: bool = False) -> F.Column:
+    """The first rule an encounter with its patient's dates fails, NULL when it is admitted."""
     inpatient = F.col("encounter_class") == "inpatient"
-    orphan = inpatient & F.col("stop").isNotNull() & F.col("birthdate").isNull()
-    admitted, discharged = F.to_date("start"), F.to_date("stop")
-    age = calendar_age("birthdate", "stop")
-    reason = (
+    return (
         F.when(~inpatient, EXCLUSION_REASONS[0])
         .when(F.col("stop").isNull(), EXCLUSION_REASONS[1])
-        .when(orphan, _unknown_patient(strict))
-        .when(F.col("deathdate") < admitted, EXCLUSION_REASONS[2])
-        .when(F.col("deathdate") <= discharged, EXCLUSION_REASONS[3])
-        .when(age < 18, EXCLUSION_REASONS[4])
+        .when(F.col("birthdate").isNull(), _unknown_patient(strict))
+        .when(F.col("deathdate") < F.to_date("start"), EXCLUSION_REASONS[2])
+        .when(F.col("deathdate") <= F.to_date("stop"), EXCLUSION_REASONS[3])
+        .when(calendar_age("birthdate", "stop") < 18, EXCLUSION_REASONS[4])
     )
-    return joined.withColumns({"age_at_discharge": age, "exclusion_reason": reason}).drop("birthdate", "deathdate")
 
 
 def _unknown_patient(strict: bool):
