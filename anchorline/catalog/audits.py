@@ -256,7 +256,7 @@ COUNTS = LOGS + GRID + f"""
 , refusals AS (SELECT stop AS at_ FROM encounters WHERE stop IS NOT NULL AND patient % 13 = 6),
 counts AS (SELECT boundary, window_start,
   (SELECT count(*) FROM predictions WHERE event_time >= window_start AND event_time < boundary) AS prediction_count,
-  (SELECT count(*) FROM predictions JOIN releases USING (prediction_id) WHERE event_time >= window_start AND event_time < boundary
+  (SELECT count(*) FROM predictions JOIN releases USING (prediction_id) WHERE event_time >= TIMESTAMP '{START}'
      AND released_at <= boundary) AS label_count,
   (SELECT count(*) FROM refusals WHERE at_ >= window_start AND at_ < boundary) AS refusal_count,
   (SELECT count(*) FROM predictions WHERE event_time >= window_start AND event_time < boundary AND feature_version NOT LIKE '1.1.%')
@@ -427,7 +427,8 @@ def reference_rules(spark, d):
 
 @query("realized_by_boundary", LOGS + GRID + f"""
 , known AS (SELECT boundary, score, label FROM windows JOIN (SELECT p.event_time, p.score, r.label, r.released_at
-     FROM predictions p JOIN releases r USING (prediction_id)) ON event_time >= window_start AND event_time < boundary AND released_at <= boundary),
+     FROM predictions p JOIN releases r USING (prediction_id)) ON event_time >= TIMESTAMP '{START}' AND event_time >= boundary - to_days(60) AND event_time < boundary - to_days(30)
+       AND released_at <= boundary),
 agg AS (SELECT boundary, count(*) AS n, avg(label) AS prevalence FROM known GROUP BY 1),
 auc AS (SELECT p.boundary, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS auroc
         FROM known p JOIN known n ON n.boundary = p.boundary AND n.label = 0 WHERE p.label = 1 GROUP BY 1)

@@ -6,8 +6,9 @@ half-open on the event time. Every result depends on the boundary only, never on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from anchorline.contracts import LABEL_WINDOW_DAYS
 from anchorline.functions.stats import kolmogorov_p, psi_term, two_proportion_z, two_sided_p
 from anchorline.operators.metrics import ranking
 from anchorline.operators.rank import exact_quantiles, running_totals
@@ -54,21 +55,30 @@ def window_counts(
 ) -> DataFrame:
     """Predictions, released labels, refusals and version mismatches per boundary; empty windows count 0.
 
-    A label counts when it was released at or before the boundary.
+    Predictions, mismatches and refusals count inside the window. A label counts toward every
+    boundary at or after its release.
     """
     mismatch = F.lit(False)
     for column, running in required_versions.items():
         mismatch = mismatch | ~same_series(F.col(column), F.lit(running))
-    joined = predictions.join(labels.select("prediction_id", "released_at"), "prediction_id", "left")
-    per = in_windows(joined, "event_time", start, end).groupBy("boundary").agg(
-        F.count("*").alias("prediction_count"),
-        F.count_if(F.col("released_at") <= F.col("boundary")).alias("label_count"),
-        F.count_if(mismatch).alias("version_mismatch_count"),
+    per = in_windows(predictions, "event_time", start, end).groupBy("boundary").agg(
+        F.count("*").alias("prediction_count"), F.count_if(mismatch).alias("version_mismatch_count")
     )
     refused = in_windows(refusals, "at", start, end).groupBy("boundary").agg(F.count("*").alias("refusal_count"))
+    mine = predictions.filter(F.col("event_time") >= F.lit(start).cast("timestamp")).select("prediction_id")
+    first = F.greatest(F.lit(1), F.ceil((F.unix_timestamp("released_at") - _seconds(start)) / (STEP_DAYS * _DAY)))
+    released = labels.join(mine, "prediction_id").groupBy(
+        (F.lit(start).cast("timestamp") + F.make_dt_interval((first * STEP_DAYS).cast("int"))).alias("boundary")
+    ).agg(F.count("*").alias("_released"))
     counts = ("prediction_count", "label_count", "refusal_count", "version_mismatch_count")
-    joined = grid(predictions.sparkSession, start, end).join(per, "boundary", "left").join(refused, "boundary", "left")
-    return joined.select("boundary", "window_start", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    joined = grid(predictions.sparkSession, start, end)
+    for table in (per, refused, released):
+        joined = joined.join(table, "boundary", "left")
+    # One row per boundary of the run.
+    so_far = Window.orderBy("boundary").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn("label_count", F.sum("_released").over(so_far)).select(
+        "boundary", "window_start", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]
+    )
 
 
 def long_form(rows: DataFrame, signals: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -146,10 +156,19 @@ def proportion_tests(reference: DataFrame, live: DataFrame) -> DataFrame:
     return joined.select("boundary", "signal", z.alias("z")).withColumn("p_value", two_sided_p(F.col("z")))
 
 
-def realized_by_boundary(predictions: DataFrame, labels: DataFrame, start: str, end: str) -> DataFrame:
-    """Count, prevalence and AUROC of the labels known at each boundary; NULL where undefined."""
-    joined = predictions.join(labels.select("prediction_id", "label", "released_at"), "prediction_id")
-    known = in_windows(joined, "event_time", start, end).filter(F.col("released_at") <= F.col("boundary"))
+def realized_by_boundary(
+    predictions: DataFrame, labels: DataFrame, start: str, end: str, lag_days: int = LABEL_WINDOW_DAYS
+) -> DataFrame:
+    """Count, prevalence and AUROC of the labels known at each boundary; NULL where undefined.
+
+    A label is released a label window after its discharge at the earliest, so the discharge
+    window ends ``lag_days`` before the boundary; with 0 it is the boundary's own window.
+    """
+    run = predictions.filter(F.col("event_time") >= F.lit(start).cast("timestamp"))
+    joined = run.join(labels.select("prediction_id", "label", "released_at"), "prediction_id").withColumn(
+        "_matured", F.col("event_time") + F.make_dt_interval(F.lit(lag_days))
+    )
+    known = in_windows(joined, "_matured", start, end).filter(F.col("released_at") <= F.col("boundary"))
     found = ranking(known.select("boundary", "score", "label"), ["boundary"])
     return grid(predictions.sparkSession, start, end).join(found, "boundary", "left").select(
         "boundary", F.coalesce("rows", F.lit(0)).alias("count"), "prevalence", "auroc"
