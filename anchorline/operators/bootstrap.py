@@ -10,6 +10,7 @@ from anchorline.contracts import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED
 from anchorline.functions.hashing import uniform
 from anchorline.operators.metrics import ranking, summarize_all
 from anchorline.operators.rank import with_row_number
+from anchorline.session import materialize
 
 METRICS = ("auroc", "pr_auc", "ece", "brier")
 
@@ -54,7 +55,8 @@ def bootstrap_intervals(
     A replicate with a single label class is skipped; ``replicates_used`` counts the rest. The
     bounds are NULL when no replicate can be used.
     """
-    resampled = resampled_rows(rows.select(entity, row_id, "score", "label"), entity, replicates, seed)
+    # Every metric reads the replicates, so they are drawn once.
+    resampled = materialize(resampled_rows(rows.select(entity, row_id, "score", "label"), entity, replicates, seed))
     compute = summarize_all if set(metrics) - {"auroc", "pr_auc"} else lambda d, _id, **k: ranking(d, **k)
     point = compute(rows, row_id)
     each = compute(resampled, row_id, groups=["replicate"], weight="weight").filter(F.col("auroc").isNotNull())

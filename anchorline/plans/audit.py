@@ -155,3 +155,18 @@ def missing_features(predictions: DataFrame, names: tuple[str, ...]) -> DataFram
         F.when(F.col("features")[n].isNull() | F.isnan(F.col("features")[n]), F.lit(n)) for n in names
     ]))
     return predictions.select("encounter_id", lacking.alias("missing")).filter(F.size("missing") > 0)
+
+
+def serving_skew(streamed: DataFrame, batch: DataFrame) -> DataFrame:
+    """Discharges whose streamed features differ from the batch ones, with the columns; exact."""
+    from anchorline.operators.joins import keyed_difference
+
+    return keyed_difference(streamed.select(*batch.columns), batch, ["encounter_id"])
+
+
+def score_gaps(checks: DataFrame) -> DataFrame:
+    """Rows whose score did not reproduce, with the absolute gap and its distance in doubles."""
+    from anchorline.functions.ulps import ulp_distance
+
+    broken = checks.filter(~F.col("score_matches") & F.col("rescored").isNotNull())
+    return broken.select("encounter_id", "gap", ulp_distance(F.col("logged_score"), F.col("rescored")).alias("ulps"))
