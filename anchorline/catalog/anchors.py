@@ -117,7 +117,10 @@ def hashes(spark, d):
     )
 
 
-@query("rekey_ids")
+@query("rekey_ids", """
+SELECT id, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || h2 || h[18:20] || '-' || h[21:32] AS rekeyed
+FROM (SELECT CAST(id AS VARCHAR) AS id, h, substr('89ab', CAST(CAST('0x' || h[17:17] AS INTEGER) % 4 + 1 AS INTEGER), 1) AS h2
+  FROM (SELECT id, sha1(unhex('6f3c2f0e9d3b4c6a8f1e2b7a9c4d5e61') || encode('baseline/' || id)) AS h FROM encounters))""")
 def rekeyed_ids(spark, d):
     raw = testdata.raw_population(spark, d)["encounters"]
     return raw.select(F.col("Id").alias("id"), rekey("baseline", F.col("Id")).alias("rekeyed"))
