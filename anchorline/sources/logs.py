@@ -190,22 +190,26 @@ class EventStore:
     def record(self, name: str, rows: DataFrame) -> tuple[int, DataFrame]:
         """Append the new rows of a batch; how many there were, and the conflicts.
 
-        New rows stay although others conflict. Recording a batch again changes nothing.
+        New rows stay although others conflict. Recording a batch again changes nothing. Rows of
+        a batch carry no order, so of two that contradict each other the smaller one stands.
         """
         contract = TABLES[name]
         key = [PART, *contract.key]
-        incoming = rows.select(*contract.payload).withColumn(PART, self.part(contract))
+        incoming = materialize(rows.select(*contract.payload).withColumn(PART, self.part(contract)))
+        # At most one value per bucket or calendar month, so the scan is pruned by a plain filter.
+        parts = [r[0] for r in incoming.select(PART).distinct().collect()]
+        stored = self.table(name).filter(F.col(PART).isin(*parts))
         values = [c for c in contract.payload if c not in contract.key]
-        seq = values or [PART]
-        if not values:
-            new = missing_rows(incoming.distinct(), self.table(name), key)
-            conflicts = self.spark.createDataFrame([], "differing ARRAY<STRING>")
-        else:
+        if values:
             ordered = incoming.withColumns({f"_seq_{c}": F.col(c) for c in values})
-            new, conflicts = record_batch(ordered, self.table(name), key, [f"_seq_{c}" for c in seq])
+            new, conflicts = record_batch(ordered, stored, key, [f"_seq_{c}" for c in values])
             conflicts = materialize(conflicts)
+        else:
+            new = missing_rows(incoming.distinct(), stored, key)
+            conflicts = self.spark.createDataFrame([], "differing ARRAY<STRING>")
         fixed = materialize(new.select(*contract.payload, PART))
-        fixed.write.mode("append").partitionBy(PART).parquet(f"{self.path}/{name}")
+        # Files are gathered per partition; a partition that takes most of the batch is split.
+        fixed.hint("rebalance", PART).write.mode("append").partitionBy(PART).parquet(f"{self.path}/{name}")
         return fixed.count(), conflicts
 
 

@@ -20,10 +20,15 @@ def build_manifest(spark: SparkSession, folder: str, pattern: str = "*.csv") ->
         spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(folder)
         .groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("lines"))
     )
+    # A scan skips empty files, so the file index is asked for those.
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path STRING")
     name = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), f"^{folder.rstrip('/')}/", "")
     plain = lambda df: df.withColumn("path", name)
-    return plain(small.unionByName(large)).join(plain(lines), "path", "left").select(
-        "path", "sha256", F.col("length").alias("bytes"),
+    hashed = plain(small.unionByName(large)).withColumn("_read", F.lit(True))
+    return plain(listed).join(hashed, "path", "left").join(plain(lines), "path", "left").select(
+        "path",
+        F.when(F.col("_read"), F.col("sha256")).otherwise(F.sha2(F.lit(""), 256)).alias("sha256"),
+        F.coalesce("length", F.lit(0)).alias("bytes"),
         F.greatest(F.coalesce("lines", F.lit(0)) - 1, F.lit(0)).alias("rows"),
     )
 
