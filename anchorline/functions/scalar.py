@@ -17,10 +17,6 @@ def micros(instant: Column | str) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def from_micros(value: Column | str) -> Column:
-    return F.timestamp_micros(F.col(value) if isinstance(value, str) else value)
-
-
 def iso(instant: Column | str) -> Column:
     """An instant in the wire format, ``2024-01-31T08:00:00Z``."""
     column = F.col(instant) if isinstance(instant, str) else instant
@@ -51,17 +47,31 @@ def clip(value: Column, low: float, high: float) -> Column:
     return F.when(value.isNull(), F.lit(float(high))).otherwise(bounded)
 
 
+# The exact shape of each text format. A text of this shape is read by a plain cast,
+# which needs no formatter and raises nothing, and prints back as it was written.
+SHAPES = {
+    TIMESTAMP_PATTERN: r"^(?!0000)\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$",
+    DATE_PATTERN: r"^(?!0000)\d{4}-\d{2}-\d{2}$",
+}
+
+
+def parse_exact(value: Column | str, pattern: str) -> Column:
+    """The instant of a text in exactly this format, NULL for any other text."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(value.rlike(SHAPES[pattern]), value.try_cast("timestamp"))
+
+
 def parse_instant(value: Column | str) -> Column:
-    return F.try_to_timestamp(F.col(value) if isinstance(value, str) else value, F.lit(TIMESTAMP_PATTERN))
+    return parse_exact(value, TIMESTAMP_PATTERN)
 
 
 def parse_date(value: Column | str) -> Column:
-    return F.try_to_timestamp(F.col(value) if isinstance(value, str) else value, F.lit(DATE_PATTERN)).cast("date")
+    return parse_exact(value, DATE_PATTERN).cast("date")
 
 
 def exact_format(value: Column, pattern: str) -> Column:
-    """True when the text parses and prints back unchanged."""
-    return F.date_format(F.try_to_timestamp(value, F.lit(pattern)), pattern).eqNullSafe(value)
+    """True when the text is a real instant or date in exactly this format."""
+    return parse_exact(value, pattern).isNotNull()
 
 
 def due_at(stop: Column | str, days: int) -> Column:
@@ -69,10 +79,6 @@ def due_at(stop: Column | str, days: int) -> Column:
     return stop + F.make_dt_interval(F.lit(days))
 
 
-def qualifies(flag_codes: tuple[str, ...], code: Column) -> Column:
-    return code.isin(*flag_codes)
-
-
 def major_minor(version: Column) -> Column:
     """``major.minor`` of a three-part version, NULL when it is not one."""
     return F.when(version.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+$"), F.struct(

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from anchorline.contracts import BY_KIND, KIND_ORDER, TABLES, TableContract
+from anchorline.contracts import KIND_ORDER, TABLES, TableContract
 from anchorline.operators.rank import with_row_number
 
 # A key behind this prefix sorts after every timestamp.
@@ -129,6 +129,3 @@ def splice(parts: dict[str, DataFrame], segment_list: list[Segment], at: str = "
     tagged = [df.withColumn("population", F.lit(name)) for name, df in parts.items()]
     return reduce(DataFrame.unionByName, tagged).filter(owned(segment_list, "population", at))
 
-
-def contract_of(kind: str) -> TableContract:
-    return BY_KIND[kind]

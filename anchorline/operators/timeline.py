@@ -57,6 +57,11 @@ class Lookup:
         return f"{self.measure}__{'upto' if self.inclusive else 'before'}"
 
 
+# Whole-second clocks: at most 2,592,000 instants in a slice, about 1,200 slices in a century.
+MONTHLY = (30 * DAY,)
+# Finer clocks: slices of a day, then of a minute.
+FINE = (DAY, MINUTE)
+
 FRAMES = {"before": "1 PRECEDING", "upto": "CURRENT ROW"}
 
 
@@ -122,7 +127,7 @@ def as_of(
     at: str,
     measures: list[Measure],
     lookups: list[Lookup],
-    slices: tuple[int, ...] = (DAY,),
+    slices: tuple[int, ...] = MONTHLY,
 ) -> DataFrame:
     """Add one column per lookup to every anchor; anchors keep their rows and columns.
 
@@ -182,7 +187,7 @@ def interval_edges(intervals: DataFrame, entity: str, start: str, stop: str, at:
     )
 
 
-def trailing_count(anchors, events, *, entity, at, span, counts, slices=(DAY,)):
+def trailing_count(anchors, events, *, entity, at, span, counts, slices=MONTHLY):
     """Events of the entity with ``anchor - span <= at < anchor``; far edge in, near edge out.
 
     ``counts`` maps an output column to a predicate over the events.
@@ -196,7 +201,7 @@ def trailing_count(anchors, events, *, entity, at, span, counts, slices=(DAY,)):
     )
 
 
-def last_before(anchors, events, *, entity, at, name, slices=(DAY,)):
+def last_before(anchors, events, *, entity, at, name, slices=MONTHLY):
     """The latest event instant strictly before the anchor, NULL without one."""
     return as_of(
         anchors, events.select(entity, at, F.col(at).alias(name)), entity=entity, at=at,
@@ -204,7 +209,7 @@ def last_before(anchors, events, *, entity, at, name, slices=(DAY,)):
     ).withColumnRenamed(f"{name}__v", name)
 
 
-def active_count(anchors, intervals, *, entity, at, start, stop, name, slices=(DAY,)):
+def active_count(anchors, intervals, *, entity, at, start, stop, name, slices=MONTHLY):
     """Intervals of the entity with ``start <= anchor`` and no stop or ``stop > anchor``."""
     return as_of(
         anchors, interval_edges(intervals, entity, start, stop, at, name), entity=entity, at=at,
@@ -212,7 +217,7 @@ def active_count(anchors, intervals, *, entity, at, start, stop, name, slices=(D
     ).withColumnRenamed(f"{name}__v", name)
 
 
-def forward_count(anchors, events, *, entity, at, span, name, slices=(DAY,)):
+def forward_count(anchors, events, *, entity, at, span, name, slices=MONTHLY):
     """Events of the entity with ``anchor < at <= anchor + span``."""
     out = as_of(
         anchors, events.select(entity, at, F.lit(1).alias(name)), entity=entity, at=at,
@@ -223,7 +228,7 @@ def forward_count(anchors, events, *, entity, at, span, name, slices=(DAY,)):
     return out.withColumn(name, F.col("_ahead") - F.col("_now")).drop("_now", "_ahead")
 
 
-def next_at_or_after(anchors, events, *, entity, at, name, slices=(DAY,)):
+def next_at_or_after(anchors, events, *, entity, at, name, slices=MONTHLY):
     """The earliest event instant at or after the anchor: "last before" on a mirrored axis."""
     mirrored = events.select(entity, (-F.col(at)).alias(at), (-F.col(at)).alias(name))
     out = as_of(
@@ -231,6 +236,3 @@ def next_at_or_after(anchors, events, *, entity, at, name, slices=(DAY,)):
         measures=[Measure(name, "max")], lookups=[Lookup(f"{name}__v", name, inclusive=True)], slices=slices,
     )
     return out.withColumns({at: -F.col(at), name: -F.col(f"{name}__v")}).drop(f"{name}__v")
-
-
-FINE = (DAY, MINUTE)

@@ -57,13 +57,22 @@ def build_cohort(encounters: DataFrame, patients: DataFrame, *, strict: bool = F
 
 
 def exclusion_counts(encounters: DataFrame, patients: DataFrame) -> DataFrame:
-    """Rows per first-failed rule."""
-    return (
-        classify_encounters(encounters, patients)
+    """Rows per first-failed rule.
+
+    The class rule needs no demographics, so the bulk of the table is counted where it is read
+    and only inpatient stays are joined.
+    """
+    inpatient = F.col("encounter_class") == "inpatient"
+    others = encounters.filter(~inpatient).groupBy(F.lit(EXCLUSION_REASONS[0]).alias("exclusion_reason")).agg(
+        F.count("*").alias("encounters")
+    )
+    stays = (
+        classify_encounters(encounters.filter(inpatient), patients)
         .filter(F.col("exclusion_reason").isNotNull())
         .groupBy("exclusion_reason")
         .agg(F.count("*").alias("encounters"))
     )
+    return others.unionByName(stays)
 
 
 def with_cutoff(cohort: DataFrame, cutoff: str) -> DataFrame:

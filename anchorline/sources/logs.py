@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from anchorline.contracts import TABLES, TableContract
 from anchorline.operators.joins import missing_rows
 from anchorline.operators.rank import with_row_number
-from anchorline.operators.upsert import first_per_key, record_batch
+from anchorline.operators.upsert import record_batch
 from anchorline.session import materialize
 
 PART = "part"
@@ -221,9 +221,3 @@ def preload(store: EventStore, raw: dict[str, DataFrame]) -> DataFrame:
         loaded, conflicts = store.record(name, df)
         out.append((TABLES[name].kind, loaded, total - loaded, conflicts.count()))
     return store.spark.createDataFrame(out, "kind STRING, loaded BIGINT, already_present BIGINT, conflicts BIGINT")
-
-
-__all__ = [
-    "EventStore", "LabelLog", "ParquetLog", "PredictionLog", "ReferenceExists", "ReferenceStore", "UnscoredDischarge",
-    "first_per_key", "first_scores", "labels_to_write", "logged_features", "preload",
-]

@@ -45,12 +45,11 @@ def handler_rows(parsed: DataFrame) -> DataFrame:
         medication=F.concat_ws("|", "ENCOUNTER", "CODE", "START", "STOP"),
         condition=F.concat_ws("|", "ENCOUNTER", "CODE", "START"),
     )
-    time = lambda c: F.unix_micros(
-        F.coalesce(F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")), F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd")))
-    )
-    day = lambda c: F.unix_date(F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd")).cast("date"))
+    # The rows are validated: a text is empty or an exact instant or date.
+    time = lambda c: F.unix_micros(F.col(c).try_cast("timestamp"))
+    day = lambda c: F.unix_date(F.col(c).try_cast("date"))
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(o)) for k, o in KIND_ORDER.items()], F.lit(-1))
-    bits = F.expr(history_bits().replace("code", "CODE").replace("startswith(CODE", "startswith(CODE").replace("system", "SYSTEM"))
+    bits = F.expr(history_bits())
     return parsed.select(
         "entity", "kind", F.coalesce("at", F.lit("")).alias("at"), order.alias("kind_order"),
         row_key(tuple(FIELDS)).alias("row_key"), F.concat_ws("|", "kind", key).alias("event_key"), "input_hash",

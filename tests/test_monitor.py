@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
+from test_features import random_population
 
 from anchorline.operators import monitor
 from anchorline.plans import audit, training
 from anchorline.plans.reference import build_reference, export_arrays
-from anchorline.plans.scoring import EmptyBatch, batch_report, select_held_out_batch
+from anchorline.plans.scoring import EmptyBatch, batch_report, run_batch, select_held_out_batch
+from anchorline.sources.logs import PredictionLog
 from anchorline.sources.testdata import population as adapter
 
 
@@ -128,3 +130,18 @@ def test_held_out_batch_takes_whole_histories(spark):
     assert report.partition.filter("bucket = 'unscored'").count() == batch.anchors.count() - 3
     with pytest.raises(EmptyBatch):
         select_held_out_batch(frames, cutoff="2090-01-01", count=5, seed=3)
+
+
+def test_batch_run_reproduces_its_log(spark, population, tmp_path):
+    random_population(population, 23, patients=10)
+    raw = population.raw(spark)
+    score = lambda df: df.withColumn("score", F.col("los_days") / 100 + F.col("age_at_discharge") / 1000)
+    log = PredictionLog(spark, str(tmp_path / "log"))
+    options = dict(cutoff="2023-06-01", count=3, seed=1, model=("m", 1))
+    run = run_batch(raw, score, log, **options)
+    assert run.ok and run.report.partition.count() == run.provenance.count() > 3
+    assert run.example.count() == 1
+    # The same batch again logs nothing new and still reproduces; another scorer does not.
+    before = log.read().count()
+    assert run_batch(raw, score, log, **options).ok and log.read().count() == before
+    assert not run_batch(raw, lambda df: score(df).withColumn("score", F.col("score") + 1), log, **options).ok
