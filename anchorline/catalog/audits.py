@@ -29,13 +29,13 @@ LOGS = f"""
      || coalesce({ISO.format('stop')}, '') || '"}}}}') AS h FROM encounters),
 predictions AS (
   SELECT encounter_id AS prediction_id, patient_id, encounter_id, stop AS event_time,
-         CASE WHEN encounter_id % 61 = 2 THEN upper(h) ELSE h END AS input_hash, 'readmission-risk' AS model_name,
+         CASE WHEN encounter_id % 61 = 2 THEN upper(h) ELSE h END AS input_hash, 'readmission-trees' AS model_name,
          CAST(1 + CAST(encounter_id % 2 = 0 AS INTEGER) AS INTEGER) AS model_version,
          CASE WHEN encounter_id % 17 = 0 THEN '1.0.4' ELSE '1.1.3' END AS feature_version, '1.0.0' AS cohort_version,
          CASE WHEN encounter_id % 31 = 3 THEN score + 0.001 ELSE score END AS score
   FROM scored JOIN hashes USING (encounter_id) WHERE encounter_id % 10 <> 4
   UNION ALL
-  SELECT id, patient, id, stop, h, 'readmission-risk', 1, '1.1.3', '1.0.0', 0.5
+  SELECT id, patient, id, stop, h, 'readmission-trees', 1, '1.1.3', '1.0.0', 0.5
   FROM classified JOIN hashes ON encounter_id = id WHERE reason = 'under_18' AND id % 5 = 0),
 releases AS (
   SELECT prediction_id, encounter_id, CASE WHEN encounter_id % 41 = 5 THEN 1 - label ELSE label END AS label,
@@ -52,7 +52,7 @@ def predictions(spark, d):
     hashes = audit.source_hashes(stays).withColumn("encounter_id", F.col("encounter_id").cast("long"))
     log = rows.join(hashes, "encounter_id").filter("encounter_id % 10 <> 4").selectExpr(
         "encounter_id AS prediction_id", "patient_id", "encounter_id", "stop AS event_time",
-        "if(encounter_id % 61 = 2, upper(recomputed_hash), recomputed_hash) AS input_hash", "'readmission-risk' AS model_name",
+        "if(encounter_id % 61 = 2, upper(recomputed_hash), recomputed_hash) AS input_hash", "'readmission-trees' AS model_name",
         "1 + int(encounter_id % 2 = 0) AS model_version", "if(encounter_id % 17 = 0, '1.0.4', '1.1.3') AS feature_version",
         "'1.0.0' AS cohort_version", "if(encounter_id % 31 = 3, score + 0.001D, score) AS score",
     )
@@ -62,7 +62,7 @@ def predictions(spark, d):
     minors = classify_encounters(f["encounters"], f["patients"]).filter("exclusion_reason = 'under_18' AND id % 5 = 0")
     extra = minors.join(hashes, F.col("id") == F.col("encounter_id")).selectExpr(
         "id AS prediction_id", "patient AS patient_id", "id AS encounter_id", "stop AS event_time",
-        "recomputed_hash AS input_hash", "'readmission-risk' AS model_name", "1 AS model_version",
+        "recomputed_hash AS input_hash", "'readmission-trees' AS model_name", "1 AS model_version",
         "'1.1.3' AS feature_version", "'1.0.0' AS cohort_version", "0.5D AS score",
     )
     return log.unionByName(extra)

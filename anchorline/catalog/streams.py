@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from anchorline.catalog import common
@@ -21,14 +23,26 @@ from anchorline.streaming import ingest as arrival
 from anchorline.streaming import monitoring
 
 
+@contextmanager
+def one_partition_per_core(spark):
+    """State keeps the partition count of its query's first run; these queries run on one machine."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _ingested(spark, lines, name):
     """Outcomes of a set of event lines, run through the stateful stream."""
     arrival.use_state_store(spark)
     source, out = scratch_path(spark, f"{name}-lines"), scratch_path(spark, f"{name}-out")
     lines.write.text(source)
-    monitoring.run_available(
-        arrival.ingest(stream_lines(spark, source)), scratch_path(spark, f"{name}-checkpoint"), path=out
-    )
+    with one_partition_per_core(spark):
+        monitoring.run_available(
+            arrival.ingest(stream_lines(spark, source)), scratch_path(spark, f"{name}-checkpoint"), path=out
+        )
     return spark.read.parquet(out)
 
 
@@ -89,7 +103,8 @@ def stream_window_counts(spark, d):
     events = _file_stream(spark, predictions(spark, d).select("encounter_id", "event_time"), "window-events")
     out = scratch_path(spark, "window-counts")
     counts = monitoring.sliding_counts(events.withWatermark("event_time", "0 seconds"), "event_time", START)
-    monitoring.run_available(counts, scratch_path(spark, "window-checkpoint"), path=out)
+    with one_partition_per_core(spark):
+        monitoring.run_available(counts, scratch_path(spark, "window-checkpoint"), path=out)
     return spark.read.parquet(out).select(iso("boundary").alias("boundary"), "events")
 
 

@@ -12,7 +12,7 @@ DATE_PATTERN = "yyyy-MM-dd"
 COHORT_VERSION = "1.0.0"
 FEATURE_VERSION = "1.1.0"
 LABEL_VERSION = "1.0.0"
-MODEL_NAME = "readmission-risk"
+MODEL_NAME = "readmission-trees"
 
 # Durations of the feature and label rules.
 WINDOW_DAYS = 180

@@ -39,19 +39,38 @@ def history_bits() -> str:
     return " + ".join(bits)
 
 
-def feature_events(encounters: DataFrame, medications: DataFrame, conditions: DataFrame) -> DataFrame:
+def stay_events(encounters: DataFrame, *, admissions: bool = False) -> DataFrame:
+    """Ended inpatient and emergency stays, dated by their stop.
+
+    ``admissions`` adds the start of every inpatient stay, open ones included, in the same pass.
+    """
+    inpatient = "encounter_class = 'inpatient'"
+    ended = (
+        f"struct(unix_micros(stop) AS at, int({inpatient}) AS inpatient, int(NOT {inpatient}) AS emergency, "
+        f"if({inpatient}, unix_micros(stop), NULL) AS last_inpatient, 0 AS admissions)"
+    )
+    began = (
+        f"struct(if({inpatient}, unix_micros(start), NULL) AS at, 0 AS inpatient, 0 AS emergency, "
+        "CAST(NULL AS BIGINT) AS last_inpatient, 1 AS admissions)"
+    )
+    names = ["inpatient", "emergency", "last_inpatient", *(["admissions"] if admissions else [])]
+    return (
+        encounters.filter("encounter_class IN ('inpatient', 'emergency')")
+        .selectExpr("patient", f"explode(array({', '.join([ended, began] if admissions else [ended])})) AS e")
+        .filter("e.at IS NOT NULL")
+        .selectExpr("patient", "e.at AS at", *[f"e.{n} AS {n}" for n in names])
+    )
+
+
+def feature_events(
+    encounters: DataFrame, medications: DataFrame, conditions: DataFrame, *, admissions: bool = False
+) -> DataFrame:
     """Everything a feature reads, as dated weights of one patient.
 
     A condition date stands for its midnight: an instant of that day is at or after it, and a
     date compares with the anchor's date exactly as its midnight compares with the anchor.
     """
-    stays = encounters.filter("stop IS NOT NULL AND encounter_class IN ('inpatient', 'emergency')").selectExpr(
-        "patient",
-        "unix_micros(stop) AS at",
-        "int(encounter_class = 'inpatient') AS inpatient",
-        "int(encounter_class = 'emergency') AS emergency",
-        "if(encounter_class = 'inpatient', unix_micros(stop), NULL) AS last_inpatient",
-    )
+    stays = stay_events(encounters, admissions=admissions)
     courses = interval_edges(
         medications.selectExpr("patient", "unix_micros(start) AS start", "unix_micros(stop) AS stop"),
         "patient", "start", "stop", "at", "medications",

@@ -46,8 +46,8 @@ def build_training_rows(frames: dict[str, DataFrame], cohort: DataFrame | None =
     if cohort is None:
         cohort = build_cohort(frames["encounters"], frames["patients"])
     events = feature_plan.feature_events(
-        frames["encounters"], frames["medications"], frames["conditions"]
-    ).unionByName(label_events(frames["encounters"]), allowMissingColumns=True)
+        frames["encounters"], frames["medications"], frames["conditions"], admissions=True
+    )
     found = as_of(
         feature_plan.anchor_rows(cohort), events, entity="patient", at="at",
         measures=feature_plan.MEASURES + MEASURES, lookups=feature_plan.LOOKUPS + LOOKUPS,

@@ -41,6 +41,11 @@ def owned_events(parts: dict[str, DataFrame], segments: list[Segment], at: str =
     return out
 
 
+def newest(df: DataFrame, at: str) -> int | None:
+    """The latest instant of a column in microseconds, free of any local time zone."""
+    return df.agg(F.max(F.unix_micros(at))).first()[0]
+
+
 class ReleaseLog(ParquetLog):
     SCHEMA = "encounter_id {id}, label INT, due_at TIMESTAMP, released_at TIMESTAMP"
 
@@ -56,17 +61,17 @@ def release_labels(schedule: DataFrame, log: ReleaseLog, at: str) -> Callable[[D
     """
 
     def step(batch: DataFrame, _batch_id: int) -> None:
-        now = batch.agg(F.max(at)).first()[0]
+        now = newest(batch, at)
         if now is None:
             return
         held = log.read()
-        last = held.agg(F.max("due_at")).first()[0]
-        due = schedule.filter(F.col("due_at") <= F.lit(now))
+        last = newest(held, "due_at")
+        due = schedule.filter(F.col("due_at") <= F.timestamp_micros(F.lit(now)))
         if last is not None:
             # Everything due before the newest released label was released with or before it.
-            due = due.filter(F.col("due_at") >= F.lit(last))
+            due = due.filter(F.col("due_at") >= F.timestamp_micros(F.lit(last)))
         fresh = due.join(held.select("encounter_id"), "encounter_id", "left_anti")
-        log.append(fresh.select("encounter_id", F.col("label").cast("int").alias("label"), "due_at", F.lit(now).alias("released_at")))
+        log.append(fresh.select("encounter_id", F.col("label").cast("int").alias("label"), "due_at", F.timestamp_micros(F.lit(now)).alias("released_at")))
 
     return step
 
@@ -87,12 +92,12 @@ def realized_sink(predictions: Callable[[], DataFrame], labels: Callable[[], Dat
     """
 
     def step(batch: DataFrame, _batch_id: int) -> None:
-        low = batch.agg(F.min("released_at")).first()[0]
+        low = batch.agg(F.min(F.unix_micros("released_at"))).first()[0]
         if low is None:
             return
         spark = batch.sparkSession
         # A label can only change windows that end at or after its release.
-        fresh = realized_by_boundary(predictions(), labels(), start, end).filter(F.col("boundary") >= F.lit(low))
+        fresh = realized_by_boundary(predictions(), labels(), start, end).filter(F.col("boundary") >= F.timestamp_micros(F.lit(low)))
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         fresh.withColumn("day", F.date_format("boundary", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("day").parquet(path)
 
