@@ -83,26 +83,73 @@ class PatientState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = json.loads(self.history.get()[0]) if self.history.exists() else json.loads(json.dumps(EMPTY))
-        batch = pd.concat(list(rows)).sort_values(["at", "kind_order", "row_key"], kind="stable")
-        out = []
-        for row in batch.itertuples(index=False):
-            out.append(self._ingest(state, row))
+        fresh: dict = {}
+        for chunk in rows:
+            out: list = []
+            for row in chunk.sort_values(["at", "kind_order", "row_key"]).itertuples(index=False):
+                self._gather(state, fresh, row, out)
+            yield self._frame(out)
+        yield self._frame([self._ingest(state, row) for row in sorted(fresh.values(), key=self._position)])
         self._forget(state)
         self.history.update((json.dumps(state),))
-        yield pd.DataFrame([{c: r.get(c) for c in COLUMNS} for r in out], columns=COLUMNS).astype(object)
+
+    @staticmethod
+    def _frame(out: list) -> pd.DataFrame:
+        return pd.DataFrame([{c: r.get(c) for c in COLUMNS} for r in out], columns=COLUMNS).astype(object)
+
+    @staticmethod
+    def _position(row) -> tuple:
+        return row.at, row.kind_order, row.row_key
+
+    def _gather(self, state: dict, fresh: dict, row, out: list) -> None:
+        """Answer repeats at once; hold the earliest row of each new key until the batch is read.
+
+        Rows come in any order, and arrival order decides which stand. What is held stays under
+        twice the row cap, however many rows a batch brings for one patient.
+        """
+        held = fresh.get(row.event_key)
+        if held is None:
+            if self.seen.containsKey((row.event_key,)):
+                out.append(self._ingest(state, row))
+                return
+            fresh[row.event_key] = row
+        else:
+            first, later = (row, held) if self._position(row) < self._position(held) else (held, row)
+            fresh[row.event_key] = first
+            unknown = state["birth"] is None and f"patient|{row.entity}" not in fresh
+            if unknown and row.kind == "encounter" and not pd.isna(later.stop_us):
+                # The held copy will be refused, and so is this one.
+                out.append({**self._result(later), "outcome": "refused_no_demographics"})
+            else:
+                out.append(self._repeat(later, first.body))
+        if len(fresh) > 2 * self.max_rows:
+            order = sorted(fresh.values(), key=self._position)
+            for late in order[self.max_rows + 1:]:
+                out.append({**self._result(late), "outcome": "refused_row_cap"})
+                del fresh[late.event_key]
+
+    @staticmethod
+    def _result(row) -> dict:
+        return {"kind": row.kind, "patient": row.entity, "event_key": row.event_key, "input_hash": row.input_hash}
+
+    def _repeat(self, row, stored: str) -> dict:
+        if stored == row.body:
+            return {**self._result(row), "outcome": "duplicate"}
+        old, new = json.loads(stored), json.loads(row.body)
+        names = sorted(n for n in old.keys() | new.keys() if old.get(n) != new.get(n))
+        return {**self._result(row), "outcome": "conflict", "differing": ",".join(names)}
 
     def _ingest(self, state: dict, row) -> dict:
-        result = {"kind": row.kind, "patient": row.entity, "event_key": row.event_key, "input_hash": row.input_hash}
+        result = self._result(row)
         closed = row.kind == "encounter" and not pd.isna(row.stop_us)
         if closed and state["birth"] is None:
             return {**result, "outcome": "refused_no_demographics"}
         emitted = False
         stored = self.seen.getValue((row.event_key,)) if self.seen.containsKey((row.event_key,)) else None
         if stored is not None:
-            if stored[0] != row.body:
-                old, new = json.loads(stored[0]), json.loads(row.body)
-                names = sorted(n for n in old.keys() | new.keys() if old.get(n) != new.get(n))
-                return {**result, "outcome": "conflict", "differing": ",".join(names)}
+            repeat = self._repeat(row, stored[0])
+            if repeat["outcome"] == "conflict":
+                return repeat
             emitted = stored[1]
         else:
             if row.kind != "patient":

@@ -86,6 +86,19 @@ def test_patient_row_cap(spark, population, run):
     assert outcomes.filter("outcome = 'refused_row_cap'").count() == 2
 
 
+def test_a_flood_for_one_patient_stays_bounded(spark, population, run):
+    population.patient("p")
+    for n in range(40):
+        population.course("p", f"2024-01-{n % 28 + 1:02d}T{n % 24:02d}:00:00Z", code=f"m{n}")
+    lines = write_envelopes(population.raw(spark)).repartition(3)
+    outcomes = run(lines, max_rows=6)
+    counts = {r["outcome"]: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+    assert counts == {"stored": 7, "refused_row_cap": 34}
+    first = sorted((r["START"], r["CODE"]) for r in population.rows["medications"])[:6]
+    kept = outcomes.filter("outcome = 'stored' AND kind = 'medication'").collect()
+    assert sorted(r["event_key"].split("|")[2] for r in kept) == sorted(c for _, c in first)
+
+
 def test_old_history_is_dropped_without_changing_features(spark, population, run):
     population.patient("p").course("p", "2018-01-01T00:00:00Z", "2018-02-01T00:00:00Z").course("p", "2018-01-01T00:00:00Z", "", "long")
     population.diagnosis("p", "2018-01-01", "2018-03-01", "44054006").stay("old", "p", "2018-01-01T00:00:00Z", "2018-01-05T00:00:00Z")
