@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from anchorline.catalog import common
 from anchorline.catalog.anchors import ISO
-from anchorline.catalog.audits import B, END, GRID, LOGS, PAIRS, START, predictions, releases
+from anchorline.catalog.audits import B, END, GRID, LOGS, START, predictions, releases
 from anchorline.catalog.ordering import SPLICES
 from anchorline.catalog.registry import query
 from anchorline.catalog.temporal import FEATURES_SQL

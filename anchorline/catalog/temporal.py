@@ -12,7 +12,6 @@ from anchorline.operators import timeline
 from anchorline.operators.windows import readable_rows
 from anchorline.plans.cohort import build_cohort
 from anchorline.plans.features import anchor_rows, build_features
-from anchorline.plans.labels import build_labels
 from anchorline.plans.serving import serving_features
 from anchorline.sources import testdata
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorline.catalog import common
 from anchorline.catalog.anchors import ISO
 from anchorline.catalog.registry import query
 from anchorline.contracts import CONDITIONS, ENCOUNTERS, MEDICATIONS
@@ -12,7 +11,7 @@ from anchorline.functions.scalar import exact_format, iso
 from anchorline.operators.order import event_stream
 from anchorline.operators.upsert import cap_per_entity, compare_to_stored, first_per_key, record_batch
 from anchorline.operators.validate import (
-    registered_model, reversed_interval, row_errors, shape_error, version_mismatches, with_errors,
+    registered_model, reversed_interval, shape_error, version_mismatches, with_errors,
 )
 from anchorline.plans.sanity import iso_valid
 from anchorline.sources import testdata
