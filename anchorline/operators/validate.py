@@ -11,21 +11,24 @@ from anchorline.functions.hashing import has_control_characters
 from anchorline.functions.scalar import exact_format, major_minor
 
 
-def row_errors(contract: TableContract) -> Column:
+def row_errors(contract: TableContract, formed: dict[str, Column] | None = None) -> Column:
     """All reasons a row of this table is malformed, in a fixed order; empty when it is accepted.
 
     Required fields must be filled, times must print back as they were written, and a stop may
     not precede its start where the table demands order. Control characters are refused, since
-    writers of canonical JSON disagree on them.
+    writers of canonical JSON disagree on them. ``formed`` says per time column whether its text
+    is well formed, where that is known already.
     """
+    formed = formed or {
+        c: exact_format(F.col(c), contract.time_pattern) for c in (*contract.required_times, *contract.optional_times)
+    }
     checks = [F.when(F.col(c) == "", F.lit(f"empty:{c}")) for c in contract.required]
     for c in contract.required_times:
-        checks.append(F.when(~exact_format(F.col(c), contract.time_pattern), F.lit(f"format:{c}")))
+        checks.append(F.when(~formed[c], F.lit(f"format:{c}")))
     for c in contract.optional_times:
-        bad = (F.col(c) != "") & ~exact_format(F.col(c), contract.time_pattern)
-        checks.append(F.when(bad, F.lit(f"format:{c}")))
+        checks.append(F.when((F.col(c) != "") & ~formed[c], F.lit(f"format:{c}")))
     if contract.ordered_interval:
-        checks.append(F.when(reversed_interval(contract), F.lit("interval:STOP")))
+        checks.append(F.when(formed["START"] & formed["STOP"] & (F.col("STOP") < F.col("START")), F.lit("interval:STOP")))
     for c in contract.payload:
         checks.append(F.when(has_control_characters(F.col(c)), F.lit(f"control:{c}")))
     return F.array_compact(F.array(*checks))
@@ -39,8 +42,12 @@ def reversed_interval(contract: TableContract) -> Column:
 
 def with_errors(raw: DataFrame, contract: TableContract) -> DataFrame:
     """Rows with an ``errors`` array; a missing value reads as empty text."""
+    times = (*contract.required_times, *contract.optional_times)
     filled = raw.na.fill("", list(contract.payload))
-    return filled.withColumn("errors", row_errors(contract))
+    # Each time is parsed once, and the error list stays small enough to compile.
+    parsed = filled.withColumns({f"_ok_{c}": exact_format(F.col(c), contract.time_pattern) for c in times})
+    errors = row_errors(contract, {c: F.col(f"_ok_{c}") for c in times})
+    return parsed.withColumn("errors", errors).drop(*[f"_ok_{c}" for c in times])
 
 
 def split_valid(raw: DataFrame, contract: TableContract) -> tuple[DataFrame, DataFrame]:
