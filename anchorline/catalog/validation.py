@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from anchorline.catalog import common
 from anchorline.catalog.anchors import ISO
 from anchorline.catalog.registry import query
 from anchorline.contracts import CONDITIONS, ENCOUNTERS, MEDICATIONS
@@ -14,6 +15,7 @@ from anchorline.operators.validate import (
     registered_model, reversed_interval, shape_error, version_mismatches, with_errors,
 )
 from anchorline.plans.sanity import iso_valid
+from anchorline.session import materialize
 from anchorline.sources import testdata
 from anchorline.sources.envelopes import parse_envelopes, write_envelopes
 from anchorline.sources.raw import typed
@@ -35,6 +37,14 @@ formed AS (SELECT *, coalesce(strftime(try_strptime("START", {TS}), {TS}) = "STA
 
 
 def faulty(spark, d):
+    """The faulty export, stored once per session: raw rows come from storage, not from an expression."""
+    key = (spark.sparkContext.applicationId, d, "faulty")
+    if key not in common._TABLES:
+        common._TABLES[key] = materialize(_faulty(spark, d))
+    return common._TABLES[key]
+
+
+def _faulty(spark, d):
     raw = testdata.raw_population(spark, d)["encounters"].withColumn("n", F.col("Id").cast("long"))
     return raw.selectExpr(
         "Id",
