@@ -6,6 +6,8 @@ tree of depth d needs log2(d) joins. Branches are ranked before their paths are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorline.llm.store import stored
@@ -36,26 +38,26 @@ def unescape_role(role: Column) -> Column:
 def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Depth and score total of every node, and the jump table of each round.
 
-    Round k knows the ancestor 2**k steps up and the score of the steps between. A node whose parent is missing, null
-    or itself is a root. Nodes on a cycle never reach a root and are left out.
+    Round k knows the ancestor 2**k steps up and the score of the steps between. Only nodes that have not reached
+    their root take part in the next join. A node whose parent is missing, null or itself is a root. Nodes on a cycle
+    never reach a root and are left out.
     """
-    known = nodes.select("tree", F.col("node").alias("up"), F.lit(True).alias("exists"))
-    state = (
-        nodes.select("tree", "node", "score", F.when(~F.col("parent").eqNullSafe(F.col("node")), F.col("parent")).alias("up"))
-        .join(known, ["tree", "up"], "left")
-        .select("tree", "node", F.when(F.col("exists"), F.col("up")).alias("up"), F.lit(1).alias("depth"), F.col("score").alias("total"))
-    )
-    state = stored(state, "chat-jump")
-    size = state.count()
-    jumps, limit = [], 1
-    while state.filter(F.col("up").isNotNull()).limit(1).count() and limit <= 2 * size:
-        jumps.append(state.select("tree", "node", "up"))
-        above = state.select(
+    climbing = F.when(~F.col("parent").eqNullSafe(F.col("node")), F.col("parent"))
+    state = nodes.select("tree", "node", climbing.alias("up"), F.lit(1).alias("depth"), F.col("score").alias("total"))
+    size, jumps, done, limit = nodes.count(), [], [], 1
+    while limit <= 2 * size:
+        done.append(state.filter(F.col("up").isNull()).select("tree", "node", "depth", "total"))
+        going = state.filter(F.col("up").isNotNull())
+        if not going.limit(1).count():
+            break
+        jumps.append(going.select("tree", "node", "up"))
+        above = reduce(DataFrame.unionByName, [*(d.withColumn("up", F.lit(None).cast(state.schema["up"].dataType)) for d in done), going])
+        above = above.select(
             "tree", F.col("node").alias("up"), F.col("up").alias("next"),
             F.col("depth").alias("more"), F.col("total").alias("plus"),
         )
         state = stored(
-            state.join(above, ["tree", "up"], "left").select(
+            going.join(above, ["tree", "up"], "left").select(
                 "tree", "node", F.col("next").alias("up"),
                 (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
                 (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
@@ -63,7 +65,7 @@ def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             "chat-jump",
         )
         limit *= 2
-    return state.filter(F.col("up").isNull()).select("tree", "node", "depth", "total"), jumps
+    return reduce(DataFrame.unionByName, done or [state.limit(0).select("tree", "node", "depth", "total")]), jumps
 
 
 def branches(nodes: DataFrame, keep: int = 1) -> tuple[DataFrame, list[DataFrame]]:
@@ -88,7 +90,7 @@ def paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     chosen, jumps = branches(nodes, keep)
     walked = chosen.select("tree", "leaf", "rank", "score", F.col("leaf").alias("node"), F.lit(0).alias("steps"))
     for k, jump in enumerate(jumps):
-        further = walked.join(jump.filter(F.col("up").isNotNull()), ["tree", "node"]).select(
+        further = walked.join(jump, ["tree", "node"]).select(
             "tree", "leaf", "rank", "score", F.col("up").alias("node"), (F.col("steps") + (1 << k)).alias("steps")
         )
         walked = walked.unionByName(further)
@@ -115,7 +117,7 @@ def format_trees(nodes: DataFrame, keep: int = 1, trained: tuple[str, ...] = ("a
     along = Window.partitionBy("tree", "leaf").orderBy(F.col("steps").desc())
     size = F.octet_length("head") + F.octet_length("body") + len(END) + 1
     return (
-        paths(nodes.select("tree", "node", "parent", "score"), keep)
+        paths(stored(nodes.select("tree", "node", "parent", "score"), "chat-nodes"), keep)
         .join(pieces, ["tree", "node"])
         .withColumn("to", F.sum(size.cast("long")).over(along))
         .withColumn("span", F.when(F.col("trained"), F.struct(
