@@ -270,11 +270,7 @@ def _verified(docs: DataFrame, groups: DataFrame, threshold: float, tolerance: f
         links = np.bincount(left, weight[right], len(ids)) + np.bincount(right, weight[left], len(ids))
         return pa.array(ids), pa.array(_roots(ids, left, right)), pa.array(links.astype(np.int64))
 
-    texts = (
-        docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(small_side(groups), "id")
-        .dropDuplicates(["id", "print"]) if "print" in docs.columns else
-        docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(small_side(groups), "id")
-    )
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(small_side(groups), "id")
     prepared = texts.select("id", "group", "size", "weight", "text").mapInArrow(
         prepare, "id BIGINT, group BIGINT, size BIGINT, weight BIGINT, found BINARY, values BINARY"
     )
@@ -321,7 +317,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     classes = stored(
         whole.groupBy("print").agg(
             F.min(F.struct(F.col("doc_id").cast("bigint").alias("id"), "bands", "values")).alias("f"),
-            F.count_distinct("doc_id").alias("weight") if False else F.count(F.lit(1)).alias("weight"),
+            F.count(F.lit(1)).alias("weight"),
         ).select("print", "f.id", "f.bands", "f.values", "weight"),
         "jaccard-classes",
     )

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import bpe, chat_trees, pairwise_quality, phrase_index, quality_rules, toxicity
+from anchorline.llm import (
+    bpe, chat_trees, edit_join, jaccard_join, pairwise_quality, phrase_index, quality_rules, toxicity, unit_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,8 +131,10 @@ w AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS phras
       FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
             FROM b WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT k FROM w),
-spots AS (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sizes),
-hits AS (SELECT doc_id, i, w.k, item_id FROM spots JOIN w ON w.k = spots.k AND w.phrase = array_to_string(ws[i:i + w.k - 1], ' ')),
+spots AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i,
+                 unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+          FROM d, sizes),
+hits AS (SELECT doc_id, i, w.k, item_id FROM spots JOIN w ON w.k = spots.k AND w.phrase = spots.phrase),
 words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY 1),
 found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list
           FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1)
@@ -146,3 +150,32 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op5_unit_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unit_dedup.dedup_units(docs).select(
+        "doc_id", F.size("removed").cast("long").alias("n_removed"), F.length("kept").cast("long").alias("kept_chars"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        F.transform("removed", lambda r: r["start"]).alias("starts"),
+        F.transform("removed", lambda r: r["stop"]).alias("stops"),
+        F.transform("removed", lambda r: r["first"]["doc_id"]).alias("first_doc_ids"),
+    )
+
+
+@query("op6_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op7_edit_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return edit_join.dedup_lines(docs).select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"),
+        F.col("__n_links").alias("n_links"), F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+        F.transform("__removed", lambda r: r["line_no"]).alias("removed_lines"),
+        F.transform("__removed", lambda r: r["doc_id"]).alias("keeper_doc_ids"),
+    )

@@ -8,6 +8,7 @@ single sentences locates the offending ones.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -72,17 +73,21 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 6000, longest: int = 50
     truth = np.array([r[1] for r in rows], float)
     if not len(truth) or truth.min() == truth.max():
         return Model(30.0 if len(truth) and truth[0] else -30.0, {})
-    split = [[{p for w in set(words) for p in parts(w)} for _, _, words in sentences(r[2])] for r in rows]
-    frequency = Counter(p for doc in split for p in set().union(*doc))
-    toxic = Counter(p for doc, t in zip(split, truth, strict=True) if t for p in set().union(*doc))
+    frequency, toxic = Counter(), Counter()
+    for _, label, text in rows:
+        found = {p for w in set(WORD.findall(text.lower())) for p in parts(w)}
+        frequency.update(found)
+        if label:
+            toxic.update(found)
     usual = min(0.5, lift * truth.mean())
     telling = sorted(p for p, c in frequency.items() if c >= seen_in and toxic[p] >= usual * c)
+    del frequency, toxic
     index = {p: n for n, p in enumerate(telling)}
-    doc_of, sentence_of, word_of, n = [], [], [], 0
-    for d, doc in enumerate(split):
-        for found in doc:
+    doc_of, sentence_of, word_of, n = array("i"), array("i"), array("i"), 0
+    for d, (_, _, text) in enumerate(rows):
+        for _, _, words in sentences(text):
             doc_of.append(d)
-            known = [index[p] for p in found if p in index]
+            known = [index[p] for p in {p for w in set(words) for p in parts(w)} if p in index]
             word_of.extend(known)
             sentence_of.extend([n] * len(known))
             n += 1
@@ -153,3 +158,19 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending"
     )
+
+
+def reject(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, with all their columns and unchanged texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, bias = _Weights(shared.value.weights), shared.value.bias
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                stays = [score_text(t.as_py() or "", weights, bias, 2.0)[0] < limit for t in batch.column(column)]
+                yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
