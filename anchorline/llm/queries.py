@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anchorline.llm import (
-    bpe, chat_trees, edit_join, jaccard_join, pairwise_quality, phrase_index, quality_rules, toxicity, unit_dedup,
+    bpe, chat_trees, column_dedup, edit_join, jaccard_join, pairwise_quality, phrase_index, quality_rules, toxicity, unit_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("__removed", lambda r: r["line_no"]).alias("removed_lines"),
         F.transform("__removed", lambda r: r["doc_id"]).alias("keeper_doc_ids"),
     )
+
+
+@query("op8_column_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_dedup.dedup_bytes(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (n, r) -> n + r.stop - r.start)").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
