@@ -15,34 +15,56 @@ from anchorline.llm.store import stored
 WORDED = r"[^\x20\x09-\x0D]"
 
 
-def _segment(length: str, i: str, parts: int) -> tuple[str, str]:
+# Letters whose counts are compared, and the bits of each count. Any letters would do; frequent ones tell most.
+COUNTED = "enthaorisdlu"
+BITS = 5
+
+
+def _segment(length: str, i: int, parts: int) -> tuple[str, str]:
     """Start (from 0) and size of segment i of an even split; the last segments take what is left over."""
     base, extra = f"({length} DIV {parts})", f"({length} % {parts})"
-    return f"({i} * {base} + greatest(0, {i} - ({parts} - {extra})))", f"({base} + IF({i} >= {parts} - {extra}, 1, 0))"
+    return f"({i} * {base} + greatest(0, {i - parts} + {extra}))", f"({base} + IF({i - parts} + {extra} >= 0, 1, 0))"
 
 
-def _key(length: str, i: str, start: str, size: str) -> str:
-    return f"xxhash64(CAST({length} AS INT), CAST({i} AS INT), substring(line, CAST({start} + 1 AS INT), CAST({size} AS INT)))"
+def _key(length: str, i: int, start: str, size: str) -> str:
+    return f"xxhash64({length}, {i}, substring(line, CAST({start} + 1 AS INT), CAST({size} AS INT)))"
 
 
 def index_keys(k: int) -> Column:
     """The k + 1 segments of column ``line`` of column ``size`` characters, as hashes with length and number."""
-    start, size = _segment("size", "i", k + 1)
-    return F.expr(f"transform(sequence(0, {k}), i -> {_key('size', 'i', start, size)})")
+    return F.expr("array(" + ", ".join(_key("size", i, *_segment("size", i, k + 1)) for i in range(k + 1)) + ")")
 
 
 def probe_keys(k: int, shortest: int) -> Column:
     """The substrings of ``line`` that can equal a segment of a line 0 to k characters shorter.
 
     Segment i can shift by at most i places counted from the left and, from the right, by k - i places around the
-    difference of the lengths; only starts within both limits are probed.
+    difference d of the lengths; only starts within both limits are probed.
     """
-    start, size = _segment("l", "i", k + 1)
-    low = f"greatest(0L, {start} - i, {start} + (size - l) - ({k} - i))"
-    high = f"least(size - {size}, {start} + i, {start} + (size - l) + ({k} - i))"
-    return F.expr(f"""flatten(transform(sequence(greatest({shortest}, size - {k}), size), l ->
-        flatten(transform(sequence(0, {k}), i ->
-            transform(sequence({low}, {high}), p -> {_key('l', 'i', 'p', size)})))))""")
+    lengths = []
+    for d in range(k + 1):
+        keys = []
+        for i in range(k + 1):
+            start, size = _segment(f"(size - {d})", i, k + 1)
+            keys += [_key(f"(size - {d})", i, f"{start} + {p}", size) for p in range(max(-i, d - k + i), min(i, d + k - i) + 1)]
+        lengths.append(f"IF(size - {d} >= {shortest}, array({', '.join(keys)}), CAST(array() AS ARRAY<BIGINT>))")
+    return F.expr(f"concat({', '.join(lengths)})")
+
+
+def letter_counts() -> Column:
+    """How often each counted letter occurs in ``line``, as BITS low bits each of one number."""
+    parts = [
+        f"shiftleft(CAST((octet_length(line) - octet_length(replace(line, '{c}', ''))) & {(1 << BITS) - 1} AS BIGINT), {BITS * n})"
+        for n, c in enumerate(COUNTED)
+    ]
+    return F.expr(" | ".join(parts))
+
+
+def counts_apart(a: str, b: str) -> Column:
+    """A lower bound of the sum of the differences of the letter counts."""
+    full = 1 << BITS
+    one = lambda n: f"((shiftright({a}, {BITS * n}) - shiftright({b}, {BITS * n})) & {full - 1})"
+    return F.expr(" + ".join(f"least({one(n)}, {full} - {one(n)})" for n in range(len(COUNTED))))
 
 
 def distance_within(a: str, b: str, k: int) -> Column:
@@ -50,7 +72,7 @@ def distance_within(a: str, b: str, k: int) -> Column:
 
     Bit d of state e says that the characters of a so far and as many of b, plus d - k, are at most e edits apart. One
     step per character moves all diagonals of the band at once: a match keeps a diagonal, an edit enters it from the
-    state before or from beside.
+    state before or from beside. Once no diagonal is left, the rest is passed over.
     """
     band = (1 << (2 * k + 1)) - 1
     agree = " + ".join(f"IF(get(y, s.at + {d - k}) = c, {1 << d}, 0)" for d in range(2 * k + 1))
@@ -63,7 +85,7 @@ def distance_within(a: str, b: str, k: int) -> Column:
     return F.expr(f"""transform(array(struct(regexp_extract_all({a}, '(?s).', 0) AS x, regexp_extract_all({b}, '(?s).', 0) AS y)),
         t -> transform(array(t.x), x -> transform(array(t.y), y -> IF(abs(size(y) - size(x)) > {k}, NULL,
             aggregate(x, struct(0 AS at, {first}),
-                (s, c) -> transform(array({agree}), m -> struct(s.at + 1 AS at, {after}))[0],
+                (s, c) -> IF(s.r{k} = 0, s, transform(array({agree}), m -> struct(s.at + 1 AS at, {after}))[0]),
                 s -> CASE {told} END)))[0])[0])[0]""")
 
 
@@ -75,28 +97,30 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """One row per different line: g, h (128 bits of hash), first (doc_id, row, line_no), copies, line, size."""
+    """One row per different line: g, h (128 bits of hash), first (doc_id, row, line_no), copies, line, size, counts."""
     return (
         lines_of(docs)
         .groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit("again"), "line").alias("g"))
         .agg(F.min(F.struct("doc_id", "row", "line_no", "line")).alias("f"), F.count(F.lit(1)).alias("copies"))
         .select("h", "g", F.struct("f.doc_id", "f.row", "f.line_no").alias("first"), "copies",
                 F.col("f.line").alias("line"), F.length("f.line").alias("size"))
+        .withColumn("counts", letter_counts())
     )
 
 
 def links(lines: DataFrame, k: int = 2, shortest: int = 30) -> DataFrame:
     """Pairs of different lines at most ``k`` edits apart: left and right (h, g, first), distance; each pair once.
 
-    Lines under ``shortest`` characters have no links. ``lines`` is the table of ``distinct_lines``, written down.
-    Before texts are fetched, pairs are thinned without loss by the parity of hashed words: an edit changes at most
-    three words.
+    Lines under ``shortest`` characters (at least k + 1) have no links. ``lines`` is the table of ``distinct_lines``,
+    written down. Before texts are fetched, pairs are thinned without loss by their letter counts: an edit changes the
+    sum of their differences by at most two.
     """
-    parity = F.expr("aggregate(split(line, ' '), 0L, (m, w) -> m ^ shiftleft(1L, CAST(xxhash64(w) & 63 AS INT)))")
-    long = lines.filter(F.col("size") >= shortest).select("h", "size", "line", parity.alias("parity"))
-    left = long.select(F.explode(index_keys(k)).alias("key"), F.col("h").alias("a"), F.col("size").alias("size_a"), F.col("parity").alias("parity_a"))
-    right = long.select(F.explode(probe_keys(k, shortest)).alias("key"), F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
-    near = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 3 * k
+    long = lines.filter(F.col("size") >= max(shortest, k + 1))
+    left = long.select(F.explode(index_keys(k)).alias("key"), F.col("h").alias("a"), F.col("size").alias("size_a"), F.col("counts").alias("counts_a"))
+    right = long.select(
+        F.explode(probe_keys(k, max(shortest, k + 1))).alias("key"), F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("counts").alias("counts_b")
+    )
+    near = counts_apart("counts_a", "counts_b") <= 2 * k
     ahead = (F.col("size_b") > F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") > F.col("a")))
     pairs = stored(left.join(right, (left["key"] == right["key"]) & near & ahead).select("a", "b").distinct(), "edit-pairs")
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "edit-ends")
