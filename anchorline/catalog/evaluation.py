@@ -144,8 +144,8 @@ pairs AS (SELECT p.name, sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score =
           FROM members p JOIN members n ON n.name = p.name AND n.label = 0 WHERE p.label = 1 GROUP BY 1)
 SELECT n.name, coalesce(n_rows, 0) AS n_rows, coalesce(n_patients, 0) AS n_patients, round(prevalence, 9) AS prevalence,
        CASE WHEN n_rows >= 50 AND pos > 0 AND neg > 0 THEN round(wins / (pos * neg), 9) END AS auroc,
-       CASE WHEN coalesce(n_rows, 0) < 50 THEN 'insufficient rows (' || coalesce(n_rows, 0) || ' < 50); metrics suppressed'
-            WHEN pos = 0 OR neg = 0 THEN 'single label class; metrics suppressed' ELSE '' END AS note
+       CASE WHEN coalesce(n_rows, 0) < 50 THEN 'under_50_rows:' || coalesce(n_rows, 0)
+            WHEN pos = 0 OR neg = 0 THEN 'one_label' ELSE '' END AS note
 FROM (SELECT unnest(['age_18_49', 'age_50_64', 'age_65_79', 'age_80_plus', 'sex_male', 'sex_female', 'flag_chf',
   'flag_chronic_pulmonary', 'flag_dementia', 'flag_diabetes', 'flag_malignancy', 'flag_mi', 'flag_renal_disease']) AS name) n
 LEFT JOIN sizes s ON s.name = n.name LEFT JOIN pairs p ON p.name = n.name""")

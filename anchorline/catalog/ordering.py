@@ -70,7 +70,7 @@ def merged(spark, d):
     return order.merge_by_instant(due, arrivals)
 
 
-SPLICES = order.segments("even", "1997-01-01T00:00:00Z", [("odd", "1998-01-01T00:00:00Z"), ("even", "1999-01-01T00:00:00Z")])
+SPLICES = (("1997-01-01T00:00:00Z", "even"), ("1998-01-01T00:00:00Z", "odd"), ("1999-01-01T00:00:00Z", "even"))
 OWNED = """((population = 'even' AND (("at" >= '1997-01-01T00:00:00Z' AND "at" < '1998-01-01T00:00:00Z') OR "at" >= '1999-01-01T00:00:00Z'))
   OR (population = 'odd' AND "at" >= '1998-01-01T00:00:00Z' AND "at" < '1999-01-01T00:00:00Z'))"""
 
@@ -80,7 +80,7 @@ SELECT population, kind, count(*) AS events FROM (SELECT *, CASE WHEN entity % 2
 WHERE {OWNED} GROUP BY ALL""")
 def segment_ownership(spark, d):
     events = stream(spark, d).withColumn("population", F.expr("if(bigint(entity) % 2 = 0, 'even', 'odd')"))
-    return events.filter(order.owned(SPLICES, "population", "at")).groupBy("population", "kind").agg(F.count("*").alias("events"))
+    return events.filter(F.col("population") == order.owner(SPLICES, F.col("at"))).groupBy("population", "kind").agg(F.count("*").alias("events"))
 
 
 @query("spliced_stream", EVENTS + f"""
@@ -89,7 +89,7 @@ FROM (SELECT *, CASE WHEN entity % 2 = 0 THEN 'even' ELSE 'odd' END AS populatio
 def spliced_stream(spark, d):
     events = stream(spark, d)
     parts = {"even": events.filter("bigint(entity) % 2 = 0"), "odd": events.filter("bigint(entity) % 2 = 1")}
-    return order.with_sequence(order.splice(parts, SPLICES)).select("population", "at", "kind", "row_key", "seq")
+    return order.with_sequence(order.spliced(parts, SPLICES)).select("population", "at", "kind", "row_key", "seq")
 
 
 @query("spliced_labels", f"""
@@ -101,5 +101,5 @@ def spliced_labels(spark, d):
     rows = common.scored(spark, d)
     plan = lambda p: schedule_of(rows.select("encounter_id", "label"), rows.filter(p))
     parts = {"even": plan("patient_id % 2 = 0"), "odd": plan("patient_id % 2 = 1")}
-    owned = order.splice(parts, SPLICES, at="discharged_at").drop("population")
+    owned = order.spliced(parts, SPLICES, at="discharged_at").drop("population")
     return with_row_number(owned, ["due_at", "encounter_id"], "position")

@@ -34,14 +34,14 @@ def one_partition_per_core(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def _ingested(spark, lines, name):
+def _ingested(spark, lines, name, **options):
     """Outcomes of a set of event lines, run through the stateful stream."""
     arrival.use_state_store(spark)
     source, out = scratch_path(spark, f"{name}-lines"), scratch_path(spark, f"{name}-out")
     lines.write.text(source)
     with one_partition_per_core(spark):
         monitoring.run_available(
-            arrival.ingest(stream_lines(spark, source)), scratch_path(spark, f"{name}-checkpoint"), path=out
+            arrival.ingest(stream_lines(spark, source), **options), scratch_path(spark, f"{name}-checkpoint"), path=out
         )
     return spark.read.parquet(out)
 
@@ -73,6 +73,27 @@ def stream_outcomes(spark, d):
     return _ingested(spark, lines, "outcomes").groupBy("kind", "outcome").agg(F.count("*").alias("n"))
 
 
+# Rows that are refused for want of demographics do not count towards the cap.
+@query("stream_row_cap", """
+, marked AS (SELECT *, stop IS NOT NULL AND patient % 20 = 3 AS unknown,
+    coalesce(strftime(stop, '%Y-%m-%dT%H:%M:%SZ'), 'open:' || strftime(start, '%Y-%m-%dT%H:%M:%SZ')) AS "at" FROM encounters),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY patient, unknown ORDER BY "at", encounter_class, CAST(id AS VARCHAR)) AS nth FROM marked)
+SELECT patient, count(*) FILTER (WHERE unknown) AS no_demographics, count(*) FILTER (WHERE NOT unknown AND nth > 4) AS over_cap,
+       count(*) FILTER (WHERE NOT unknown AND nth <= 4 AND stop IS NOT NULL AND encounter_class = 'inpatient') AS discharges,
+       count(*) FILTER (WHERE NOT unknown AND nth <= 4 AND NOT (stop IS NOT NULL AND encounter_class = 'inpatient')) AS stored
+FROM ranked GROUP BY patient""")
+def stream_row_cap(spark, d):
+    raw = testdata.raw_population(spark, d)
+    people = raw["patients"].filter("bigint(Id) % 20 <> 3")
+    lines = write_envelopes({"patients": people, "encounters": raw["encounters"]})
+    outcomes = _ingested(spark, lines, "row-cap", max_rows=4).filter("kind = 'encounter'")
+    count = lambda o: F.count_if(F.col("outcome") == o)
+    return outcomes.groupBy(F.col("patient").cast("bigint").alias("patient")).agg(
+        count("refused_no_demographics").alias("no_demographics"), count("refused_row_cap").alias("over_cap"),
+        count("discharge").alias("discharges"), count("stored").alias("stored"),
+    )
+
+
 def _file_stream(spark, df, name, files=None, order=None):
     path = scratch_path(spark, name)
     if files:

@@ -83,9 +83,8 @@ def readmitted(spark, d):
 @query("history_flags", f"SELECT encounter_id, {', '.join(FLAGS)} FROM features")
 def history_flags(spark, d):
     f = common.frames(spark, d)
-    none = f["medications"].limit(0)
     cohort = build_cohort(f["encounters"], f["patients"])
-    return build_features(cohort, f["encounters"], none, f["conditions"]).select("encounter_id", *FLAGS)
+    return build_features(cohort, f["encounters"], f["medications"], f["conditions"]).select("encounter_id", *FLAGS)
 
 
 @query("gap_clip", "SELECT encounter_id, days_since_prev_discharge FROM features")

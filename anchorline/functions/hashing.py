@@ -19,8 +19,8 @@ def payload_hash(kind: str, payload: dict[str, Column]) -> Column:
 
 
 def has_control_characters(value: Column) -> Column:
-    """Text whose canonical JSON would differ between writers."""
-    return value.rlike(r"[\x00-\x1F\x7F]")
+    """Text with one of the three characters that writers of canonical JSON escape differently."""
+    return value.rlike(r"[\x01\x1F\x7F]")
 
 
 def uuid5(name: Column, namespace: str = REKEY_NAMESPACE) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,14 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from anchorline.contracts import KIND_ORDER, TABLES, TableContract
 from anchorline.operators.rank import with_row_number
 
-# A key behind this prefix sorts after every timestamp.
+# Letters sort behind digits, so keys that start like this come last.
 OPEN_PREFIX = "open:"
 
 
 def arrival(kind: str) -> Column:
-    """When a raw row arrives: encounters at STOP, medications at START, conditions at midnight.
+    """The key of a raw row on the time axis: its known end for stays, its start for all else.
 
-    An open stay has no arrival instant; its key sorts after all timed events, by START.
+    Dates count from midnight. Stays that have not ended are put behind everything that has a time.
     """
     if kind == "encounter":
         return F.when(F.col("STOP") == "", F.concat(F.lit(OPEN_PREFIX), "START")).otherwise(F.col("STOP"))
@@ -93,39 +92,22 @@ def merge_by_instant(labels: DataFrame, events: DataFrame) -> DataFrame:
     return with_row_number(both, ["at", "side", "idx"], "position")
 
 
-@dataclass(frozen=True)
-class Segment:
-    """One stretch of time and the population that sources it; ``until`` None means open."""
+Switches = tuple[tuple[str, str], ...]
 
-    population: str
-    from_at: str
-    until: str | None = None
-    rekey: bool = False
 
+def owner(switches: Switches, at: Column) -> Column:
+    """The population in charge at an instant: the one of the last switch at or before it, NULL before the first.
 
-def segments(population: str, start: str, splices: list[tuple[str, str]]) -> list[Segment]:
-    """Consecutive segments from a start population and (population, instant) splices."""
-    names = [population, *(name for name, _ in splices)]
-    starts = [start, *(at for _, at in splices)]
-    ends = [*starts[1:], None]
-    return [Segment(n, f, u, n != population) for n, f, u in zip(names, starts, ends, strict=True)]
-
-
-def owned(segment_list: list[Segment], population: str, at: str) -> Column:
-    """Whether a row of a population falls into one of that population's segments.
-
-    Segments are configuration, so the test is a plain predicate that reaches the scan.
+    Switches are configuration, so this is a plain expression that a scan can filter by.
     """
-    tests = [
-        (F.col(population) == s.population) & (F.col(at) >= s.from_at)
-        & (F.lit(True) if s.until is None else F.col(at) < s.until)
-        for s in segment_list
-    ]
-    return reduce(lambda a, b: a | b, tests)
-
+    latest = F.lit(None).cast("string")
+    for instant, population in sorted(switches):
+        latest = F.when(at >= instant, F.lit(population)).otherwise(latest)
+    return latest
 
-def splice(parts: dict[str, DataFrame], segment_list: list[Segment], at: str = "at") -> DataFrame:
-    """Each population's rows that its segments own, as one table."""
-    tagged = [df.withColumn("population", F.lit(name)) for name, df in parts.items()]
-    return reduce(DataFrame.unionByName, tagged).filter(owned(segment_list, "population", at))
 
+def spliced(streams: dict[str, DataFrame], switches: Switches, at: str = "at") -> DataFrame:
+    """Rows of several populations in one table, each from the population in charge at its instant."""
+    in_charge = owner(switches, F.col(at))
+    mine = [df.filter(in_charge == name).withColumn("population", F.lit(name)) for name, df in streams.items()]
+    return reduce(DataFrame.unionByName, mine)

@@ -15,7 +15,7 @@ def row_errors(contract: TableContract, formed: dict[str, Column] | None = None)
     """All reasons a row of this table is malformed, in a fixed order; empty when it is accepted.
 
     Required fields must be filled, times must print back as they were written, and a stop may
-    not precede its start where the table demands order. Control characters are refused, since
+    not precede its start where the table demands order. U+0001, U+001F and U+007F are refused, since
     writers of canonical JSON disagree on them. ``formed`` says per time column whether its text
     is well formed, where that is known already.
     """

@@ -41,9 +41,8 @@ def subgroup_metrics(rows: DataFrame, patients: DataFrame, min_rows: int = SUBGR
     joined = names.join(ranking(long, ["subgroup"]).join(sizes, "subgroup"), "subgroup", "left")
     n = F.coalesce("rows", F.lit(0))
     note = (
-        F.when(n < min_rows, F.concat(F.lit("insufficient rows ("), n.cast("string"),
-                                      F.lit(f" < {min_rows}); metrics suppressed")))
-        .when(F.col("auroc").isNull(), F.lit("single label class; metrics suppressed"))
+        F.when(n < min_rows, F.format_string(f"under_{min_rows}_rows:%d", n))
+        .when(F.col("auroc").isNull(), F.lit("one_label"))
         .otherwise(F.lit(""))
     )
     return joined.select(
@@ -59,27 +58,19 @@ def gate_checks(metrics: DataFrame, expected_auroc: float | None = None) -> Data
     """
     floor, ceiling = SIGNAL_BAND
     auroc, ece = F.col("auroc"), F.col("ece")
-    shown = F.format_string("holdout AUROC %.4f", auroc)
-    leak = F.concat(F.lit("SUSPECTED LEAKAGE: "), shown)
-    rows = [
-        ("auroc_above_band_floor", auroc >= floor, auroc, floor,
-         F.concat(shown, F.when(auroc >= floor, f" meets the floor {floor}").otherwise(f" is below the floor {floor}"))),
-        ("auroc_below_band_ceiling", auroc <= ceiling, auroc, ceiling,
-         F.when(auroc <= ceiling, F.concat(shown, F.lit(f" is within the ceiling {ceiling}")))
-         .otherwise(F.concat(leak, F.lit(f" exceeds the ceiling {ceiling}")))),
-        ("ece_within_threshold", ece <= ECE_LIMIT, ece, ECE_LIMIT,
-         F.concat(F.format_string("ECE %.4f", ece),
-                  F.when(ece <= ECE_LIMIT, " is within ").otherwise(" exceeds "), F.lit(f"the threshold {ECE_LIMIT}"))),
+    # name, value, the side the limit must be on, limit, what a failure suggests
+    rules = [
+        ("auroc_above_band_floor", auroc, ">=", floor, "no_signal"),
+        ("auroc_below_band_ceiling", auroc, "<=", ceiling, "leakage"),
+        ("ece_within_threshold", ece, "<=", ECE_LIMIT, "miscalibrated"),
     ]
     if expected_auroc is not None:
-        gap = F.abs(auroc - F.lit(expected_auroc))
-        ok = gap <= REPRODUCTION_TOLERANCE
-        rows.append((
-            "holdout_reproduced", ok, gap, REPRODUCTION_TOLERANCE,
-            F.concat(F.format_string("recomputed AUROC %.6f", auroc),
-                     F.when(ok, " reproduces ").otherwise(" differs from "),
-                     F.lit(f"the training run's {expected_auroc:.6f}")),
-        ))
+        rules.append(("holdout_reproduced", F.abs(auroc - F.lit(expected_auroc)), "<=", REPRODUCTION_TOLERANCE, "not_reproduced"))
+    rows = []
+    for name, value, sign, limit, hint in rules:
+        good = value >= limit if sign == ">=" else value <= limit
+        told = F.format_string(f"%.6f {sign} {limit}: %s", value, F.when(good, "holds").otherwise(hint))
+        rows.append((name, good, value, limit, told))
     packed = F.array(*[
         F.struct(F.lit(n).alias("name"), F.coalesce(p, F.lit(False)).alias("passed"), v.cast("double").alias("value"),
                  F.lit(float(t)).alias("threshold"), d.alias("detail"))

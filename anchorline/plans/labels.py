@@ -56,13 +56,17 @@ def build_training_rows(frames: dict[str, DataFrame], cohort: DataFrame | None =
 
 
 def label_schedule(frames: dict[str, DataFrame]) -> DataFrame:
-    """Every cohort discharge's label and the instant it falls due, in due order."""
-    cohort = build_cohort(frames["encounters"], frames["patients"])
-    return schedule_of(build_labels(cohort, frames["encounters"]), cohort).orderBy("due_at", "encounter_id")
+    """When each label may be released, earliest first."""
+    return due_rows(build_training_rows(frames)).orderBy("due_at", "encounter_id")
 
 
 def schedule_of(labels: DataFrame, cohort: DataFrame) -> DataFrame:
-    return labels.join(cohort.select("encounter_id", "stop"), "encounter_id").select(
+    """The same for labels that lack their stay's stop."""
+    return due_rows(labels.join(cohort.select("encounter_id", "stop"), "encounter_id"))
+
+
+def due_rows(labelled: DataFrame) -> DataFrame:
+    return labelled.select(
         iso(due_at("stop", LABEL_WINDOW_DAYS)).alias("due_at"),
         "encounter_id",
         iso("stop").alias("discharged_at"),

@@ -39,7 +39,7 @@ def population_stats(patients: DataFrame, encounters: DataFrame, as_of: str) ->
 def crude_readmission_rate(encounters: DataFrame) -> DataFrame:
     """Share of closed inpatient stays with another closed inpatient stay starting within 30 days.
 
-    Any such stay starts after this one's stop, so it also sorts after it.
+    A stay that starts after its own stop is not its own readmission.
     """
     stays = encounters.filter("encounter_class = 'inpatient' AND stop IS NOT NULL").selectExpr(
         "patient", "unix_micros(start) AS started", "unix_micros(stop) AS at"
@@ -48,8 +48,9 @@ def crude_readmission_rate(encounters: DataFrame) -> DataFrame:
         stays, stays.selectExpr("patient", "started AS at"), entity="patient", at="at",
         span=LABEL_WINDOW_DAYS * DAY, name="later",
     )
-    return ahead.filter("at >= started").agg(
-        F.count("*").alias("inpatient"),
-        F.count_if(F.col("later") > 0).alias("readmitted"),
-        F.round(F.count_if(F.col("later") > 0) / F.count("*"), 9).alias("rate"),
+    itself = ((F.col("started") > F.col("at")) & (F.col("started") <= F.col("at") + LABEL_WINDOW_DAYS * DAY)).cast("long")
+    again = F.col("later") - itself > 0
+    return ahead.agg(
+        F.count("*").alias("inpatient"), F.count_if(again).alias("readmitted"),
+        F.round(F.count_if(again) / F.count("*"), 9).alias("rate"),
     )

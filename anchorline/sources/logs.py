@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from anchorline.contracts import TABLES, TableContract
 from anchorline.operators.joins import missing_rows
+from anchorline.operators.order import arrival
 from anchorline.operators.rank import with_row_number
 from anchorline.operators.upsert import record_batch
+from anchorline.operators.validate import with_errors
 from anchorline.session import materialize
 
 PART = "part"
@@ -22,13 +24,19 @@ def first_scores(predictions: DataFrame, logged: DataFrame) -> DataFrame:
 
 
 def labels_to_write(labels: DataFrame, predictions: DataFrame, stored: DataFrame) -> DataFrame:
-    """Due labels attached to their prediction: new, duplicate, or unscored when there is none."""
+    """Due labels attached to their prediction: new, duplicate, or unscored when there is none.
+
+    Of several labels for one discharge the earliest release counts, then the smaller label; the others are duplicates.
+    """
+    first = Window.partitionBy("encounter_id").orderBy("released_at", "label")
+    labels = labels.withColumn("_nth", F.row_number().over(first))
     attached = labels.join(predictions.select("encounter_id", "prediction_id"), "encounter_id", "left")
     held = stored.select("prediction_id", F.lit(True).alias("_held"))
     status = (
-        F.when(F.col("prediction_id").isNull(), "unscored").when(F.col("_held"), "duplicate").otherwise("new")
+        F.when(F.col("prediction_id").isNull(), "unscored")
+        .when(F.col("_held") | (F.col("_nth") > 1), "duplicate").otherwise("new")
     )
-    return attached.join(held, "prediction_id", "left").withColumn("status", status).drop("_held")
+    return attached.join(held, "prediction_id", "left").withColumn("status", status).drop("_held", "_nth")
 
 
 def logged_features(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -36,7 +44,7 @@ def logged_features(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     pairs = []
     for name in names:
         value = F.col(name).cast("double")
-        pairs += [F.lit(name), F.when(F.isnan(value), F.raise_error(F.lit(f"{name} is NaN")).cast("double")).otherwise(value)]
+        pairs += [F.lit(name), F.when(F.isnan(value), F.raise_error(F.lit(f"cannot log NaN for {name}")).cast("double")).otherwise(value)]
     return rows.withColumn("features", F.create_map(*pairs))
 
 
@@ -94,7 +102,7 @@ class PredictionLog(ParquetLog):
 
 
 class UnscoredDischarge(LookupError):
-    """A label fell due for a discharge without a prediction."""
+    """A label has no prediction to go with."""
 
 
 class LabelLog(ParquetLog):
@@ -115,10 +123,10 @@ class LabelLog(ParquetLog):
         marked = materialize(labels_to_write(labels, predictions, log))
         unscored = marked.filter("status = 'unscored'").select("encounter_id").orderBy("encounter_id").take(5)
         if unscored:
-            raise UnscoredDischarge(f"no prediction to attach a label to: {', '.join(str(r[0]) for r in unscored)}")
+            raise UnscoredDischarge(f"labels without a logged prediction, among them {[r[0] for r in unscored]}")
         early = marked.filter("released_at < due_at").take(1)
         if early:
-            raise ValueError(f"label of {early[0]['encounter_id']} released before it is due")
+            raise ValueError(f"{early[0]['encounter_id']}: released_at lies before due_at")
         fresh = marked.filter("status = 'new'").drop("status")
         numbered = with_row_number(fresh, ["due_at", "encounter_id"], "label_id").withColumns(
             {"label_id": F.col("label_id") + F.lit(last), "recorded_at": F.current_timestamp()}
@@ -129,7 +137,7 @@ class LabelLog(ParquetLog):
 
 
 class ReferenceExists(RuntimeError):
-    """A reference for this model version is already stored."""
+    """References are written once."""
 
 
 class ReferenceStore:
@@ -146,7 +154,7 @@ class ReferenceStore:
             reference.write.mode("errorifexists").parquet(self._folder(name, version))
         except Exception as error:
             if "PATH_ALREADY_EXISTS" in str(error):
-                raise ReferenceExists(f"model {name!r} version {version} already has a reference") from error
+                raise ReferenceExists(f"{self._folder(name, version)} is taken") from error
             raise
 
     def read(self, name: str, version: int) -> DataFrame | None:
@@ -213,11 +221,22 @@ class EventStore:
         return fixed.count(), conflicts
 
 
-def preload(store: EventStore, raw: dict[str, DataFrame]) -> DataFrame:
-    """Load tables in bulk: rows loaded, rows already present and conflicts per kind."""
+def preload(store: EventStore, raw: dict[str, DataFrame], before: str | None = None) -> DataFrame:
+    """Load tables in bulk, per kind: loaded, already_present, conflicts, malformed, later.
+
+    Every row is counted once. ``before`` leaves rows that arrive at or after that instant for the stream. Malformed
+    rows are not stored, so what partitions the store is always a well-formed time or a hash.
+    """
     out = []
     for name, df in raw.items():
-        total = df.count()
-        loaded, conflicts = store.record(name, df)
-        out.append((TABLES[name].kind, loaded, total - loaded, conflicts.count()))
-    return store.spark.createDataFrame(out, "kind STRING, loaded BIGINT, already_present BIGINT, conflicts BIGINT")
+        contract = TABLES[name]
+        checked = materialize(with_errors(df, contract).select(*contract.payload, F.size("errors").alias("_errors")))
+        good = checked.filter(F.col("_errors") == 0)
+        due = good if before is None or contract.kind == "patient" else good.filter(arrival(contract.kind) < before)
+        total, well, here = checked.count(), good.count(), due.count()
+        loaded, conflicts = store.record(name, due)
+        clashing = conflicts.count()
+        out.append((contract.kind, loaded, here - loaded - clashing, clashing, total - well, well - here))
+    return store.spark.createDataFrame(
+        out, "kind STRING, loaded BIGINT, already_present BIGINT, conflicts BIGINT, malformed BIGINT, later BIGINT"
+    )

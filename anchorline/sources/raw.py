@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,18 +16,29 @@ from anchorline.session import prepare
 def load_population(
     spark: SparkSession, csv_dir: str, *, frames: Sequence[str] = tuple(TABLES)
 ) -> dict[str, DataFrame]:
-    """The named tables with every column as verbatim text; a missing value is empty text."""
-    unknown = sorted(set(frames) - set(TABLES))
-    if unknown:
-        raise ValueError(f"no such table: {', '.join(unknown)}; expected any of {', '.join(TABLES)}")
-    prepare(spark)
-    return {name: read_table(spark, f"{csv_dir.rstrip('/')}/{name}.csv", TABLES[name]) for name in frames}
+    """A folder of CSV exports as raw tables. Only known tables can be asked for."""
+    wanted = [TABLES.get(name) for name in frames]
+    if None in wanted:
+        raise ValueError(f"{list(frames)} must be among {sorted(TABLES)}")
+    session = prepare(spark)
+    return {table.name: read_table(session, os.path.join(csv_dir, f"{table.name}.csv"), table) for table in wanted}
 
 
 def read_table(spark: SparkSession, path: str, contract: TableContract) -> DataFrame:
-    """One CSV table; columns are matched by header name, quotes are doubled, nothing is inferred."""
-    header = spark.read.option("header", True).option("escape", '"').csv(path, inferSchema=False)
-    return header.na.fill("") if header.columns else header
+    """One CSV table as text; a missing value is empty text.
+
+    Columns go by header name and must include the contract's. Quotes inside quotes are doubled and may hold line
+    breaks. A row with more or fewer cells than the header fails the read. A file with line breaks in cells cannot be
+    split, so write large exports to parquet once.
+    """
+    found = (
+        spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST")
+        .option("columnPruning", False).csv(path)
+    )
+    lacking = [c for c in contract.payload if c not in found.columns]
+    if found.columns and lacking:
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    return found.na.fill("") if found.columns else found
 
 
 def typed(raw: DataFrame, contract: TableContract, *, strict: bool = False) -> DataFrame:

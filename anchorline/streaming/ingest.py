@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from anchorline.contracts import KIND_ORDER, LOOKBACK_DAYS, MAX_EVENTS_PER_PATIENT, WINDOW_DAYS
+from anchorline.contracts import KIND_ORDER, LOOKBACK_DAYS, WINDOW_DAYS
 from anchorline.functions.scalar import DAY
 from anchorline.operators.order import row_key
 from anchorline.plans.cohort import exclusion_reason
@@ -31,10 +31,10 @@ OUTPUT = (
     "outcome STRING, kind STRING, patient STRING, event_key STRING, differing STRING, input_hash STRING, "
     "encounter_id STRING, encounter_class STRING, start_us BIGINT, stop_us BIGINT, birth_day INT, death_day INT, "
     "inpatient_now BIGINT, emergency_now BIGINT, prev_stop BIGINT, active_medications BIGINT, active_disorders BIGINT, "
-    "flags BIGINT"
+    "flags BIGINT, body STRING"
 )
 COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
-EMPTY = {"birth": None, "death": None, "rows": 0, "clock": None, "stays": [], "courses": [], "disorders": [], "history": []}
+EMPTY = {"birth": None, "death": None, "rows": 0, "clock": None, "floor": None, "stays": [], "courses": [], "disorders": [], "history": []}
 
 
 def handler_rows(parsed: DataFrame) -> DataFrame:
@@ -58,6 +58,7 @@ def handler_rows(parsed: DataFrame) -> DataFrame:
         F.col("Id").alias("encounter_id"), F.col("ENCOUNTERCLASS").alias("encounter_class"),
         F.coalesce(F.col("DESCRIPTION").endswith("(disorder)"), F.lit(False)).alias("is_disorder"),
         F.coalesce(bits, F.lit(0)).cast("long").alias("bits"),
+        F.concat_ws(",", *[F.when(F.col(c).isNull(), "-").otherwise(F.hex(F.xxhash64(F.col(c)))) for c in FIELDS]).alias("prints"),
         F.to_json(F.struct(*FIELDS)).alias("body"),
     )
 
@@ -65,18 +66,17 @@ def handler_rows(parsed: DataFrame) -> DataFrame:
 class PatientState(StatefulProcessor):
     """One patient's recent history, the keys seen so far, and the discharges already emitted.
 
-    A new row past ``max_rows`` is refused. History that no later discharge can read is dropped:
-    stays that ended more than the lookback plus ``slack_days`` behind the newest arrival,
-    intervals that ended more than ``slack_days`` behind it. ``slack_days`` bounds the length of
-    a stay and how late a row may come.
+    With ``max_rows``, a new row beyond that many stored ones is refused. With ``slack_days``, history is dropped
+    that no discharge of the last so many days can read: older stays behind the lookback, and intervals that ended.
+    A discharge from before that is not given features but the outcome ``late``. Of rows seen, only hashes are kept.
     """
 
-    def __init__(self, max_rows: int = MAX_EVENTS_PER_PATIENT, slack_days: int = 365) -> None:
-        self.max_rows, self.slack = max_rows, slack_days * DAY
+    def __init__(self, max_rows: int | None = None, slack_days: int | None = None) -> None:
+        self.max_rows, self.slack = max_rows, None if slack_days is None else slack_days * DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.history = handle.getValueState("history", "body STRING")
-        self.seen = handle.getMapState("seen", "event_key STRING", "body STRING, emitted BOOLEAN")
+        self.seen = handle.getMapState("seen", "event_key STRING", "prints STRING, emitted BOOLEAN")
 
     def close(self) -> None:
         pass
@@ -104,8 +104,7 @@ class PatientState(StatefulProcessor):
     def _gather(self, state: dict, fresh: dict, row, out: list) -> None:
         """Answer repeats at once; hold the earliest row of each new key until the batch is read.
 
-        Rows come in any order, and arrival order decides which stand. What is held stays under
-        twice the row cap, however many rows a batch brings for one patient.
+        Rows come in any order, and arrival order decides which stand.
         """
         held = fresh.get(row.event_key)
         if held is None:
@@ -119,31 +118,29 @@ class PatientState(StatefulProcessor):
             unknown = state["birth"] is None and f"patient|{row.entity}" not in fresh
             if unknown and row.kind == "encounter" and not pd.isna(later.stop_us):
                 # The held copy will be refused, and so is this one.
-                out.append({**self._result(later), "outcome": "refused_no_demographics"})
+                out.append(self._refused(later, "refused_no_demographics"))
             else:
-                out.append(self._repeat(later, first.body))
-        if len(fresh) > 2 * self.max_rows:
-            order = sorted(fresh.values(), key=self._position)
-            for late in order[self.max_rows + 1:]:
-                out.append({**self._result(late), "outcome": "refused_row_cap"})
-                del fresh[late.event_key]
+                out.append(self._repeat(later, first.prints))
 
     @staticmethod
     def _result(row) -> dict:
         return {"kind": row.kind, "patient": row.entity, "event_key": row.event_key, "input_hash": row.input_hash}
 
+    def _refused(self, row, outcome: str) -> dict:
+        """A refused row goes to quarantine whole."""
+        return {**self._result(row), "outcome": outcome, "body": row.body}
+
     def _repeat(self, row, stored: str) -> dict:
-        if stored == row.body:
+        if stored == row.prints:
             return {**self._result(row), "outcome": "duplicate"}
-        old, new = json.loads(stored), json.loads(row.body)
-        names = sorted(n for n in old.keys() | new.keys() if old.get(n) != new.get(n))
-        return {**self._result(row), "outcome": "conflict", "differing": ",".join(names)}
+        both = zip(FIELDS, stored.split(","), row.prints.split(","), strict=True)
+        return {**self._result(row), "outcome": "conflict", "differing": ",".join(n for n, old, new in both if old != new)}
 
     def _ingest(self, state: dict, row) -> dict:
         result = self._result(row)
         closed = row.kind == "encounter" and not pd.isna(row.stop_us)
         if closed and state["birth"] is None:
-            return {**result, "outcome": "refused_no_demographics"}
+            return self._refused(row, "refused_no_demographics")
         emitted = False
         stored = self.seen.getValue((row.event_key,)) if self.seen.containsKey((row.event_key,)) else None
         if stored is not None:
@@ -153,12 +150,14 @@ class PatientState(StatefulProcessor):
             emitted = stored[1]
         else:
             if row.kind != "patient":
-                if state["rows"] >= self.max_rows:
-                    return {**result, "outcome": "refused_row_cap"}
+                if self.max_rows is not None and state["rows"] >= self.max_rows:
+                    return self._refused(row, "refused_row_cap")
                 state["rows"] += 1
             self._remember(state, row)
         discharge = closed and row.encounter_class == "inpatient" and not emitted
-        self.seen.updateValue((row.event_key,), (row.body, bool(emitted or discharge)))
+        self.seen.updateValue((row.event_key,), (row.prints, bool(emitted or discharge)))
+        if discharge and state["floor"] is not None and int(row.stop_us) < state["floor"]:
+            return {**result, "outcome": "late", "encounter_id": row.encounter_id, "body": row.body}
         if not discharge:
             return {**result, "outcome": "stored" if stored is None else "duplicate"}
         return {**result, "outcome": "discharge", **self._features(state, row)}
@@ -207,18 +206,19 @@ class PatientState(StatefulProcessor):
         }
 
     def _forget(self, state: dict) -> None:
-        if state["clock"] is None:
+        if state["clock"] is None or self.slack is None:
             return
-        old = state["clock"] - self.slack
+        old = state["floor"] = state["clock"] - self.slack
         state["stays"] = [x for x in state["stays"] if x[0] >= old - LOOKBACK_DAYS * DAY]
         for name in ("courses", "disorders"):
             state[name] = [x for x in state[name] if x[1] is None or x[1] > old]
 
 
-def ingest(lines: DataFrame, *, max_rows: int = MAX_EVENTS_PER_PATIENT, slack_days: int = 365) -> DataFrame:
+def ingest(lines: DataFrame, *, max_rows: int | None = None, slack_days: int | None = None) -> DataFrame:
     """Outcome of every well-formed event line of a stream; discharges carry their counted history.
 
-    Outcomes: stored, duplicate, conflict, discharge, refused_no_demographics, refused_row_cap.
+    Outcomes: stored, duplicate, conflict, discharge, late, refused_no_demographics, refused_row_cap. Refused and late
+    rows carry their body; what a late discharge lacks the batch plan can answer.
     Run the session with the RocksDB state store provider.
     """
     accepted = parse_envelopes(lines).filter(F.size("errors") == 0)

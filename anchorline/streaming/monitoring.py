@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anchorline.operators.monitor import SPAN_DAYS, STEP_DAYS, realized_by_boundary
-from anchorline.operators.order import Segment, owned
+from anchorline.operators.order import Switches, spliced
 from anchorline.sources.logs import ParquetLog, first_scores
 
 _DAY = 86_400
@@ -32,13 +32,9 @@ def sliding_counts(events: DataFrame, at: str, start: str, keys: tuple[str, ...]
     )
 
 
-def owned_events(parts: dict[str, DataFrame], segments: list[Segment], at: str = "at") -> DataFrame:
-    """Several populations' streams as one, each contributing what its segments own."""
-    streams = [df.withColumn("population", F.lit(name)).filter(owned(segments, "population", at)) for name, df in parts.items()]
-    out = streams[0]
-    for stream in streams[1:]:
-        out = out.unionByName(stream)
-    return out
+def owned_events(parts: dict[str, DataFrame], switches: Switches, at: str = "at") -> DataFrame:
+    """Several populations' streams as one, each while it is in charge."""
+    return spliced(parts, switches, at)
 
 
 def newest(df: DataFrame, at: str) -> int | None:

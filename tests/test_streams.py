@@ -86,7 +86,7 @@ def test_patient_row_cap(spark, population, run):
     assert outcomes.filter("outcome = 'refused_row_cap'").count() == 2
 
 
-def test_a_flood_for_one_patient_stays_bounded(spark, population, run):
+def test_a_flood_for_one_patient_is_cut_in_arrival_order(spark, population, run):
     population.patient("p")
     for n in range(40):
         population.course("p", f"2024-01-{n % 28 + 1:02d}T{n % 24:02d}:00:00Z", code=f"m{n}")
@@ -185,11 +185,10 @@ def test_one_reference_per_version(spark, tmp_path):
 
 
 def test_segments_and_cursor(spark, population):
-    parts = order.segments("a", "2024-01-01T00:00:00Z", [("b", "2024-02-01T00:00:00Z")])
-    assert [s.rekey for s in parts] == [False, True]
+    switches = (("2024-01-01T00:00:00Z", "a"), ("2024-02-01T00:00:00Z", "b"))
     rows = [(p, at) for p in "ab" for at in ("2023-12-31T23:59:59Z", "2024-01-01T00:00:00Z", "2024-02-01T00:00:00Z", "open:2024-01-01")]
     df = spark.createDataFrame(rows, "population STRING, at STRING")
-    got = {tuple(r) for r in df.filter(order.owned(parts, "population", "at")).collect()}
+    got = {tuple(r) for r in df.filter(F.col("population") == order.owner(switches, F.col("at"))).collect()}
     assert got == {("a", "2024-01-01T00:00:00Z"), ("b", "2024-02-01T00:00:00Z"), ("b", "open:2024-01-01")}
 
     random_population(population, 19, patients=3)
@@ -199,3 +198,37 @@ def test_segments_and_cursor(spark, population):
     cursor = keys[4]
     due = order.due_after(order.event_stream(population.raw(spark)), cursor, keys[20][0])
     assert due.count() == sum(k > cursor and k[0] <= keys[20][0] for k in keys)
+
+
+def test_rows_refused_for_other_reasons_do_not_count_towards_the_cap(spark, population, run):
+    for n in range(30):
+        population.stay(f"e{n}", "p", f"2024-01-{n % 28 + 1:02d}T00:00:00Z", f"2024-02-{n % 28 + 1:02d}T00:00:00Z")
+    for n in range(3):
+        population.course("p", f"2024-03-0{n + 1}T00:00:00Z", code=f"m{n}")
+    outcomes = run(write_envelopes(population.raw(spark)), max_rows=10)
+    counts = {r["outcome"]: r["count"] for r in outcomes.groupBy("outcome").count().collect()}
+    assert counts == {"refused_no_demographics": 30, "stored": 3}
+    assert outcomes.filter("outcome LIKE 'refused%' AND body IS NULL").isEmpty()
+
+
+def late_stay(spark, population):
+    population.patient("p").stay("a", "p", "2021-01-01T00:00:00Z", "2021-01-04T00:00:00Z")
+    population.stay("z", "p", "2024-05-01T00:00:00Z", "2024-05-04T00:00:00Z")
+    first = write_envelopes(population.raw(spark))
+    population.rows["encounters"].clear()
+    population.stay("b", "p", "2021-02-01T00:00:00Z", "2021-02-03T00:00:00Z")
+    return first, write_envelopes({"encounters": population.raw(spark)["encounters"]})
+
+
+def test_late_discharges_are_answered_from_the_whole_history(spark, population, run):
+    first, second = late_stay(spark, population)
+    run(first)
+    row = arrival.admitted_features(run(second)).filter("encounter_id = 'b'").first()
+    assert (row["prior_inpatient_180d"], row["days_since_prev_discharge"]) == (1, 28.0)
+
+
+def test_discharges_behind_dropped_history_are_told_apart(spark, population, run):
+    first, second = late_stay(spark, population)
+    run(first, slack_days=365)
+    outcomes = run(second, slack_days=365)
+    assert [(r["encounter_id"], r["body"] is None) for r in outcomes.filter("outcome = 'late'").collect()] == [("b", False)]
