@@ -18,8 +18,9 @@ from anchorline.operators import monitor
 from anchorline.operators.joins import keyed_difference, table_difference
 from anchorline.plans import audit
 from anchorline.plans.reference import build_reference
+from anchorline.session import scratch_path
 from anchorline.sources import testdata
-from anchorline.sources.logs import first_scores, labels_to_write, logged_features
+from anchorline.sources.logs import LabelLog, PredictionLog, logged_features
 
 START, END, CUTOFF = "1999-01-01", "2001-09-01", "1999-01-01"
 
@@ -178,27 +179,51 @@ def latest_model(spark, d):
 
 
 # The log already holds predictions of odd encounters; the whole batch is posted again.
-@query("prediction_sink", LOGS + "SELECT encounter_id, score FROM predictions WHERE encounter_id % 2 = 0")
+def _loggable(spark, d):
+    ids = {c: F.col(c).cast("string") for c in ("patient_id", "encounter_id")}
+    return predictions(spark, d).drop("prediction_id").withColumns(ids).withColumn(
+        "features", F.create_map(F.lit("score"), F.col("score"))
+    )
+
+
+# Half of the discharges are scored first; then all are offered again with another score, some of them twice.
+@query("prediction_sink", LOGS + """
+SELECT row_number() OVER (ORDER BY encounter_id % 2, event_time, CAST(encounter_id AS VARCHAR)) AS prediction_id, encounter_id,
+       CASE WHEN encounter_id % 2 = 0 THEN score ELSE score + 1 END AS score FROM predictions""")
 def prediction_sink(spark, d):
-    log = predictions(spark, d)
-    return first_scores(log, log.filter("encounter_id % 2 = 1")).select("encounter_id", "score")
+    log, rows = PredictionLog(spark, scratch_path(spark, "predictions")), _loggable(spark, d)
+    log.record(rows.filter("bigint(encounter_id) % 2 = 0"))
+    again = rows.withColumn("score", F.col("score") + 1)
+    log.record(again.unionByName(again.filter("bigint(encounter_id) % 3 = 0").withColumn("score", F.col("score") + 1)))
+    return log.all().selectExpr("prediction_id", "bigint(encounter_id) AS encounter_id", "score")
 
 
-@query("label_sink", LOGS + """
-SELECT l.encounter_id, CASE WHEN p.encounter_id IS NULL THEN 'unscored' WHEN l.encounter_id % 4 = 1 THEN 'duplicate' ELSE 'new' END AS status
-FROM labelled l LEFT JOIN predictions p USING (encounter_id)""")
+# Each label comes twice, the second time later and flipped; then everything is offered once more.
+@query("label_sink", LOGS + f"""
+SELECT row_number() OVER (ORDER BY due_at, CAST(encounter_id AS VARCHAR)) AS label_id, encounter_id, label,
+       {ISO.format('released_at')} AS released_at FROM releases WHERE released_at >= due_at""")
 def label_sink(spark, d):
-    log = predictions(spark, d)
-    due = common.scored(spark, d).selectExpr("encounter_id", "label")
-    stored = log.filter("encounter_id % 4 = 1").select("prediction_id")
-    return labels_to_write(due, log, stored).select("encounter_id", "status")
+    log, labels = PredictionLog(spark, scratch_path(spark, "predictions")), LabelLog(spark, scratch_path(spark, "labels"))
+    log.record(_loggable(spark, d))
+    due = releases(spark, d).filter("released_at >= due_at").selectExpr(
+        "string(encounter_id) AS encounter_id", "label", "'1.0.0' AS label_version", "due_at", "released_at"
+    )
+    flipped = due.withColumn("label", 1 - F.col("label")).withColumn("released_at", F.expr("released_at + INTERVAL 1 DAY"))
+    for _ in range(2):
+        labels.record(due.unionByName(flipped), log.read())
+    return labels.read().select(
+        "label_id", F.col("encounter_id").cast("long").alias("encounter_id"), "label", iso("released_at").alias("released_at")
+    )
 
 
 @query("log_reader", LOGS + f"""
-SELECT prediction_id, encounter_id, {ISO.format('event_time')} AS event_time, score FROM predictions WHERE encounter_id % 100 < 50""")
+SELECT row_number() OVER (ORDER BY event_time, CAST(encounter_id AS VARCHAR)) AS prediction_id, encounter_id,
+       {ISO.format('event_time')} AS event_time, score FROM predictions""")
 def log_reader(spark, d):
-    return predictions(spark, d).filter("encounter_id % 100 < 50").orderBy("prediction_id").select(
-        "prediction_id", "encounter_id", iso("event_time").alias("event_time"), "score"
+    log = PredictionLog(spark, scratch_path(spark, "predictions"))
+    log.record(_loggable(spark, d))
+    return log.all().select(
+        "prediction_id", F.col("encounter_id").cast("long").alias("encounter_id"), iso("event_time").alias("event_time"), "score"
     )
 
 

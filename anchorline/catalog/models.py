@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from anchorline.catalog import common
 from anchorline.catalog.anchors import CUTOFF, SAMPLE
 from anchorline.catalog.audits import LOGS, predictions
-from anchorline.catalog.registry import query
+from anchorline.catalog.registry import ORACLES, query
 from anchorline.contracts import SPLIT_SEED, TABLES
 from anchorline.plans import training
 from anchorline.plans.scoring import batch_report, select_held_out_batch
@@ -68,6 +68,21 @@ def raw_text_scan(spark, d):
     return out
 
 
+# Cells with quotes, commas and line breaks come back as they were written.
+@query("csv_cells", """
+SELECT patient, encounter, code, description || chr(10) || 'said "yes", ' || code AS description, count(*) AS n FROM conditions GROUP BY ALL""")
+def csv_cells(spark, d):
+    folder = scratch_path(spark, "cells")
+    told = F.concat("DESCRIPTION", F.lit('\nsaid "yes", '), "CODE")
+    testdata.raw_population(spark, d)["conditions"].withColumn("DESCRIPTION", told).write.option("header", True).option(
+        "escape", '"').csv(f"{folder}/conditions.csv")
+    read = load_population(spark, folder, frames=("conditions",))["conditions"]
+    return read.groupBy(
+        F.col("PATIENT").cast("long").alias("patient"), F.col("ENCOUNTER").cast("long").alias("encounter"),
+        F.col("CODE").alias("code"), F.col("DESCRIPTION").alias("description"),
+    ).agg(F.count("*").alias("n"))
+
+
 @query("rekeyed_cohort", "SELECT age_at_discharge, count(*) AS n FROM cohort GROUP BY 1")
 def rekeyed_cohort(spark, d):
     from anchorline.plans.cohort import build_cohort
@@ -76,20 +91,46 @@ def rekeyed_cohort(spark, d):
     return build_cohort(frames["encounters"], frames["patients"]).groupBy("age_at_discharge").agg(F.count("*").alias("n"))
 
 
+def _document_manifest(spark, d):
+    """One text file per language with the documents' digests, measured."""
+    folder = scratch_path(spark, "manifest")
+    lines = spark.read.parquet(f"{d}/documents.parquet").select(
+        "lang", F.concat_ws(",", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("value"), "doc_id"
+    )
+    # One file a language, in order of the id, as SQL can repeat it.
+    lines.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(folder)
+    measured = build_manifest(spark, folder, "*.txt")
+    return measured.withColumn("path", F.regexp_extract("path", "lang=([a-z]+)", 1))
+
+
+DOCUMENT_FILES = """WITH files AS (SELECT lang AS path, string_agg(doc_id || ',' || sha256(text) || chr(10), '' ORDER BY doc_id) AS body, count(*) AS n
+  FROM documents GROUP BY 1)
+"""
+
+
 @query("file_manifest")
 def file_manifest(spark, d):
-    return build_manifest(spark, d, "*.parquet").select("path", "sha256", "bytes")
+    return _document_manifest(spark, d)
+
+
+ORACLES["file_manifest"] = DOCUMENT_FILES + """
+SELECT path, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes, n - 1 AS rows FROM files"""
 
 
 @query("manifest_check")
 def manifest_check(spark, d):
-    actual = build_manifest(spark, d, "*.parquet")
-    expected = actual.filter("path <> 'region.parquet'").withColumn(
-        "sha256", F.when(F.col("path") == "nation.parquet", F.lit("0")).otherwise(F.col("sha256"))
-    ).withColumn("path", F.when(F.col("path") == "part.parquet", F.lit("parts.parquet")).otherwise(F.col("path")))
+    actual = materialize(_document_manifest(spark, d))
+    expected = actual.withColumn("sha256", F.when(F.col("path") == "de", F.lit("0")).when(F.col("path") != "fr", F.col("sha256"))).withColumn(
+        "path", F.when(F.col("path") == "es", F.lit("it")).otherwise(F.col("path"))
+    )
     return verify_manifest(expected, actual)
 
 
+ORACLES["manifest_check"] = """
+SELECT * FROM (SELECT DISTINCT lang AS path, CASE lang WHEN 'de' THEN 'checksum mismatch' WHEN 'fr' THEN 'unverified' WHEN 'es' THEN 'extra file' END AS problem
+  FROM documents UNION ALL SELECT DISTINCT 'it', 'missing file' FROM documents WHERE lang = 'es') WHERE problem IS NOT NULL"""
+
+
 @query("preload_history", """
 SELECT 'patient' AS kind, count(*) AS loaded, count(*) FILTER (WHERE id % 2 = 0) AS already_present FROM patients
 UNION ALL SELECT 'encounter', count(*), count(*) FILTER (WHERE patient % 2 = 0) FROM encounters

@@ -28,7 +28,7 @@ def labels_to_write(labels: DataFrame, predictions: DataFrame, stored: DataFrame
 
     Of several labels for one discharge the earliest release counts, then the smaller label; the others are duplicates.
     """
-    first = Window.partitionBy("encounter_id").orderBy("released_at", "label")
+    first = Window.partitionBy("encounter_id").orderBy(*[c for c in ("released_at", "label") if c in labels.columns])
     labels = labels.withColumn("_nth", F.row_number().over(first))
     attached = labels.join(predictions.select("encounter_id", "prediction_id"), "encounter_id", "left")
     held = stored.select("prediction_id", F.lit(True).alias("_held"))
