@@ -11,7 +11,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +27,7 @@ from tokenizers import Tokenizer
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 # Words a task remembers; beyond that it starts afresh, which costs time and changes nothing.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 def _byte_letters() -> list[str]:
@@ -49,7 +51,8 @@ class Vocabulary:
         self.ranks = {self.ids[a] * self.span + self.ids[b]: n for n, (a, b) in enumerate(merges)}
         self.merged = [self.ids[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
-        self.names = {i: t for t, i in (*self.ids.items(), *self.special.items())}
+        named = {i: t for t, i in (*self.ids.items(), *self.special.items())}
+        self.names = [named.get(i, "") for i in range(1 + max(named))]
         inner = [t for t in self.ids if not t.endswith(self.suffix)] if self.suffix else list(self.ids)
         # Every beginning of an entry, with the entry's id where it is one itself.
         self.starts = dict.fromkeys((t[:n] for t in inner for n in range(1, len(t))), -1) | {t: self.ids[t] for t in inner}
@@ -62,7 +65,7 @@ class Vocabulary:
         self.settled = regex.compile(r"[\x00-\u052F\u2010-\u2027]*+")
         self.rules = Tokenizer.from_str(description)
         self.fits: dict[int, bool] = {}
-        self.width = 1 + max(self.names)
+        self.width = len(self.names)
         self.words: dict[str, tuple[int, ...]] = {}
 
     # Text to words
@@ -206,6 +209,14 @@ class Vocabulary:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Unsigned 32-bit integers, least byte first."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 _LOADED: dict[int, Vocabulary] = {}
 
 
@@ -242,7 +253,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, digests: bool = False) ->
                     decoded = vocab.text_of(ids)
                     counts.append(len(ids))
                     if digests:
-                        left.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                        left.append(hashlib.sha256(little_endian(ids)).hexdigest())
                         right.append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
                     else:
                         left.append(ids)
