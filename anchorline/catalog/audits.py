@@ -405,17 +405,17 @@ THRESHOLD_SQL = "SELECT unnest([" + ", ".join(f"'{s}'" for s in sorted(SIGNALS))
     f"{THRESHOLDS[s]}::DOUBLE" for s in sorted(SIGNALS)) + "]) AS threshold"
 
 
-def thresholds(reference_rows):
-    """Thresholds for the signals the reference holds."""
-    value = F.when(F.col("signal").isin(*FLAGS), 0.5).otherwise(0.8)
-    return reference_rows.select("signal").distinct().select("signal", value.alias("threshold"))
+def thresholds(spark):
+    """One threshold for each configured signal."""
+    limits = [(name, 0.5 if name in FLAGS else 0.8) for name in (*MODEL_INPUTS, "score")]
+    return spark.createDataFrame(limits, "signal STRING, threshold DOUBLE")
 
 
 @query("drift_alerts", PSI + f"""
 , limits AS ({THRESHOLD_SQL})
 SELECT {B} AS sim_at, signal, round(psi, 6) AS statistic, threshold FROM psi JOIN limits USING (signal) WHERE psi > threshold""")
 def drift_alerts(spark, d):
-    found = monitor.alerts(_psi(spark, d).withColumnRenamed("psi", "statistic"), thresholds(reference(spark, d)))
+    found = monitor.alerts(_psi(spark, d).withColumnRenamed("psi", "statistic"), thresholds(spark))
     return found.select(iso("sim_at").alias("sim_at"), "signal", F.round("statistic", 6).alias("statistic"), "threshold")
 
 
@@ -424,7 +424,7 @@ def drift_alerts(spark, d):
 SELECT sha256('[' || string_agg('{{"signal":"' || signal || '","threshold":' || threshold || '}}', ',' ORDER BY signal) || ']') AS thresholds_hash
 FROM limits SEMI JOIN reference USING (signal)""")
 def thresholds_digest(spark, d):
-    return monitor.thresholds_hash(thresholds(reference(spark, d)))
+    return monitor.thresholds_hash(thresholds(spark))
 
 
 @query("label_rules", LOGS + """

@@ -11,18 +11,19 @@ from pyspark.sql import Column, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CAP = 1000
+def _ranks(values: pd.Series) -> np.ndarray:
+    """Doubles as integers in the same order, neighbours one apart."""
+    bits = values.to_numpy(dtype="float64").view("int64")
+    return np.where(bits >= 0, bits, np.iinfo("int64").min - bits)
 
 
-def _distance(left: pd.Series, right: pd.Series) -> pd.Series:
-    def rank(values: pd.Series) -> np.ndarray:
-        bits = values.to_numpy(dtype="float64").view("int64").astype(object)
-        return np.array([b if b >= 0 else -(b + 2**63) for b in bits], dtype=object)
+def ulp_distance(left: Column, right: Column, cap: int = 1000) -> Column:
+    """Representable doubles between two values, at most ``cap``."""
 
-    gaps = np.abs(rank(left) - rank(right))
-    return pd.Series([min(int(g), CAP) for g in gaps], dtype="int64")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = _ranks(a), _ranks(b)
+        # The difference of two 64-bit integers needs the unsigned range.
+        gap = np.maximum(x, y).view("uint64") - np.minimum(x, y).view("uint64")
+        return pd.Series(np.minimum(gap, np.uint64(cap)).astype("int64"))
 
-
-def ulp_distance(left: Column, right: Column) -> Column:
-    """Representable doubles between two values, at most 1000."""
-    return F.pandas_udf(_distance, "bigint")(left, right)
+    return F.pandas_udf(distance, "bigint")(left, right)

@@ -70,8 +70,16 @@ class Registry:
 
     def register(self, model: PipelineModel, record: dict, name: str = MODEL_NAME) -> int:
         version = self.latest_version(name) + 1
-        location = f"{self.path}/models/{name}/{version}"
-        model.save(location)
+        while True:
+            location = f"{self.path}/models/{name}/{version}"
+            try:
+                # A folder is made once, so of two trainers only one gets a number.
+                model.save(location)
+                break
+            except Exception as taken:
+                if "already exists" not in str(taken):
+                    raise
+                version += 1
         row = {**record, "run_id": f"{name}-{version}", "model_name": name, "model_version": version, "path": location}
         columns = [c.split()[0] for c in RUN_SCHEMA.replace("MAP<STRING, STRING>", "M").replace("MAP<STRING, DOUBLE>", "M").split(", ")]
         one = self.spark.createDataFrame([tuple(row.get(c) for c in columns)], RUN_SCHEMA)

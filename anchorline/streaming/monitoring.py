@@ -91,11 +91,10 @@ def realized_sink(predictions: Callable[[], DataFrame], labels: Callable[[], Dat
         low = batch.agg(F.min(F.unix_micros("released_at"))).first()[0]
         if low is None:
             return
-        spark = batch.sparkSession
         # A label can only change windows that end at or after its release.
         fresh = realized_by_boundary(predictions(), labels(), start, end).filter(F.col("boundary") >= F.timestamp_micros(F.lit(low)))
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        fresh.withColumn("day", F.date_format("boundary", "yyyy-MM-dd")).write.mode("overwrite").partitionBy("day").parquet(path)
+        by_day = fresh.withColumn("day", F.date_format("boundary", "yyyy-MM-dd")).write.mode("overwrite")
+        by_day.option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     return step
 
