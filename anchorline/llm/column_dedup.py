@@ -214,12 +214,19 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     sorted_out = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(
         partial(_sorted_blocks, length=length), "row BIGINT, start BIGINT, stop BIGINT"
     )
-    strings = marked.filter(F.col("n") > CROWD).select("row", "first", "last", "data").mapInArrow(
+    # Equal contexts settle each other; only one of each is looked at string by string.
+    alike = ["key", F.col("first") - F.col("pos"), F.col("last") - F.col("pos"), "data"]
+    crowd = marked.filter(F.col("n") > CROWD).withColumns({"h": F.xxhash64(*alike), "g": F.xxhash64(F.lit("again"), *alike)})
+    kinds = crowd.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "first", "last", "data")).alias("f"))
+    equal = crowd.join(kinds.filter(F.col("c") > 1), ["h", "g"], "left_semi").select(
+        "row", F.col("first").alias("start"), (F.col("last") + length).alias("stop")
+    )
+    strings = kinds.select("f.row", "f.first", "f.last", "f.data").mapInArrow(
         partial(_windows, length=length), "h BIGINT, g BIGINT, row BIGINT, start BIGINT"
     )
     twice = strings.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
     hot = strings.join(twice, ["h", "g"], "left_semi").select("row", "start", (F.col("start") + length).alias("stop"))
-    return stored(sorted_out.unionByName(hot), "column-ranges")
+    return stored(sorted_out.unionByName(equal).unionByName(hot), "column-ranges")
 
 
 def dedup_bytes(docs: DataFrame, length: int = 200) -> DataFrame:

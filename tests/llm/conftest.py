@@ -1,14 +1,5 @@
 import pytest
 
-from anchorline.session import local_session
-
-
-@pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", shuffle_partitions=4, memory="6g")
-    yield session
-    session.stop()
-
 
 @pytest.fixture
 def docs(spark):
