@@ -156,7 +156,7 @@ def test_report_names_the_verdict(spark):
     people = rows.select(F.col("patient_id").alias("id")).distinct().withColumn("gender", F.lit("F"))
     result = evaluate(rows, people, replicates=5)
     report = render_report(result, {"model": "m", "version": 1})
-    assert report.startswith("# Gate report: ") and "sex_female" in report and "holdout AUROC" in report
+    assert report.startswith("# Gate report: ") and "sex_female" in report and "auroc_above_band_floor" in report
 
 
 def test_split_and_sample_depend_on_ids_only(spark):
