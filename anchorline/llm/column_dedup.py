@@ -86,14 +86,9 @@ CONTEXT = "key BIGINT, crowded BOOLEAN, row BIGINT, pos BIGINT, first BIGINT, la
 
 
 def contexts(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """The bytes around each anchor that has another of its kind.
-
-    Crowded anchors are told apart further: their strings are dealt into cells of CELL neighbouring starts, and the key
-    of a cell is the hash of the bytes that all its strings share.
-    """
-    equal = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    """The bytes of all strings of each anchor that has another of its kind; crowded tells of many of its kind."""
+    equal = stored(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "column-keys")
     per_row = anchors.join(equal, "key").groupBy("row").agg(F.collect_list(F.struct("key", "n", "pos", "first", "last")).alias("found"))
-    span = length - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,25 +98,39 @@ def contexts(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 for row, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     data = text.encode("utf-8", "surrogatepass")
                     for a in found:
-                        pos, first, last = a["pos"], a["first"], a["last"]
-                        if a["n"] <= CROWD:
-                            out.append((a["key"], False, row, pos, first, last, data[first : last + length]))
-                            continue
-                        base = pos - span + 1
-                        for cell in range((first - base) // CELL, (last - base) // CELL + 1):
-                            low = base + cell * CELL
-                            shared = data[low + CELL - 1 : low + length]
-                            key = hashlib.blake2b(shared, digest_size=8, key=b"%d" % cell).digest()
-                            one, two = max(first, low), min(last, low + CELL - 1)
-                            out.append((int.from_bytes(key, "little", signed=True), True, row, pos, one, two, data[one : two + length]))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                columns = zip(*out, strict=True) if out else [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "crowded", "row", "pos", "first", "last", "data"])
+                        first, last = a["first"], a["last"]
+                        out.append((a["key"], a["n"] > CROWD, row, a["pos"], first, last, data[first : last + length]))
+                yield _batch(out)
 
     joined = docs.select(row_key().alias("row"), "text").join(per_row, "row").select("row", "text", "found")
     return joined.mapInArrow(run, CONTEXT)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["key", "crowded", "row", "pos", "first", "last", "data"]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _cells(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Deal the strings of contexts into cells of CELL neighbouring starts; the key hashes the bytes they all share.
+
+    Here ``crowded`` says on as before whether the context is the only one of its kind.
+    """
+    for batch in batches:
+        out = []
+        for _, single, row, pos, first, last, data in zip(*(batch.column(n).to_pylist() for n in range(7)), strict=True):
+            base = pos - length + GRAM
+            for cell in range((first - base) // CELL, (last - base) // CELL + 1):
+                low = base + cell * CELL
+                shared = data[low + CELL - 1 - first : low + length - first]
+                key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=b"%d" % cell).digest(), "little", signed=True)
+                one, two = max(first, low), min(last, low + CELL - 1)
+                out.append((key, single, row, pos, one, two, data[one - first : two + length - first]))
+        yield _batch(out)
+
+
 def repeated_starts(group: np.ndarray, shift: np.ndarray, data: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray]]:
     """Sort aligned contexts column by column; for each start column, the rows whose string another row of their group has.
 
@@ -194,39 +203,59 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every string of contexts whose cell is crowded too, as a digest."""
     for batch in batches:
-        h, g, rows, starts = [], [], [], []
-        for row, first, last, data in zip(*(batch.column(n).to_pylist() for n in range(4)), strict=True):
+        h, g, rows, starts, singles = [], [], [], [], []
+        for row, first, last, data, single in zip(*(batch.column(n).to_pylist() for n in range(5)), strict=True):
             for start in range(first, last + 1):
                 digest = hashlib.blake2b(data[start - first : start - first + length], digest_size=16).digest()
                 h.append(int.from_bytes(digest[:8], "little", signed=True)), g.append(int.from_bytes(digest[8:], "little", signed=True))
-                rows.append(row), starts.append(start)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (h, g, rows, starts)], ["h", "g", "row", "start"])
+                rows.append(row), starts.append(start), singles.append(single)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, pa.int64()) for c in (h, g, rows, starts)), pa.array(singles, pa.bool_())], ["h", "g", "row", "start", "single"]
+        )
 
 
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
-    """row, start, stop: byte ranges made of strings that start anywhere else too; ranges may touch or overlap."""
+    """row, start, stop: byte ranges made of strings that start anywhere else too; ranges may touch or overlap.
+
+    Three exact ways, by how many share a key. Collections of up to CROWD contexts are sorted. In larger ones equal
+    contexts settle each other, and one of each is dealt into cells, whose collections are sorted if they are small
+    enough. Strings of cells that are crowded still are counted by digest, which combines before it shuffles.
+    """
     anchors = stored(anchor_table(docs, length), "column-anchors")
     found = stored(contexts(docs, anchors, length), "column-contexts")
-    cells = found.filter("crowded").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    marked = found.filter("crowded").join(cells, "key")
     fields = ["key", "row", "pos", "first", "last", "data"]
+    alike = ["key", F.col("first") - F.col("pos"), F.col("last") - F.col("pos"), "data"]
+    crowd = found.filter("crowded").withColumns({"h": F.xxhash64(*alike), "g": F.xxhash64(F.lit("again"), *alike)})
+    kinds = stored(
+        crowd.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "pos", "first", "last", "data")).alias("f")),
+        "column-kinds",
+    )
+    settled = crowd.join(kinds.filter("c > 1").select("h", "g"), ["h", "g"], "left_semi").select(
+        "row", F.col("first").alias("start"), (F.col("last") + length).alias("stop")
+    )
+    cells = stored(
+        kinds.select(F.col("h").alias("key"), (F.col("c") == 1).alias("crowded"), "f.row", "f.pos", "f.first", "f.last", "f.data")
+        .mapInArrow(partial(_cells, length=length), CONTEXT),
+        "column-cells",
+    )
+    sizes = stored(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "column-sizes")
+    marked = cells.join(sizes, "key")
     blocks = found.filter("NOT crowded").select(*fields).unionByName(marked.filter(F.col("n") <= CROWD).select(*fields))
     sorted_out = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(
         partial(_sorted_blocks, length=length), "row BIGINT, start BIGINT, stop BIGINT"
     )
-    # Equal contexts settle each other; only one of each is looked at string by string.
-    alike = ["key", F.col("first") - F.col("pos"), F.col("last") - F.col("pos"), "data"]
-    crowd = marked.filter(F.col("n") > CROWD).withColumns({"h": F.xxhash64(*alike), "g": F.xxhash64(F.lit("again"), *alike)})
-    kinds = crowd.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "first", "last", "data")).alias("f"))
-    equal = crowd.join(kinds.filter(F.col("c") > 1), ["h", "g"], "left_semi").select(
-        "row", F.col("first").alias("start"), (F.col("last") + length).alias("stop")
+    strings = stored(
+        marked.filter(F.col("n") > CROWD).select("row", "first", "last", "data", "crowded").mapInArrow(
+            partial(_windows, length=length), "h BIGINT, g BIGINT, row BIGINT, start BIGINT, single BOOLEAN"
+        ),
+        "column-strings",
     )
-    strings = kinds.select("f.row", "f.first", "f.last", "f.data").mapInArrow(
-        partial(_windows, length=length), "h BIGINT, g BIGINT, row BIGINT, start BIGINT"
+    twice = stored(strings.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("h", "g"), "column-twice")
+    # Strings of contexts with copies are settled.
+    hot = strings.filter("single").join(twice, ["h", "g"], "left_semi").select(
+        "row", "start", (F.col("start") + length).alias("stop")
     )
-    twice = strings.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    hot = strings.join(twice, ["h", "g"], "left_semi").select("row", "start", (F.col("start") + length).alias("stop"))
-    return stored(sorted_out.unionByName(equal).unionByName(hot), "column-ranges")
+    return stored(sorted_out.unionByName(settled).unionByName(hot), "column-ranges")
 
 
 def dedup_bytes(docs: DataFrame, length: int = 200) -> DataFrame:
