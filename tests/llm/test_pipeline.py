@@ -18,7 +18,8 @@ def test_each_stage_decides_on_what_the_last_one_kept(spark):
         else:
             assert after.keys() == before.keys() and all(len(t) <= len(before[d]) for d, t in after.items())
         sizes.append(len(after))
-    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] >= sizes[4] > sizes[0] // 2
+    # A copy has lost all its lines by the time near-duplicates are sought, so few or none may be left here.
+    assert sizes[0] > sizes[1] == sizes[2] >= sizes[3] >= sizes[4] > sizes[0] // 2
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert tokens.count() == sizes[-1]
 
@@ -35,3 +36,23 @@ def test_stages_take_empty_tables(spark):
     docs = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_one_document_of_each_group_stays(spark):
+    docs = table(spark, SF, "documents")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    texts = {}
+    for r in docs.orderBy("doc_id").collect():
+        texts.setdefault(r["text"], []).append(r["doc_id"])
+    assert any(len(ids) > 1 for ids in texts.values())
+    assert all(not kept & set(ids[1:]) for ids in texts.values())
+
+
+def test_no_benchmark_passage_stays(spark):
+    docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()}
+    planted = {
+        d["doc_id"] for d in docs.collect() for i in items.collect()
+        if " ".join(i["text"].lower().split()[:12]) in " ".join(d["text"].lower().split())
+    }
+    assert planted and not kept & planted and len(kept) > docs.count() // 2
