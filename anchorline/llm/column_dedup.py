@@ -27,8 +27,9 @@ from anchorline.llm.store import stored
 GRAM = 16
 PIECE = 1_000_000
 CELL = 24
-# Contexts that are sorted together. Larger collections are told apart by longer common strings first.
-CROWD = 1000
+# Contexts that are sorted together: their table of symbols takes 4 MB. Larger collections are told apart by longer
+# common strings first.
+CROWD = 5000
 OUTSIDE = 256
 
 
