@@ -155,7 +155,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_unit_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unit_dedup.dedup_units(docs).select(
+    return unit_dedup.dedup_units(docs, least_line=1).select(
         "doc_id", F.size("removed").cast("long").alias("n_removed"), F.length("kept").cast("long").alias("kept_chars"),
         F.sha2("kept", 256).alias("kept_sha256"),
         F.transform("removed", lambda r: r["start"]).alias("starts"),

@@ -20,8 +20,11 @@ SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"\w+")
 
 
-def units(text: str, least: int) -> Iterator[tuple[int, int, bytes]]:
-    """Start, end and 16-byte digest of each unit of at least ``least`` words, normalised to lower-case words."""
+def units(text: str, least: int, least_line: int) -> Iterator[tuple[int, int, bytes]]:
+    """Start, end and 16-byte digest of each unit, normalised to lower-case words.
+
+    Whole lines have at least ``least_line`` words, sentences of a line that has several at least ``least``.
+    """
     for line in LINE.finditer(text):
         parts = []
         for found in SENTENCE.finditer(line.group()):
@@ -29,10 +32,10 @@ def units(text: str, least: int) -> Iterator[tuple[int, int, bytes]]:
             if words:
                 parts.append((line.start() + found.start(), line.start() + found.end(), words))
         whole = [w for _, _, words in parts for w in words]
-        if len(parts) > 1 and len(whole) >= least:
+        if len(parts) > 1 and len(whole) >= least_line:
             yield line.start(), line.end(), _digest(whole)
         for start, end, words in parts:
-            if len(words) >= least:
+            if len(words) >= (least if len(parts) > 1 else least_line):
                 yield start, end, _digest(words)
 
 
@@ -40,7 +43,7 @@ def _digest(words: list[str]) -> bytes:
     return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def unit_table(docs: DataFrame, least: int) -> DataFrame:
+def unit_table(docs: DataFrame, least: int, least_line: int) -> DataFrame:
     """doc_id, row, h, g (the digest), start, stop (characters) of every unit."""
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -50,7 +53,7 @@ def unit_table(docs: DataFrame, least: int) -> DataFrame:
                 batch = whole.slice(at, 256)
                 of, h, g, start, stop = [], [], [], [], []
                 for n, text in enumerate(batch.column(2)):
-                    for a, b, digest in units(text.as_py() or "", least):
+                    for a, b, digest in units(text.as_py() or "", least, least_line):
                         of.append(n), start.append(a), stop.append(b)
                         h.append(int.from_bytes(digest[:8], "little", signed=True))
                         g.append(int.from_bytes(digest[8:], "little", signed=True))
@@ -66,9 +69,9 @@ def unit_table(docs: DataFrame, least: int) -> DataFrame:
     )
 
 
-def repeated_units(docs: DataFrame, least: int = 6) -> DataFrame:
+def repeated_units(docs: DataFrame, least: int = 6, least_line: int | None = None) -> DataFrame:
     """Units that repeat an earlier one: row, start, stop, first (doc_id, start of the earliest)."""
-    found = unit_table(docs, least)
+    found = unit_table(docs, least, least if least_line is None else least_line)
     firsts = found.groupBy("h", "g").agg(
         F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") > 1).select("h", "g", "first")
@@ -87,14 +90,15 @@ def _cut(text: str, spans: list[dict]) -> str:
     return "".join(kept)
 
 
-def dedup_units(docs: DataFrame, least: int = 6) -> DataFrame:
+def dedup_units(docs: DataFrame, least: int = 6, least_line: int | None = None) -> DataFrame:
     """doc_id, kept (the text without repeated units), removed (start, stop, first: doc_id and start of the original).
 
-    Offsets are characters of the original text, sorted; a removed line also lists its removed sentences. Units under
-    ``least`` words stay. Earlier means by doc_id (null ids first), a hash of the row, then offset. A null text stays
+    Offsets are characters of the original text, sorted; a removed line also lists its removed sentences. What stays
+    are lines under ``least_line`` words (``least`` if not given), and sentences under ``least`` words of a line that
+    has several and does not repeat as a whole; such sentences are no originals either. Earlier means by doc_id (null ids first), a hash of the row, then offset. A null text stays
     null; rows equal in doc_id and text are one document and come out alike; other columns are ignored.
     """
-    per_row = repeated_units(docs, least).groupBy(F.col("row").alias("__row")).agg(
+    per_row = repeated_units(docs, least, least_line).groupBy(F.col("row").alias("__row")).agg(
         F.array_sort(F.collect_set(F.struct("start", "stop", "first"))).alias("removed")
     )
     kind = dict(docs.dtypes)["doc_id"]

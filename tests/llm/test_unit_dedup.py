@@ -1,6 +1,8 @@
+import hashlib
+import random
 import re
 
-from anchorline.llm import unit_dedup
+from anchorline.llm import queries, unit_dedup
 
 
 def test_keeps_the_earliest_occurrence(docs):
@@ -49,3 +51,34 @@ def test_empty_table_and_equal_rows(spark, docs):
     text = "one two three four five six seven"
     rows = spark.createDataFrame([(1, text, 1), (1, text, 2), (None, text, 3)], "doc_id BIGINT, text STRING, row INT")
     assert sorted(r["kept"] for r in unit_dedup.dedup_units(rows).collect()) == ["", "", text]
+
+
+def test_short_lines_go_and_short_sentences_inside_lines_stay(spark, docs, tmp_path):
+    draw = random.Random(3)
+    line = lambda n: " ".join(draw.choice("abc") for _ in range(n))
+    rows = [(d, "\n".join(draw.choice(["", "--", "{0}", "{0}!", "Yes. {0}"]).format(line(draw.randrange(1, 7))) for _ in range(8))) for d in range(40)]
+    rows += [(100, "All rights reserved."), (101, "ALL rights, reserved"), (102, "All rights reserved. Own words. Yes."), (103, "... Yes."), (104, "yes")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5(spark, str(tmp_path)).collect()}
+    seen = set()
+    for d, text in rows:
+        at, starts, kept = 0, [], []
+        for whole in text.split("\n"):
+            words = tuple(re.findall(r"\w+", whole.lower()))
+            body = whole.removeprefix("... ") if whole.startswith("...") else whole
+            if words and words in seen:
+                starts.append(at + (3 if body != whole else 0))
+                kept.append("..." if body != whole else "")
+            else:
+                kept.append(whole)
+            # The only sentences of six words or more stand after "Yes.".
+            if whole.startswith("Yes. ") and len(words) == 7:
+                if words[1:] in seen:
+                    starts.append(at + 4)
+                    kept[-1] = kept[-1] and "Yes."
+                seen.add(words[1:])
+            seen |= {words} if words else set()
+            at += len(whole) + 1
+        assert got[d]["starts"] == sorted(starts), (d, text)
+        assert got[d]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+    assert got[101]["first_doc_ids"] == [100] and got[102]["n_removed"] == 0
