@@ -18,6 +18,8 @@ WORDED = r"[^\x20\x09-\x0D]"
 # Letters whose counts are compared, and the bits of each count. Any letters would do; frequent ones tell most.
 COUNTED = "enthaorisdlu"
 BITS = 5
+# The least length at which two edits change at most a quarter of a line. Of shorter ones most near pairs are chance.
+SHORT = 8
 
 
 def _segment(length: str, i: int, parts: int) -> tuple[str, str]:

@@ -172,7 +172,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_edit_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return edit_join.dedup_lines(docs).select(
+    return edit_join.dedup_lines(docs, shortest=edit_join.SHORT).select(
         "doc_id", F.col("__n_lines").alias("n_lines"), F.size("__removed").cast("long").alias("n_removed"),
         F.col("__n_links").alias("n_links"), F.length("text").cast("long").alias("kept_chars"),
         F.sha2("text", 256).alias("kept_sha256"),

@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line equals or nearly equals go; every document stays, maybe without text."""
-    found = edit_join.dedup_lines(docs).select(docs.columns)
+    found = edit_join.dedup_lines(docs, shortest=edit_join.SHORT).select(docs.columns)
     return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
 
 

@@ -1,6 +1,7 @@
 import random
 
-from anchorline.llm import edit_join
+import corpus_pipeline
+from anchorline.llm import edit_join, queries
 
 
 def distance(a, b):
@@ -66,3 +67,20 @@ def test_repeated_rows_extra_columns_and_empty_table(spark, docs):
     kept = sorted((r["line"], r["text"]) for r in got.collect())
     assert kept == [(7, ""), (8, ""), (9, line + "s")]
     assert edit_join.dedup_lines(docs([])).count() == 0
+
+
+def test_short_lines_of_op7_and_the_pipeline_equal_brute_force(spark, docs, tmp_path):
+    draw = random.Random(9)
+    base = ["".join(draw.choice("abcde é") for _ in range(draw.randrange(6, 31))) for _ in range(12)]
+    rows = [(d, "\n".join(edited(draw.choice(base), draw.randrange(4), draw) for _ in range(4))) for d in range(60)]
+    rows += [(100, "Eding enin."), (101, "Eding in."), (102, "Und | äbe."), (103, "Und äbe."), (104, "And.\nAre."), (105, "sevenab\nsevenabc")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows, 2, 8)
+    got = {r["doc_id"]: r for r in queries.op7(spark, str(tmp_path)).collect()}
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs(rows), str(tmp_path)).collect()}
+    for d, text in rows:
+        gone = [n for n, *_ in want[d][0]]
+        assert (got[d]["removed_lines"], got[d]["keeper_doc_ids"], got[d]["n_links"]) == (gone, [k for _, k, _ in want[d][0]], want[d][1]), d
+        assert staged[d] == "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
+    assert got[101]["keeper_doc_ids"] == [100] and got[103]["keeper_doc_ids"] == [102]
+    assert got[104]["n_removed"] == got[105]["n_removed"] == 0
