@@ -168,6 +168,20 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, size: i
     )
 
 
+def proximity(docs: DataFrame, items: DataFrame, slop: int = 20, size: int = PHRASE) -> DataFrame:
+    """All columns of ``docs`` plus ``near``: sorted item (id as text) and least distance, empty where there is none."""
+    per_row = (
+        proximity_matches(docs, items, slop, size)
+        .groupBy(F.col("row").alias("__row"), "item").agg(F.min("near").alias("near"))
+        .groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("item", "near"))).alias("__near"))
+    )
+    return (
+        docs.withColumn("__row", row_key()).join(per_row, "__row", "left")
+        .withColumn("near", F.coalesce("__near", F.expr("CAST(array() AS ARRAY<STRUCT<item: STRING, near: INT>>)")))
+        .select(*[c for c in docs.columns if c != "near"], "near")
+    )
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = PHRASE) -> DataFrame:
     """All columns of ``docs`` plus n_words, n_hit (words inside an occurrence), items (sorted ids, as text).
 

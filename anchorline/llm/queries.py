@@ -152,6 +152,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A query of its own: the SQL of op4_phrase_index names its columns.
+@query("op4_proximity")
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.proximity(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", F.size("near").cast("long").alias("n_items"), F.array_min("near.near").alias("least"),
+        F.sha2(F.concat_ws(",", F.transform("near", lambda n: F.concat(n["item"], F.lit(":"), n["near"].cast("string")))), 256).alias("near_sha256"),
+    )
+
+
 @query("op5_unit_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

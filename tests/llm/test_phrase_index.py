@@ -1,7 +1,9 @@
+import hashlib
 import random
 import re
+from collections import Counter
 
-from anchorline.llm import phrase_index as P
+from anchorline.llm import phrase_index as P, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -56,3 +58,42 @@ def test_proximity_in_any_order(spark, docs):
     rows = docs([(1, "beta q q alpha"), (2, "alpha " + "q " * 30 + "beta"), (3, "gamma delta"), (4, None), (5, "alpha alpha delta delta gamma")])
     got = {r["near"] for r in P.proximity_matches(rows, items, slop=5).collect()}
     assert got == {3}
+
+
+def near_brute(docs, items, slop=20, size=10):
+    counts = Counter(w for _, t in docs for w in words(t))
+    pairs = set()
+    for i, t in items:
+        v = words(t)
+        k = min(size, len(v))
+        for s in range(len(v) - k + 1 if v else 0):
+            rare = sorted((counts[v[at]], at) for at in range(s, s + k))[:2]
+            if rare[0][0]:
+                pairs.add(("" if i is None else str(i), v[rare[0][1]], v[rare[-1][1]], len(rare) == 1))
+    out = {}
+    for d, t in docs:
+        places = {}
+        for n, w in enumerate(words(t)):
+            places.setdefault(w, []).append(n)
+        near = {}
+        for item, a, b, single in pairs:
+            for gap in (abs(p - q) for p in places.get(a, ()) for q in places.get(b, ())):
+                if gap <= slop and (gap or single):
+                    near[item] = min(near.get(item, gap), gap)
+        told = ",".join(f"{i}:{n}" for i, n in sorted(near.items()))
+        out[d] = (len(near), min(near.values(), default=None), hashlib.sha256(told.encode()).hexdigest())
+    return out
+
+
+def test_proximity_query_equals_brute_force(spark, docs, tmp_path):
+    draw = random.Random(4)
+    vocab = ["the"] * 12 + ["of", "É", "Ünd", *[f"w{n}" for n in range(60)]]
+    items = [(n, " ".join(draw.choice(vocab) for _ in range(draw.choice([1, 2, 5, 10, 11, 25])))) for n in range(20)]
+    items += [(100, None), (None, "w1 w2"), (5, "w3 w4 the"), (101, "the the the"), (102, "the nowhere")]
+    rows = [(n, " ".join(draw.choice(vocab) for _ in range(draw.randrange(200)))) for n in range(50)]
+    rows += [(200, None), (201, ""), (202, "the " * 500), (203, "w1 " + "x " * 25 + "w2"), (204, "w1 " + "x " * 19 + "w2 w2")]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id BIGINT, text STRING").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op4_proximity"](spark, str(tmp_path)).collect()}
+    assert got == near_brute(rows, items)
+    assert sum(g[0] > 0 for g in got.values()) > 20 and got[200][:2] == (0, None)
