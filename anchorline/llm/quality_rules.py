@@ -121,6 +121,14 @@ def judge(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def judge_all(rows: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """Add the verdicts of several policies to a ledger: ``kept_`` and ``sole_rule_`` with the name of each."""
+    for policy in policies:
+        judged = judge(rows, policy)
+        rows = judged.withColumnsRenamed({"kept": f"kept_{policy}", "sole_rule": f"sole_rule_{policy}"}).drop("rejected_by")
+    return rows
+
+
 def ablations(rows: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
     """Per policy and rule: documents, failures, rejections with and without the rule.
 

@@ -1,8 +1,9 @@
 import random
 import re
+import unicodedata
 from collections import Counter
 
-from anchorline.llm import quality_rules as Q
+from anchorline.llm import quality_rules as Q, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,3 +51,26 @@ def test_empty_table_and_clashing_columns(spark, docs):
     assert Q.ablations(Q.ledger(docs([]))).count() == 0
     rows = spark.createDataFrame([(1, "a b", "words", 3)], "doc_id BIGINT, text STRING, words STRING, failed INT")
     assert Q.ledger(rows).first()["n_words"] == 2
+
+
+def test_every_policy_and_its_ablations_over_whole_documents(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    fails = {}
+    for d, text in texts.items():
+        n, chars, symbols, twice, repeated = brute(text)
+        lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        upper = sum(unicodedata.category(c) == "Lu" for c in text or "")
+        told = (n < 20, 100 * repeated > 30 * n, 10 * symbols > n, 10 * twice > 3 * lines, not 2 * n <= chars <= 15 * n, 2 * upper > chars)
+        fails[d] = {r.name for r, hit in zip(Q.RULES, told, strict=True) if hit}
+    verdicts = {r["doc_id"]: r for r in queries.QUERIES["op1_verdicts"](spark, "/root/testdata/sf0.001").collect()}
+    assert verdicts.keys() == texts.keys()
+    want = set()
+    for policy, rules in Q.POLICIES.items():
+        hit = {d: f & set(rules) for d, f in fails.items()}
+        for d, h in hit.items():
+            assert verdicts[d][f"kept_{policy}"] == (not h)
+            assert verdicts[d][f"sole_rule_{policy}"] == (min(h) if len(h) == 1 else None)
+        for rule in rules:
+            want.add((policy, rule, len(texts), sum(rule in f for f in fails.values()), sum(bool(h) for h in hit.values()),
+                      sum(bool(h - {rule}) for h in hit.values()), sum(h == {rule} for h in hit.values())))
+    assert {tuple(r) for r in queries.QUERIES["op1_rule_ablations"](spark, "/root/testdata/sf0.001").collect()} == want
