@@ -9,8 +9,6 @@ from anchorline.contracts import TABLES  # noqa: E402
 from anchorline.session import local_session  # noqa: E402
 from anchorline.sources.raw import typed_population  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -63,7 +61,3 @@ class Population:
 @pytest.fixture
 def population():
     return Population()
-
-
-def by_id(df, key="encounter_id"):
-    return {r[key]: r.asDict() for r in df.collect()}

@@ -1,5 +1,5 @@
 import pytest
-from conftest import by_id
+from tables import by_id
 
 from anchorline.contracts import ENCOUNTERS
 from anchorline.operators.joins import checked_lookup

@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import by_id
+from tables import by_id
 
 import brute
 from anchorline.contracts import FEATURE_COLUMNS, FLAG_CODES

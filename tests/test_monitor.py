@@ -2,7 +2,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from tables import SMALL
 from pyspark.sql import functions as F
 from test_features import random_population
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import by_id
+from tables import by_id
 from pyspark.sql import functions as F
 from test_features import random_population
 
