@@ -5,17 +5,19 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anchorline.llm import (
-    bpe, chat_trees, column_dedup, edit_join, jaccard_join, pairwise_quality, phrase_index, quality_rules, toxicity, unit_dedup,
+    bpe, chat_trees, column_dedup, edit_join, hard_negatives, jaccard_join, packing, pairwise_quality, phrase_index,
+    quality_rules, toxicity, unit_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# The folder of the public tokenizer files; a cluster may name another place.
-TOKENIZERS = os.environ.get("ANCHORLINE_TOKENIZERS", "/opt/tokenizers")
+# A folder of tokenizer files instead of the installed public ones.
+TOKENIZERS = os.environ.get("ANCHORLINE_TOKENIZERS")
 
 
 def query(name: str, sql: str | None = None):
@@ -115,7 +117,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    with open(os.path.join(TOKENIZERS, name), encoding="utf-8") as file:
+    with open(os.path.join(TOKENIZERS, name) if TOKENIZERS else public_tokenizers.path(name), encoding="utf-8") as file:
         return file.read()
 
 
@@ -211,3 +213,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.expr("aggregate(removed, 0L, (n, r) -> n + r.stop - r.start)").alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+    return found.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query("op13_hard_negatives", """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+                   AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
