@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anchorline.llm import (
     bpe, chat_trees, column_dedup, edit_join, hard_negatives, jaccard_join, packing, pairwise_quality, phrase_index,
-    quality_rules, toxicity, unit_dedup,
+    quality_rules, spelling_trie, toxicity, unit_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,8 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+@query("op11_spelling_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_trie.variants(spelling_trie.count_words(table(spark, sf_dir, "documents"), spelling_trie.slipped))
