@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from anchorline.catalog import common
 from anchorline.catalog.registry import UNIFORM, holdout_sql, query
-from anchorline.contracts import BOOTSTRAP_SEED, SPLIT_SEED
-from anchorline.operators.bootstrap import bootstrap_intervals, entity_weights
+from anchorline.contracts import BOOTSTRAP_REPLICATES, BOOTSTRAP_SEED, SPLIT_SEED
+from anchorline.operators.bootstrap import WORDS, bootstrap_intervals, entity_weights, poisson_bounds
 from anchorline.operators.metrics import brier, calibration, calibration_error, ranking
 from anchorline.operators.rank import bin_of, with_row_number
 from anchorline.operators.sampling import is_holdout
@@ -16,7 +16,7 @@ from anchorline.plans.gate import gate_checks, subgroup_metrics, subgroup_rows,
 from anchorline.session import materialize
 from anchorline.sources import testdata
 
-REPLICATES = 200
+REPLICATES = BOOTSTRAP_REPLICATES
 PAIRS = """(SELECT sum(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) / count(*)
   FROM (SELECT score FROM {0} WHERE label = 1) p, (SELECT score FROM {0} WHERE label = 0) n)"""
 AP = """(SELECT sum(pos * tp / (tp + fp)) / max(total) FROM (
@@ -71,14 +71,25 @@ def ece(spark, d):
     return calibration_error(calibration(common.scored(spark, d), "encounter_id")).select(F.round("ece", 9).alias("ece"))
 
 
+# The Poisson laws by level, as far as any table here needs them.
+LAWS = "CASE level " + " ".join(f"WHEN {j} THEN {[float(t) for t in poisson_bounds(j)]}" for j in range(16)) + " END"
 DRAWS = HOLDOUT + f"""
-, entities AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id) AS idx, count(*) OVER () AS n
+, entities AS (SELECT patient_id, row_number() OVER (ORDER BY CAST(patient_id AS VARCHAR)) AS idx, count(*) OVER () AS n
                FROM (SELECT DISTINCT patient_id FROM holdout)),
-draws AS (SELECT CAST(rep AS INTEGER) AS replicate,
-                 CAST(floor({UNIFORM.format(f"'{BOOTSTRAP_SEED}/' || rep || '/' || slot")} * n) AS BIGINT) + 1 AS idx
-          FROM range({REPLICATES}) r(rep), (SELECT max(n) AS n FROM entities) t, LATERAL (SELECT unnest(range(t.n)) AS slot)),
-weights AS (SELECT replicate, patient_id, count(*) AS weight FROM draws JOIN entities USING (idx) GROUP BY 1, 2),
-resampled AS (SELECT w.replicate, h.encounter_id, h.score, h.label, w.weight FROM holdout h JOIN weights w USING (patient_id)),
+law AS (SELECT n, {LAWS} AS bounds FROM (SELECT max(n) AS n, greatest(0, floor(log2(greatest(1, sqrt(max(n)) / 6)))) AS level FROM entities)),
+digests AS (SELECT patient_id, b, sha256('{BOOTSTRAP_SEED}/' || patient_id || '/' || b) AS h
+            FROM entities, range({-(-REPLICATES // WORDS)}) r(b)),
+own AS (SELECT patient_id, CAST({WORDS} * b + k AS INTEGER) AS replicate,
+               len(list_filter(bounds, lambda t: t <= CAST('0x' || substr(h, 1 + 8 * k, 8) AS BIGINT))) AS weight
+        FROM digests, range({WORDS}) r(k), law WHERE {WORDS} * b + k < {REPLICATES}),
+missing AS (SELECT replicate, n, sum(weight) > n AS anew, CASE WHEN sum(weight) > n THEN n ELSE n - sum(weight) END AS m
+            FROM own, law GROUP BY replicate, n),
+extra AS (SELECT replicate, CAST(floor({UNIFORM.format(f"'{BOOTSTRAP_SEED}/extra/' || replicate || '/' || slot")} * n) AS BIGINT) + 1 AS idx
+          FROM missing, LATERAL (SELECT unnest(range(CAST(m AS BIGINT))) AS slot)),
+weights AS (SELECT patient_id, replicate, CAST(sum(weight) AS BIGINT) AS weight FROM (
+  SELECT patient_id, replicate, CASE WHEN anew THEN 0 ELSE weight END AS weight FROM own JOIN missing USING (replicate)
+  UNION ALL SELECT patient_id, replicate, 1 FROM extra JOIN entities USING (idx)) GROUP BY ALL),
+resampled AS (SELECT w.replicate, h.encounter_id, h.score, h.label, w.weight FROM holdout h JOIN weights w USING (patient_id) WHERE weight > 0),
 by_score AS (SELECT replicate, score, sum(weight * label) AS pos, sum(weight * (1 - label)) AS neg FROM resampled GROUP BY 1, 2),
 ranked AS (SELECT *, sum(neg) OVER (PARTITION BY replicate ORDER BY score) - neg AS below,
                   sum(pos) OVER d AS tp, sum(neg) OVER d AS fp FROM by_score
@@ -95,9 +106,15 @@ replicates AS (SELECT * FROM rank_metrics JOIN eces USING (replicate) JOIN losse
 """
 
 
-@query("bootstrap_weights", DRAWS + "SELECT * FROM weights")
+# One row an entity: its thousand weights as a digest, with what they add up to.
+@query("bootstrap_weights", DRAWS + """SELECT patient_id, sum(weight)::BIGINT AS drawn, count(*) FILTER (WHERE weight > 0) AS replicates,
+  sha256(string_agg(weight, ',' ORDER BY replicate)) AS weights_sha256 FROM weights GROUP BY 1""")
 def bootstrap_weights(spark, d):
-    return entity_weights(holdout(spark, d).select("patient_id"), REPLICATES, BOOTSTRAP_SEED)
+    return entity_weights(holdout(spark, d).select("patient_id"), REPLICATES, BOOTSTRAP_SEED).select(
+        "patient_id", F.expr("aggregate(weights, 0L, (a, w) -> a + w)").alias("drawn"),
+        F.size(F.filter("weights", lambda w: w > 0)).cast("long").alias("replicates"),
+        F.sha2(F.array_join("weights", ","), 256).alias("weights_sha256"),
+    )
 
 
 INTERVAL = """SELECT '{0}' AS metric, round({1}, 9) AS value, round(quantile_cont({0}, 0.025), 9) AS ci_low,

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 import brute
-from anchorline.operators.bootstrap import bootstrap_intervals, entity_weights
+from anchorline.operators import bootstrap
+from anchorline.operators.bootstrap import bootstrap_intervals, entity_weights, poisson_level
 from anchorline.operators.metrics import calibration, calibration_error, ranking, score_summary
 from anchorline.operators.rank import bin_of, exact_quantiles, running_totals, with_row_number
 from anchorline.operators.sampling import is_holdout, sample_entities
@@ -95,13 +96,77 @@ def test_exact_quantiles_of_groups(spark):
     assert got == {"a": 5.0, "b": 5.0}
 
 
-def test_bootstrap_draws_as_many_entities_as_there_are(spark):
-    ids = spark.createDataFrame([(f"p{i}",) for i in range(37)], "patient_id STRING")
-    weights = entity_weights(ids, 20, 1)
-    sums = {r["replicate"]: r["w"] for r in weights.groupBy("replicate").agg(F.sum("weight").alias("w")).collect()}
-    assert sums == {r: 37 for r in range(20)}
-    again = entity_weights(ids.repartition(5), 20, 1)
-    assert sorted(map(tuple, weights.collect())) == sorted(map(tuple, again.collect()))
+@pytest.mark.parametrize("n", [1, 3, 37, 700])
+def test_bootstrap_draws_as_many_entities_as_there_are(spark, n):
+    ids = spark.createDataFrame([(f"p{i}",) for i in range(n)], "patient_id STRING")
+    weights = {r["patient_id"]: r["weights"] for r in entity_weights(ids, 20, 1).collect()}
+    assert len(weights) == n and [sum(c) for c in zip(*weights.values(), strict=True)] == [n] * 20
+    again = entity_weights(ids.union(ids).repartition(5), 20, 1)
+    assert {r["patient_id"]: r["weights"] for r in again.collect()} == weights
+    if n > 3:
+        assert weights != {r["patient_id"]: r["weights"] for r in entity_weights(ids, 20, 2).collect()}
+
+
+def test_weights_follow_the_multinomial_law(spark):
+    n, reps = 900, 200
+    found = np.array([r["weights"] for r in entity_weights(spark.range(n).select(F.col("id").alias("p")), reps, 3).collect()])
+    # Poisson and one-by-one draws together: mean 1, variance 1 - 1/n, and the share never drawn (1 - 1/n)^n.
+    assert found.mean() == 1 and abs(found.var() - (1 - 1 / n)) < 0.02
+    assert abs((found == 0).mean() - (1 - 1 / n) ** n) < 0.005
+    assert poisson_level(n) > 0 and abs(np.corrcoef(found[:, 0], found[:, 1])[0, 1]) < 0.15
+
+
+def test_replicates_that_hash_to_too_many_draws_are_drawn_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "poisson_level", lambda n: 12)
+    found = np.array([r["weights"] for r in entity_weights(spark.range(50).select(F.col("id").alias("p")), 60, 3).collect()])
+    assert (found.sum(axis=0) == 50).all()
+
+
+def plain_metrics(rows):
+    """Metrics of rows (score, id, label) written out, ties and copies included."""
+    rows = sorted(rows)
+    pos, neg = [s for s, _, y in rows if y], [s for s, _, y in rows if not y]
+    if not pos or not neg:
+        return None
+    auroc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    ap = sum(sum(p >= s for p in pos) / (sum(p >= s for p in pos) + sum(n >= s for n in neg)) for s in pos) / len(pos)
+    parts = [x for x in np.array_split(np.array([(s, y) for s, _, y in rows]), min(10, len(rows)))]
+    ece = sum(len(x) * abs(x[:, 0].mean() - x[:, 1].mean()) for x in parts) / len(rows)
+    return auroc, ap, ece, sum((s - y) ** 2 for s, _, y in rows) / len(rows)
+
+
+@pytest.mark.parametrize("ties", [3, 1000])
+def test_every_replicate_equals_the_metrics_of_its_copied_rows(spark, monkeypatch, ties):
+    monkeypatch.setattr(bootstrap, "CHUNK", 7)
+    draw = random.Random(ties)
+    rows = [(i, f"p{draw.randrange(25)}", draw.randrange(ties) / ties, int(draw.random() < 0.3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "encounter_id INT, patient_id STRING, score DOUBLE, label INT").repartition(3)
+    got = bootstrap.replicate_metrics(df, entity="patient_id", row_id="encounter_id", replicates=30, seed=4)
+    weights = {r["patient_id"]: r["weights"] for r in entity_weights(df.select("patient_id"), 30, 4).collect()}
+    for rep in range(31):
+        copies = [(s, i, y) for i, p, s, y in rows for _ in range(weights[p][rep] if rep < 30 else 1)]
+        want = plain_metrics(copies)
+        for value, name in zip(want, ("auroc", "pr_auc", "ece", "brier"), strict=True):
+            assert got[name][rep] == pytest.approx(value, abs=1e-12), (rep, name)
+
+
+def test_intervals_need_both_labels_in_some_replicate(spark):
+    schema = "encounter_id INT, patient_id STRING, score DOUBLE, label INT"
+    ask = lambda rows: bootstrap_intervals(spark.createDataFrame(rows, schema), entity="patient_id", row_id="encounter_id", replicates=4)
+    with pytest.raises(ValueError, match="both labels"):
+        ask([(1, "a", 0.9, 1), (2, "a", 0.8, 1)])
+    with pytest.raises(ValueError, match="both labels"):
+        ask([])
+    # Four draws of two entities hold both labels with seven in eight; one replicate of one draw each never does.
+    with pytest.raises(ValueError, match="no replicate"):
+        bootstrap_intervals(spark.createDataFrame([(1, "a", 0.9, 1), (2, "b", 0.1, 0)], schema), entity="patient_id", row_id="encounter_id",
+                            replicates=1, seed=next(s for s in range(50) if lonely(spark, s)))
+
+
+def lonely(spark, seed):
+    """Whether the only replicate of a seed draws one of two entities twice."""
+    ids = spark.createDataFrame([("a",), ("b",)], "p STRING")
+    return max(r["weights"][0] for r in entity_weights(ids, 1, seed).collect()) == 2
 
 
 def test_intervals_surround_the_estimate(spark):
