@@ -9,7 +9,8 @@ The totals are prefix sums in two or more levels: events are first reduced to on
 (entity, instant), then summed inside a calendar slice, then across slices. A window group is
 never larger than the instants in one slice or the slices in one entity's history, so an entity
 that holds a large share of all rows spreads over as many tasks as it has slices, and no row is
-paired with another.
+paired with another. Probed instants and slice totals are kept in a checkpoint between the levels,
+so a call runs the job that reads the events.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from anchorline.functions.scalar import DAY, MINUTE
+from anchorline.session import materialize
 
-ENTITY, AT, PROBE = "_entity", "_at", "_probe"
+ENTITY, AT, PROBE, LAST = "_entity", "_at", "_probe", "_last"
 
 
 @dataclass(frozen=True)
@@ -92,31 +94,36 @@ def totals_at(
     probed = F.expr(f"bit_or({PROBE}) AS {PROBE}")
     instants = both.groupBy(ENTITY, *levels, AT).agg(*summed, probed)
 
-    # What earlier slices carry into each slice that holds a probe; other slices end here.
-    found = instants
+    # One pass over the slices leaves the probed instants with what their slice holds so far, and each slice's last
+    # instant with all of it. The rest is done with here, so events are read, combined and sorted once.
+    inner = [ENTITY, *levels]
+    by_name = {m.name: m for m in measures}
+    inside = {f"{m.name}__upto": running(m.aggregate, inner, AT, "upto") for m in measures}
+    for total in sorted(totals - set(inside)):
+        inside[total] = running(by_name[total.rsplit("__", 1)[0]].aggregate, inner, AT, "before")
+    last = f"lead({AT}) OVER (PARTITION BY {', '.join(inner)} ORDER BY {AT}) IS NULL AS {LAST}"
+    kept = materialize(
+        instants.selectExpr(*inner, AT, PROBE, last, *[f"{sql} AS {name}" for name, sql in inside.items()])
+        .filter(f"{LAST} OR {PROBE} IS NOT NULL")
+    )
+
+    # What earlier slices carry into each slice.
+    found = kept.filter(f"{PROBE} IS NOT NULL").drop(LAST)
+    ends = kept.filter(LAST).selectExpr(*inner, *[f"{m.name}__upto AS {m.name}" for m in measures])
     for depth in range(len(levels), 0, -1):
         keys = [ENTITY, *levels[:depth]]
-        carried = (
-            instants.groupBy(*keys)
-            .agg(*summed, probed)
-            .selectExpr(
-                *keys, PROBE,
-                *[f"{running(m.aggregate, keys[:-1], keys[-1], 'before')} AS {m.name}__carry{depth}" for m in measures],
-            )
-            .filter(f"{PROBE} IS NOT NULL")
-            .drop(PROBE)
+        whole = ends if depth == len(levels) else ends.groupBy(*keys).agg(*summed)
+        carried = whole.selectExpr(
+            *keys, *[f"{running(m.aggregate, keys[:-1], keys[-1], 'before')} AS {m.name}__carry{depth}" for m in measures]
         )
         found = found.join(carried, keys)
 
-    inner = [ENTITY, *levels]
-    by_name = {m.name: m for m in measures}
     merged = []
     for total in sorted(totals):
-        name, side = total.rsplit("__", 1)
+        name = total.rsplit("__", 1)[0]
         parts = [f"{name}__carry{d}" for d in range(1, len(levels) + 1)]
-        inside = running(by_name[name].aggregate, inner, AT, side)
-        merged.append(f"{by_name[name].merge([inside, *parts])} AS {total}")
-    return found.selectExpr(ENTITY, AT, PROBE, *merged).filter(f"{PROBE} IS NOT NULL")
+        merged.append(f"{by_name[name].merge([total, *parts])} AS {total}")
+    return found.selectExpr(ENTITY, AT, PROBE, *merged)
 
 
 def as_of(

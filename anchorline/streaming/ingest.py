@@ -6,8 +6,8 @@ rules and feature columns after it are the expressions the batch plans use.
 
 from __future__ import annotations
 
-import json
 import sys
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,7 +34,6 @@ OUTPUT = (
     "flags BIGINT, body STRING"
 )
 COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
-EMPTY = {"birth": None, "death": None, "rows": 0, "clock": None, "floor": None, "stays": [], "courses": [], "disorders": [], "history": []}
 
 
 def handler_rows(parsed: DataFrame) -> DataFrame:
@@ -54,6 +53,8 @@ def handler_rows(parsed: DataFrame) -> DataFrame:
         "entity", "kind", F.coalesce("at", F.lit("")).alias("at"), order.alias("kind_order"),
         row_key(tuple(FIELDS)).alias("row_key"), F.concat_ws("|", "kind", key).alias("event_key"), "input_hash",
         time("START").alias("start_us"), time("STOP").alias("stop_us"),
+        # The instant of arrival; demographics and open stays have none.
+        by_kind(encounter=time("STOP"), medication=time("START"), condition=time("START")).alias("at_us"),
         day("BIRTHDATE").alias("birth_day"), day("DEATHDATE").alias("death_day"),
         F.col("Id").alias("encounter_id"), F.col("ENCOUNTERCLASS").alias("encounter_class"),
         F.coalesce(F.col("DESCRIPTION").endswith("(disorder)"), F.lit(False)).alias("is_disorder"),
@@ -63,65 +64,198 @@ def handler_rows(parsed: DataFrame) -> DataFrame:
     )
 
 
+class History:
+    """What discharges read of one patient, as sorted instants: every count is a difference of two positions."""
+
+    # What a state row holds: an ended stay, a course or disorder with its stop, the first date of a flag.
+    INPATIENT, EMERGENCY, COURSE, DISORDER, FLAG = range(5)
+
+    def __init__(self, rows: Iterator[tuple]) -> None:
+        self.rows: list[tuple[int, int, int | None]] = [tuple(r) for r in rows]
+        self.added: list[tuple[int, int, int | None]] = []
+        self.stops: dict[int, list[int]] = {self.INPATIENT: [], self.EMERGENCY: []}
+        self.spans: dict[int, tuple[list[int], list[int]]] = {self.COURSE: ([], []), self.DISORDER: ([], [])}
+        self.firsts: dict[int, int] = {}
+        for row in self.rows:
+            self._place(*row)
+
+    def add(self, kind: int, at: int, more: int | None = None) -> None:
+        if kind == self.FLAG and self.firsts.get(more, at + 1) <= at:
+            return
+        self.added.append((kind, at, more))
+        self._place(kind, at, more)
+
+    def _place(self, kind: int, at: int, more: int | None) -> None:
+        if kind in self.stops:
+            insort(self.stops[kind], at)
+        elif kind == self.FLAG:
+            self.firsts[more] = min(at, self.firsts.get(more, at))
+        else:
+            starts, stops = self.spans[kind]
+            insort(starts, at)
+            if more is not None:
+                insort(stops, more)
+
+    def before(self, kind: int, at: int, span: int) -> int:
+        """Stays with at - span <= stop < at."""
+        return bisect_left(self.stops[kind], at) - bisect_left(self.stops[kind], at - span)
+
+    def last_before(self, kind: int, at: int) -> int | None:
+        n = bisect_left(self.stops[kind], at)
+        return self.stops[kind][n - 1] if n else None
+
+    def active(self, kind: int, at: int) -> int:
+        """Spans with start <= at and no stop or stop > at; spans that hold no instant are never added."""
+        starts, stops = self.spans[kind]
+        return bisect_right(starts, at) - bisect_right(stops, at)
+
+    def flags(self, at: int) -> int:
+        return sum(1 << bit for bit, first in self.firsts.items() if first <= at)
+
+    @classmethod
+    def expiry(cls, kind: int, at: int, more: int | None) -> int | None:
+        """The instant from which no discharge can read a row; None for rows that are read for ever."""
+        if kind in (cls.INPATIENT, cls.EMERGENCY):
+            return at + LOOKBACK_DAYS * DAY
+        return more if kind in (cls.COURSE, cls.DISORDER) else None
+
+
 class PatientState(StatefulProcessor):
-    """One patient's recent history, the keys seen so far, and the discharges already emitted.
+    """One patient's history, the keys seen, and the encounters that have a score: typed rows, appended and expired.
 
-    With ``max_rows``, a new row beyond that many stored ones is refused. With ``slack_days``, history is dropped
-    that no discharge of the last so many days can read: older stays behind the lookback, and intervals that ended.
-    A discharge from before that is not given features but the outcome ``late``. Of rows seen, only hashes are kept.
+    State is four variables: ``person`` (one row), and the lists ``history`` (see ``History``), ``seen`` (key, instant,
+    hashes of the fields) and ``scored`` (encounter ids). A batch reads each once and appends what is new.
+
+    Whether a discharge is emitted is decided by the absence of its encounter from ``scored``, which starts from the
+    prediction log; a discharge posted again is answered if its score is missing, whatever was seen.
+
+    With ``max_rows``, a new row beyond that many stored ones is refused. With ``expiring``, event time is followed:
+    a row from before the watermark comes out as ``late`` with its body and changes nothing, and a timer drops history
+    that no discharge from the watermark on can read, the keys of rows from before it and the scores of such discharges.
     """
 
-    def __init__(self, max_rows: int | None = None, slack_days: int | None = None) -> None:
-        self.max_rows, self.slack = max_rows, None if slack_days is None else slack_days * DAY
+    def __init__(self, max_rows: int | None = None, expiring: bool = False) -> None:
+        self.max_rows, self.expiring = max_rows, expiring
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getValueState("history", "body STRING")
-        self.seen = handle.getMapState("seen", "event_key STRING", "prints STRING, emitted BOOLEAN")
+        self.handle = handle
+        self.person = handle.getValueState("person", "birth INT, death INT, n_rows BIGINT, timer BIGINT")
+        self.history = handle.getListState("history", "kind INT, at BIGINT, more BIGINT")
+        self.seen = handle.getListState("seen", "event_key STRING, at BIGINT, prints STRING")
+        self.scored = handle.getListState("scored", "encounter_id STRING, at BIGINT")
 
     def close(self) -> None:
         pass
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The encounters of the prediction log: encounter_id, at_us."""
+        rows = initialState[["encounter_id", "at_us"]].drop_duplicates("encounter_id")
+        if len(rows):
+            self.scored.appendList([(str(r.encounter_id), int(r.at_us)) for r in rows.itertuples(index=False)])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.history.get()[0]) if self.history.exists() else json.loads(json.dumps(EMPTY))
-        fresh: dict = {}
+        self.mark = timerValues.getCurrentWatermarkInMs() * 1000 if self.expiring else None
+        found = self.person.get() if self.person.exists() else None
+        self.birth, self.death, self.n_rows, timer = found if found else (None, None, 0, None)
+        self.past = History(self.history.get())
+        self.known = {k: prints for k, _, prints in self.seen.get()}
+        self.have = {i for i, _ in self.scored.get()}
+        self.fresh_keys, self.fresh_scores, fresh = [], [], {}
         for chunk in rows:
             out: list = []
             for row in chunk.sort_values(["at", "kind_order", "row_key"]).itertuples(index=False):
-                self._gather(state, fresh, row, out)
-            yield self._frame(out)
-        yield self._frame([self._ingest(state, row) for row in sorted(fresh.values(), key=self._position)])
-        self._forget(state)
-        self.history.update((json.dumps(state),))
+                self._gather(fresh, row, out)
+            if out:
+                yield self._frame(out)
+        if fresh:
+            yield self._frame([self._ingest(row) for row in sorted(fresh.values(), key=self._position)])
+        if self.past.added:
+            self.history.appendList(self.past.added)
+        if self.fresh_keys:
+            self.seen.appendList(self.fresh_keys)
+        if self.fresh_scores:
+            self.scored.appendList(self.fresh_scores)
+        if self.expiring:
+            ends = [self.past.expiry(*r) for r in self.past.added] + [at for _, at, _ in self.fresh_keys] + [at for _, at in self.fresh_scores]
+            timer = self._timed(timer, [e for e in ends if e is not None])
+        now = (self.birth, self.death, self.n_rows, timer)
+        if now != found:
+            self.person.update(now)
+
+    def _timed(self, timer: int | None, ends: list[int]) -> int | None:
+        """One timer a patient, at the earliest instant at which something expires; a later one stands until it fires."""
+        if not ends:
+            return timer
+        # Timers fire once the watermark passes them; a row from before it never gets here.
+        first = max(min(ends), self.mark) // 1000 + 1
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+            return first
+        return timer
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Drop what has expired by the watermark and ask for the next time."""
+        self.mark = timerValues.getCurrentWatermarkInMs() * 1000
+        kept, ends = [], []
+        for row in map(tuple, self.history.get()):
+            end = History.expiry(*row)
+            if end is None or end > self.mark:
+                kept.append(row)
+                ends += [] if end is None else [end]
+        self._put(self.history, kept)
+        for state, at in ((self.seen, 1), (self.scored, 1)):
+            # Demographics have no instant and stay.
+            kept = [tuple(r) for r in state.get() if r[at] is None or r[at] >= self.mark]
+            self._put(state, kept)
+            ends += [r[at] for r in kept if r[at] is not None]
+        birth, death, n_rows, _ = self.person.get() if self.person.exists() else (None, None, 0, None)
+        self.person.update((birth, death, n_rows, self._timed(None, ends)))
+        yield self._frame([])
+
+    @staticmethod
+    def _put(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
 
     @staticmethod
     def _frame(out: list) -> pd.DataFrame:
-        return pd.DataFrame([{c: r.get(c) for c in COLUMNS} for r in out], columns=COLUMNS).astype(object)
+        return pd.DataFrame([[r.get(c) for c in COLUMNS] for r in out], columns=COLUMNS, dtype=object)
 
     @staticmethod
     def _position(row) -> tuple:
         return row.at, row.kind_order, row.row_key
 
-    def _gather(self, state: dict, fresh: dict, row, out: list) -> None:
+    def _gather(self, fresh: dict, row, out: list) -> None:
         """Answer repeats at once; hold the earliest row of each new key until the batch is read.
 
         Rows come in any order, and arrival order decides which stand.
         """
+        if self._late(row):
+            out.append({**self._result(row), "outcome": "late", "encounter_id": row.encounter_id, "body": row.body})
+            return
         held = fresh.get(row.event_key)
         if held is None:
-            if self.seen.containsKey((row.event_key,)):
-                out.append(self._ingest(state, row))
+            if row.event_key in self.known:
+                out.append(self._ingest(row))
                 return
             fresh[row.event_key] = row
         else:
             first, later = (row, held) if self._position(row) < self._position(held) else (held, row)
             fresh[row.event_key] = first
-            unknown = state["birth"] is None and f"patient|{row.entity}" not in fresh
+            unknown = self.birth is None and f"patient|{row.entity}" not in fresh
             if unknown and row.kind == "encounter" and not pd.isna(later.stop_us):
                 # The held copy will be refused, and so is this one.
                 out.append(self._refused(later, "refused_no_demographics"))
             else:
                 out.append(self._repeat(later, first.prints))
 
+    def _late(self, row) -> bool:
+        return self.mark is not None and not pd.isna(row.at_us) and int(row.at_us) < self.mark
+
     @staticmethod
     def _result(row) -> dict:
         return {"kind": row.kind, "patient": row.entity, "event_key": row.event_key, "input_hash": row.input_hash}
@@ -136,94 +270,91 @@ class PatientState(StatefulProcessor):
         both = zip(FIELDS, stored.split(","), row.prints.split(","), strict=True)
         return {**self._result(row), "outcome": "conflict", "differing": ",".join(n for n, old, new in both if old != new)}
 
-    def _ingest(self, state: dict, row) -> dict:
-        result = self._result(row)
+    def _ingest(self, row) -> dict:
         closed = row.kind == "encounter" and not pd.isna(row.stop_us)
-        if closed and state["birth"] is None:
+        if closed and self.birth is None:
             return self._refused(row, "refused_no_demographics")
-        emitted = False
-        stored = self.seen.getValue((row.event_key,)) if self.seen.containsKey((row.event_key,)) else None
+        stored = self.known.get(row.event_key)
         if stored is not None:
-            repeat = self._repeat(row, stored[0])
-            if repeat["outcome"] == "conflict":
-                return repeat
-            emitted = stored[1]
+            result = self._repeat(row, stored)
+            if result["outcome"] == "conflict":
+                return result
         else:
             if row.kind != "patient":
-                if self.max_rows is not None and state["rows"] >= self.max_rows:
+                if self.max_rows is not None and self.n_rows >= self.max_rows:
                     return self._refused(row, "refused_row_cap")
-                state["rows"] += 1
-            self._remember(state, row)
-        discharge = closed and row.encounter_class == "inpatient" and not emitted
-        self.seen.updateValue((row.event_key,), (row.prints, bool(emitted or discharge)))
-        if discharge and state["floor"] is not None and int(row.stop_us) < state["floor"]:
-            return {**result, "outcome": "late", "encounter_id": row.encounter_id, "body": row.body}
-        if not discharge:
-            return {**result, "outcome": "stored" if stored is None else "duplicate"}
-        return {**result, "outcome": "discharge", **self._features(state, row)}
-
-    def _remember(self, state: dict, row) -> None:
+                self.n_rows += 1
+            self._remember(row)
+            self.known[row.event_key] = row.prints
+            self.fresh_keys.append((row.event_key, None if pd.isna(row.at_us) else int(row.at_us), row.prints))
+            result = {**self._result(row), "outcome": "stored"}
+        if not (closed and row.encounter_class == "inpatient") or row.encounter_id in self.have:
+            return result
+        self.have.add(row.encounter_id)
+        self.fresh_scores.append((row.encounter_id, int(row.stop_us)))
+        return {**result, "outcome": "discharge", **self._features(row)}
+
+    def _remember(self, row) -> None:
         start = None if pd.isna(row.start_us) else int(row.start_us)
         stop = None if pd.isna(row.stop_us) else int(row.stop_us)
         if row.kind == "patient":
-            state["birth"] = int(row.birth_day)
-            state["death"] = None if pd.isna(row.death_day) else int(row.death_day)
-            return
-        if row.kind == "encounter":
+            self.birth = int(row.birth_day)
+            self.death = None if pd.isna(row.death_day) else int(row.death_day)
+        elif row.kind == "encounter":
             if stop is not None and row.encounter_class in ("inpatient", "emergency"):
-                state["stays"].append([stop, row.encounter_class == "inpatient"])
+                self.past.add(History.INPATIENT if row.encounter_class == "inpatient" else History.EMERGENCY, stop)
         elif row.kind == "medication":
             if stop is None or stop > start:
-                state["courses"].append([start, stop])
+                self.past.add(History.COURSE, start, stop)
         else:
             if row.is_disorder and (stop is None or stop > start):
-                state["disorders"].append([start, stop])
-            if row.bits:
+                self.past.add(History.DISORDER, start, stop)
+            for bit in range(int(row.bits).bit_length()):
                 # Only the first date of each flag matters to later discharges.
-                firsts = {bit: at for at, bit in state["history"]}
-                for i in range(int(row.bits).bit_length()):
-                    if int(row.bits) >> i & 1 and start < firsts.get(i, start + 1):
-                        firsts[i] = start
-                state["history"] = [[at, bit] for bit, at in firsts.items()]
-        arrived = stop if row.kind == "encounter" else start
-        if arrived is not None:
-            state["clock"] = max(arrived, state["clock"] or arrived)
-
-    def _features(self, state: dict, row) -> dict:
-        at = int(row.stop_us)
-        floor = at - WINDOW_DAYS * DAY
-        earlier = [(stop, inpatient) for stop, inpatient in state["stays"] if stop < at]
-        active = lambda spans: sum(s <= at and (e is None or e > at) for s, e in spans)
+                if int(row.bits) >> bit & 1:
+                    self.past.add(History.FLAG, start, bit)
+
+    def _features(self, row) -> dict:
+        at, span = int(row.stop_us), WINDOW_DAYS * DAY
         return {
             "encounter_id": row.encounter_id, "encounter_class": row.encounter_class,
-            "start_us": int(row.start_us), "stop_us": at, "birth_day": state["birth"], "death_day": state["death"],
-            "inpatient_now": sum(i and s >= floor for s, i in earlier),
-            "emergency_now": sum(not i and s >= floor for s, i in earlier),
-            "prev_stop": max((s for s, i in earlier if i), default=None),
-            "active_medications": active(state["courses"]),
-            "active_disorders": active(state["disorders"]),
-            "flags": sum(1 << bit for first, bit in state["history"] if first <= at),
+            "start_us": int(row.start_us), "stop_us": at, "birth_day": self.birth, "death_day": self.death,
+            "inpatient_now": self.past.before(History.INPATIENT, at, span),
+            "emergency_now": self.past.before(History.EMERGENCY, at, span),
+            "prev_stop": self.past.last_before(History.INPATIENT, at),
+            "active_medications": self.past.active(History.COURSE, at),
+            "active_disorders": self.past.active(History.DISORDER, at),
+            "flags": self.past.flags(at),
         }
 
-    def _forget(self, state: dict) -> None:
-        if state["clock"] is None or self.slack is None:
-            return
-        old = state["floor"] = state["clock"] - self.slack
-        state["stays"] = [x for x in state["stays"] if x[0] >= old - LOOKBACK_DAYS * DAY]
-        for name in ("courses", "disorders"):
-            state[name] = [x for x in state[name] if x[1] is None or x[1] > old]
+
+def scored_encounters(log: DataFrame) -> DataFrame:
+    """What ``ingest`` needs to know of a prediction log: entity, encounter_id, at_us, one row an encounter."""
+    return log.select(
+        F.col("patient_id").cast("string").alias("entity"), F.col("encounter_id").cast("string").alias("encounter_id"),
+        F.unix_micros("event_time").alias("at_us"),
+    ).filter("entity IS NOT NULL AND encounter_id IS NOT NULL").dropDuplicates(["entity", "encounter_id"])
 
 
-def ingest(lines: DataFrame, *, max_rows: int | None = None, slack_days: int | None = None) -> DataFrame:
+def ingest(lines: DataFrame, *, max_rows: int | None = None, slack_days: int | None = None, log: DataFrame | None = None) -> DataFrame:
     """Outcome of every well-formed event line of a stream; discharges carry their counted history.
 
     Outcomes: stored, duplicate, conflict, discharge, late, refused_no_demographics, refused_row_cap. Refused and late
-    rows carry their body; what a late discharge lacks the batch plan can answer.
+    rows carry their body; what a late row changes the batch plan can answer. With ``log`` (see ``scored_encounters``)
+    a query that begins anew emits only the discharges the log lacks. With ``slack_days`` the watermark follows the
+    newest arrival by so many days, and state from before it expires; without, nothing does.
     Run the session with the RocksDB state store provider.
     """
     accepted = parse_envelopes(lines).filter(F.size("errors") == 0)
-    return handler_rows(accepted).groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=PatientState(max_rows, slack_days), outputStructType=OUTPUT, outputMode="Append", timeMode="None",
+    rows = handler_rows(accepted)
+    if slack_days is not None:
+        # The watermark follows this column, which the state machine does not see: rows behind it must not be dropped
+        # unseen but come out as late.
+        rows = rows.withColumn("_clock", F.timestamp_micros("at_us")).withWatermark("_clock", f"{slack_days} days").drop("_clock")
+    initial = None if log is None else log.select("entity", "encounter_id", "at_us").groupBy("entity")
+    return rows.groupBy("entity").transformWithStateInPandas(
+        statefulProcessor=PatientState(max_rows, slack_days is not None), outputStructType=OUTPUT, outputMode="Append",
+        timeMode="None" if slack_days is None else "EventTime", initialState=initial,
     )
 
 
