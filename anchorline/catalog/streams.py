@@ -13,14 +13,14 @@ from anchorline.catalog.ordering import SPLICES
 from anchorline.catalog.registry import query
 from anchorline.catalog.temporal import FEATURES_SQL
 from anchorline.catalog.validation import EVENTS
-from anchorline.contracts import FEATURE_COLUMNS, LABEL_WINDOW_DAYS
+from anchorline.contracts import FEATURE_COLUMNS, LABEL_WINDOW_DAYS, TABLES
 from anchorline.functions.scalar import due_at, iso
 from anchorline.operators.order import event_stream
 from anchorline.session import scratch_path
 from anchorline.sources import testdata
 from anchorline.sources.envelopes import stream_lines, write_envelopes
 from anchorline.streaming import ingest as arrival
-from anchorline.streaming import monitoring
+from anchorline.streaming import monitoring, release
 
 
 @contextmanager
@@ -107,28 +107,91 @@ def _file_stream(spark, df, name, files=None, order=None):
 SELECT encounter_id, label, {ISO.format('stop + to_days(30)')} AS due_at FROM cohort JOIN labelled USING (encounter_id)
 WHERE stop + to_days(30) <= (SELECT max(stop) FROM encounters)""")
 def stream_label_release(spark, d):
-    schedule = common.scored(spark, d).select("encounter_id", "label", due_at("stop", LABEL_WINDOW_DAYS).alias("due_at"))
+    """The last label is due at the very instant of the last arrival for some tables, and is released."""
+    schedule = common.scored(spark, d).select(
+        F.col("patient_id").alias("entity"), "encounter_id", "label", due_at("stop", LABEL_WINDOW_DAYS).alias("due_at")
+    )
     arrivals = testdata.encounters(spark, d).filter("stop IS NOT NULL").select("id", "stop")
-    log = monitoring.ReleaseLog(spark, scratch_path(spark, "releases"), "BIGINT")
-    monitoring.run_available(
-        _file_stream(spark, arrivals, "arrivals", 4, "stop"), scratch_path(spark, "release-checkpoint"),
-        handler=monitoring.release_labels(schedule, log, "stop"),
+    arrival.use_state_store(spark)
+    out = scratch_path(spark, "releases")
+    labels = release.released_labels(
+        _file_stream(spark, schedule, "schedule"), _file_stream(spark, arrivals, "arrivals", 4, "stop"), "stop"
     )
-    return log.read().select("encounter_id", "label", iso("due_at").alias("due_at"))
+    with one_partition_per_core(spark):
+        monitoring.run_available(labels, scratch_path(spark, "release-checkpoint"), path=out)
+    return spark.read.parquet(out).select(F.col("encounter_id").cast("long").alias("encounter_id"), "label", iso("due_at").alias("due_at"))
 
 
+# A marker ends the source, so the windows of the last weeks come out as well.
 @query("stream_window_counts", LOGS + GRID + f"""
-SELECT {B} AS boundary, count(*) AS events FROM windows JOIN predictions ON event_time >= window_start AND event_time < boundary
-WHERE boundary <= (SELECT max(event_time) FROM predictions) GROUP BY 1""")
+SELECT {B} AS boundary, count(*) AS events FROM (SELECT TIMESTAMP '{START}' + to_days(CAST(7 * k AS INTEGER)) AS boundary FROM range(1, 3000) t(k))
+JOIN predictions ON event_time >= greatest(TIMESTAMP '{START}', boundary - to_days(30)) AND event_time < boundary GROUP BY 1""")
 def stream_window_counts(spark, d):
-    events = _file_stream(spark, predictions(spark, d).select("encounter_id", "event_time"), "window-events")
-    out = scratch_path(spark, "window-counts")
-    counts = monitoring.sliding_counts(events.withWatermark("event_time", "0 seconds"), "event_time", START)
+    rows = predictions(spark, d).select("encounter_id", "event_time")
+    last = rows.agg(F.max("event_time").cast("string")).first()[0] or START
+    marker, closing = monitoring.closing_marker(spark, rows.schema, "event_time", last)
+    source, out, check = (scratch_path(spark, f"window-{n}") for n in ("events", "counts", "checkpoint"))
     with one_partition_per_core(spark):
-        monitoring.run_available(counts, scratch_path(spark, "window-checkpoint"), path=out)
+        # The events, and in a later run of the same query the end of them.
+        for part in (rows, marker):
+            part.write.mode("append").parquet(source)
+            events = spark.readStream.schema(rows.schema).parquet(source).withWatermark("event_time", "0 seconds")
+            monitoring.run_available(monitoring.sliding_counts(events, "event_time", START, closing=closing), check, path=out)
     return spark.read.parquet(out).select(iso("boundary").alias("boundary"), "events")
 
 
+# Scores are missing for every tenth encounter; the stream begins with the log and emits no other discharge.
+@query("stream_rescore", LOGS + FEATURES_SQL + " ANTI JOIN predictions USING (encounter_id)")
+def stream_rescore(spark, d):
+    lines = write_envelopes(testdata.raw_population(spark, d))
+    outcomes = _ingested(spark, lines, "rescore", log=arrival.scored_encounters(predictions(spark, d)))
+    return arrival.admitted_features(outcomes).selectExpr(
+        "bigint(encounter_id) AS encounter_id", "bigint(patient_id) AS patient_id", *FEATURE_COLUMNS[2:]
+    )
+
+
+# Every thirteenth stay from before the cut is held back and posted behind it. Those within thirty days of the newest
+# instant posted before are in time; older ones are late, and count for nothing.
+LATE_CUT, SLACK = "1997-06-01", 30
+
+
+@query("stream_late_rows", f"""
+, posted AS (SELECT *, stop IS NOT NULL AND stop < TIMESTAMP '{LATE_CUT}' AND id % 13 = 0 AS held,
+             stop IS NOT NULL AND (stop >= TIMESTAMP '{LATE_CUT}' OR id % 13 = 0) AS second FROM encounters),
+mark AS (SELECT max(newest) - to_days({SLACK}) AS mark FROM (
+  SELECT max(stop) AS newest FROM posted WHERE NOT second UNION ALL SELECT max(start) FROM medications WHERE start < TIMESTAMP '{LATE_CUT}')),
+told AS (SELECT *, second AND stop < mark AS late FROM posted, mark)
+SELECT e.id AS encounter_id,
+       CASE WHEN late THEN 'late' WHEN stop IS NOT NULL AND encounter_class = 'inpatient' THEN 'discharge' ELSE 'stored' END AS outcome,
+       CASE WHEN NOT late AND stop IS NOT NULL AND encounter_class = 'inpatient' THEN
+         (SELECT count(*) FROM told o WHERE o.patient = e.patient AND o.encounter_class = 'inpatient' AND NOT o.late AND o.stop < e.stop
+            AND o.stop >= e.stop - to_days(180) AND NOT (o.second AND NOT e.second)) END AS prior_inpatient,
+       CASE WHEN NOT late AND stop IS NOT NULL AND encounter_class = 'inpatient' THEN
+         (SELECT count(*) FROM medications m WHERE m.patient = e.patient AND m.start <= e.stop AND (m.stop IS NULL OR m.stop > e.stop)
+            AND NOT (m.start >= TIMESTAMP '{LATE_CUT}' AND NOT e.second)) END AS medications
+FROM told e""")
+def stream_late_rows(spark, d):
+    raw = testdata.raw_population(spark, d)
+    raw["medications"] = raw["medications"].dropDuplicates(list(TABLES["medications"].key))
+    arrival.use_state_store(spark)
+    source, out, check = (scratch_path(spark, f"late-{n}") for n in ("lines", "out", "checkpoint"))
+    stays, courses = raw["encounters"], raw["medications"]
+    second = (F.col("STOP") != "") & ((F.col("STOP") >= LATE_CUT) | (F.col("Id").cast("long") % 13 == 0))
+    parts = (
+        {"patients": raw["patients"], "encounters": stays.filter(~second), "medications": courses.filter(F.col("START") < LATE_CUT)},
+        {"encounters": stays.filter(second), "medications": courses.filter(F.col("START") >= LATE_CUT)},
+    )
+    with one_partition_per_core(spark):
+        for part in parts:
+            write_envelopes(part).write.mode("append").text(source)
+            monitoring.run_available(arrival.ingest(stream_lines(spark, source), slack_days=SLACK), check, path=out)
+    return spark.read.parquet(out).filter("kind = 'encounter'").select(
+        F.expr("bigint(split(event_key, '[|]')[1])").alias("encounter_id"), "outcome",
+        F.when(F.col("outcome") == "discharge", F.col("inpatient_now")).alias("prior_inpatient"),
+        F.when(F.col("outcome") == "discharge", F.col("active_medications")).alias("medications"),
+    )
+
+
 @query("window_counts_by_class", GRID + f"""
 SELECT {B} AS boundary, encounter_class, count(*) AS events FROM (
   SELECT TIMESTAMP '{START}' + to_days(CAST(7 * k AS INTEGER)) AS boundary FROM range(1, 3000) t(k))

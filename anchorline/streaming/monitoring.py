@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from anchorline.operators.monitor import SPAN_DAYS, STEP_DAYS, realized_by_boundary
 from anchorline.operators.order import Switches, spliced
@@ -13,18 +14,22 @@ from anchorline.sources.logs import ParquetLog, first_scores
 _DAY = 86_400
 
 
-def sliding_counts(events: DataFrame, at: str, start: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def sliding_counts(events: DataFrame, at: str, start: str, keys: tuple[str, ...] = (), closing: str | None = None) -> DataFrame:
     """Events per 30-day window and 7-day step, windows clipped at ``start``.
 
-    For a stream, give ``events`` a watermark; a window is final once the watermark passes its
-    boundary.
+    For a stream, give ``events`` a watermark; a window is final once the watermark passes its boundary. With
+    ``closing``, the instant of the marker that a source ends with (see ``closing_marker``), the last windows become
+    final too; the marker is counted nowhere.
     """
     origin = events.sparkSession.sql(f"SELECT unix_timestamp(timestamp'{start}')").first()[0]
     offset = (origin - SPAN_DAYS * _DAY) % (STEP_DAYS * _DAY)
     window = F.window(at, f"{SPAN_DAYS} days", f"{STEP_DAYS} days", f"{offset} seconds")
     first = F.lit(start).cast("timestamp")
+    within = F.col(at) >= first
+    if closing is not None:
+        within &= F.col(at) < F.lit(closing).cast("timestamp")
     return (
-        events.filter(F.col(at) >= first)
+        events.filter(within)
         .groupBy(window.alias("w"), *keys)
         .agg(F.count("*").alias("events"))
         .filter(F.col("w.end") > first)
@@ -32,44 +37,22 @@ def sliding_counts(events: DataFrame, at: str, start: str, keys: tuple[str, ...]
     )
 
 
-def owned_events(parts: dict[str, DataFrame], switches: Switches, at: str = "at") -> DataFrame:
-    """Several populations' streams as one, each while it is in charge."""
-    return spliced(parts, switches, at)
-
-
-def newest(df: DataFrame, at: str) -> int | None:
-    """The latest instant of a column in microseconds, free of any local time zone."""
-    return df.agg(F.max(F.unix_micros(at))).first()[0]
-
-
-class ReleaseLog(ParquetLog):
-    SCHEMA = "encounter_id {id}, label INT, due_at TIMESTAMP, released_at TIMESTAMP"
-
-    def __init__(self, spark: SparkSession, path: str, id_type: str = "STRING") -> None:
-        super().__init__(spark, path, self.SCHEMA.format(id=id_type))
-
+def closing_marker(spark: SparkSession, schema: StructType, at: str, last: str) -> tuple[DataFrame, str]:
+    """The row a source ends with, and its instant: past every window that holds an event up to ``last``.
 
-def release_labels(schedule: DataFrame, log: ReleaseLog, at: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` handler that releases each label at the first step past its due instant.
-
-    The clock is the latest arrival. ``schedule`` has ``encounter_id``, ``label`` and ``due_at``;
-    a label is written once, whatever is replayed, because the log is consulted and not the batch.
+    Written behind a source's data, it moves the watermark over the last boundary, so that no window waits for ever.
     """
+    closing = spark.sql(f"SELECT string(timestamp'{last}' + INTERVAL {SPAN_DAYS + STEP_DAYS} DAYS)").first()[0]
+    row = spark.range(1).select(*[
+        F.lit(closing).cast("timestamp").cast(f.dataType).alias(f.name) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ])
+    return row, closing
 
-    def step(batch: DataFrame, _batch_id: int) -> None:
-        now = newest(batch, at)
-        if now is None:
-            return
-        held = log.read()
-        last = newest(held, "due_at")
-        due = schedule.filter(F.col("due_at") <= F.timestamp_micros(F.lit(now)))
-        if last is not None:
-            # Everything due before the newest released label was released with or before it.
-            due = due.filter(F.col("due_at") >= F.timestamp_micros(F.lit(last)))
-        fresh = due.join(held.select("encounter_id"), "encounter_id", "left_anti")
-        log.append(fresh.select("encounter_id", F.col("label").cast("int").alias("label"), "due_at", F.timestamp_micros(F.lit(now)).alias("released_at")))
 
-    return step
+def owned_events(parts: dict[str, DataFrame], switches: Switches, at: str = "at") -> DataFrame:
+    """Several populations' streams as one, each while it is in charge."""
+    return spliced(parts, switches, at)
 
 
 def score_sink(log: ParquetLog) -> Callable[[DataFrame, int], None]:
@@ -99,6 +82,16 @@ def realized_sink(predictions: Callable[[], DataFrame], labels: Callable[[], Dat
     return step
 
 
+def state_rows(spark: SparkSession, checkpoint: str, lists: tuple[str, ...]) -> DataFrame:
+    """name, n_rows: how many rows the list variables of a stopped query's state hold over all keys."""
+    out = None
+    for name in lists:
+        held = spark.read.format("statestore").option("stateVarName", name).option("flattenCollectionTypes", "true").load(checkpoint)
+        row = held.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def run_available(stream: DataFrame, checkpoint: str, *, path: str | None = None, handler=None, mode: str = "append") -> None:
     """Process everything available on the stream's source, then stop."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -14,7 +14,7 @@ from anchorline.sources.logs import (
     EventStore, LabelLog, PredictionLog, ReferenceExists, ReferenceStore, UnscoredDischarge, logged_features, preload,
 )
 from anchorline.streaming import ingest as arrival
-from anchorline.streaming import monitoring
+from anchorline.streaming import monitoring, release
 
 
 @pytest.fixture
@@ -108,23 +108,103 @@ def test_old_history_is_dropped_without_changing_features(spark, population, run
     assert audit.serving_skew(arrival.admitted_features(outcomes), batch_features(spark, population)).isEmpty()
 
 
-def test_labels_are_released_once_and_never_early(spark, population, tmp_path):
-    random_population(population, 13)
+def scheduled(spark, population, tmp_path, seed=13):
+    random_population(population, seed)
     f = population.typed(spark)
-    schedule = label_schedule(f).select("encounter_id", "label", F.to_timestamp("due_at").alias("due_at"))
+    schedule = label_schedule(f).join(f["encounters"].select(F.col("id").alias("encounter_id"), F.col("patient").alias("entity")), "encounter_id").select(
+        "entity", "encounter_id", "label", F.to_timestamp("due_at").alias("due_at"))
     arrivals = f["encounters"].filter("stop IS NOT NULL").select("id", "stop")
-    source = str(tmp_path / "arrivals")
-    arrivals.repartitionByRange(5, "stop").write.parquet(source)
-    log = monitoring.ReleaseLog(spark, str(tmp_path / "log"))
-    stream = spark.readStream.schema(arrivals.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    step = monitoring.release_labels(schedule, log, "stop")
-    monitoring.run_available(stream, str(tmp_path / "check"), handler=step)
-    step(arrivals, 99)  # a replayed step changes nothing
-    got = by_id(log.read())
+    schedule.write.parquet(str(tmp_path / "schedule"))
+    arrivals.repartitionByRange(5, "stop").write.parquet(str(tmp_path / "arrivals"))
+    read = lambda n, df, files: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / n))
+    arrival.use_state_store(spark)
+    return schedule, arrivals, lambda files, **more: release.released_labels(
+        read("schedule", schedule, 100), read("arrivals", arrivals, files), "stop", **more)
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_labels_are_released_once_and_never_early(spark, population, tmp_path, files):
+    schedule, arrivals, stream = scheduled(spark, population, tmp_path)
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    monitoring.run_available(stream(files), check, path=out)
+    got = spark.read.parquet(out).collect()
     now = arrivals.agg(F.max("stop")).first()[0]
     want = {r["encounter_id"]: r["label"] for r in schedule.collect() if r["due_at"] <= now}
-    assert {k: r["label"] for k, r in got.items()} == want
-    assert log.read().count() == len(want) and all(r["released_at"] >= r["due_at"] for r in got.values())
+    assert want and len(got) == len(want) and {r["encounter_id"]: r["label"] for r in got} == want
+    assert all(now >= r["released_at"] >= r["due_at"] for r in got)
+    # The schedule posted again releases nothing; a later arrival releases what was waiting.
+    schedule.write.mode("append").parquet(str(tmp_path / "schedule"))
+    monitoring.run_available(stream(files), check, path=out)
+    assert spark.read.parquet(out).count() == len(want)
+    end = schedule.agg(F.max("due_at")).first()[0]
+    spark.createDataFrame([("last", end)], arrivals.schema).write.mode("append").parquet(str(tmp_path / "arrivals"))
+    monitoring.run_available(stream(files), check, path=out)
+    assert {r["encounter_id"] for r in spark.read.parquet(out).collect()} == {r["encounter_id"] for r in schedule.collect()}
+    assert spark.read.parquet(out).count() == schedule.count()
+
+
+def test_labels_in_the_release_log_are_not_released_again(spark, population, tmp_path):
+    schedule, arrivals, stream = scheduled(spark, population, tmp_path)
+    out = str(tmp_path / "out")
+    held = schedule.orderBy("encounter_id").limit(5).select("entity", "encounter_id")
+    held.write.parquet(str(tmp_path / "held"))
+    held = spark.read.parquet(str(tmp_path / "held"))
+    monitoring.run_available(stream(5, released=held), str(tmp_path / "check"), path=out)
+    now = arrivals.agg(F.max("stop")).first()[0]
+    known = {r["encounter_id"] for r in held.collect()}
+    want = {r["encounter_id"] for r in schedule.collect() if r["due_at"] <= now} - known
+    assert {r["encounter_id"] for r in spark.read.parquet(out).collect()} == want
+
+
+def test_the_stream_answers_what_the_log_lacks(spark, population, run, tmp_path):
+    random_population(population, 11, patients=6)
+    population.rows["conditions"] = list({(r["PATIENT"], r["ENCOUNTER"], r["CODE"], r["START"]): r for r in population.rows["conditions"]}.values())
+    lines = write_envelopes(population.raw(spark))
+    want = batch_features(spark, population)
+    ids = sorted(r["encounter_id"] for r in want.select("encounter_id").collect())
+    logged = want.filter(~F.col("encounter_id").isin(ids[::3])).select("patient_id", "encounter_id", F.lit("2024-01-01").cast("timestamp").alias("event_time"))
+    logged.write.parquet(str(tmp_path / "log"))
+    log = arrival.scored_encounters(spark.read.parquet(str(tmp_path / "log")))
+    got = arrival.admitted_features(run(lines, log=log)).select(*FEATURE_COLUMNS)
+    assert {r["encounter_id"] for r in got.collect()} == set(ids[::3])
+    assert audit.serving_skew(got, want.filter(F.col("encounter_id").isin(ids[::3]))).isEmpty()
+    # Scores that are in the state are not asked for again.
+    assert arrival.admitted_features(run(lines, log=log)).count() == len(ids[::3])
+
+
+def test_state_expires_and_late_rows_come_out_whole(spark, population, run):
+    population.patient("p")
+    for year in range(2010, 2024):
+        population.course("p", f"{year}-01-01T00:00:00Z", f"{year}-02-01T00:00:00Z", code=f"m{year}")
+        population.stay(f"e{year}", "p", f"{year}-03-01T00:00:00Z", f"{year}-03-04T00:00:00Z")
+    whole = write_envelopes(population.raw(spark))
+    assert run(whole, slack_days=30).filter("outcome = 'discharge'").count() == 14
+    population.rows["encounters"].clear()
+    population.rows["medications"].clear()
+    population.course("p", "2015-06-01T00:00:00Z", code="late").stay("on-time", "p", "2023-02-20T00:00:00Z", "2023-02-25T00:00:00Z")
+    population.stay("e2012", "p", "2012-03-01T00:00:00Z", "2012-03-04T00:00:00Z")
+    again = run(write_envelopes({n: population.raw(spark)[n] for n in ("encounters", "medications")}), slack_days=30)
+    assert {(r["kind"], r["body"] is not None) for r in again.filter("outcome = 'late'").collect()} == {("medication", True), ("encounter", True)}
+    row = arrival.admitted_features(again).filter("encounter_id = 'on-time'").first()
+    assert row is not None and row["prior_inpatient_180d"] == 0 and row["active_medication_count"] == 0
+
+
+def test_state_rows_are_bounded_with_slack(spark, population, tmp_path):
+    arrival.use_state_store(spark)
+    population.patient("p")
+    for n in range(300):
+        population.course("p", f"{2000 + n // 12}-{n % 12 + 1:02d}-01T00:00:00Z", f"{2000 + n // 12}-{n % 12 + 1:02d}-09T00:00:00Z", code=f"m{n}")
+    counts = {}
+    for slack in (None, 30):
+        source, out, check = (str(tmp_path / f"{n}-{slack}") for n in ("lines", "out", "check"))
+        write_envelopes(population.raw(spark)).coalesce(1).write.text(source)
+        monitoring.run_available(arrival.ingest(stream_lines(spark, source), slack_days=slack), check, path=out)
+        counts[slack] = {r["name"]: r["n_rows"] for r in monitoring.state_rows(spark, check, ("history", "seen", "scored")).collect()}
+        marked = spark.read.parquet(out).filter("outcome = 'stored'").count()
+        assert marked == 301
+    assert counts[None] == {"history": 300, "seen": 301, "scored": 0}
+    # Within thirty days of the newest arrival, and the demographics.
+    assert counts[30]["history"] <= 2 and counts[30]["seen"] <= 3
 
 
 def test_prediction_and_label_logs(spark, population, tmp_path):
