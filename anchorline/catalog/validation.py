@@ -10,7 +10,7 @@ from anchorline.catalog.registry import query
 from anchorline.contracts import CONDITIONS, ENCOUNTERS, MEDICATIONS
 from anchorline.functions.scalar import exact_format, iso
 from anchorline.operators.order import event_stream
-from anchorline.operators.upsert import cap_per_entity, compare_to_stored, first_per_key, record_batch
+from anchorline.operators.upsert import compare_to_stored, first_per_key, mark_within_cap, record_batch
 from anchorline.operators.validate import (
     registered_model, reversed_interval, shape_error, version_mismatches, with_errors,
 )
@@ -251,11 +251,10 @@ SELECT CAST(entity AS VARCHAR) AS entity, count(*) FILTER (WHERE rn <= 60) AS ac
 FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY "at", kind_order, row_key) AS rn FROM stream) GROUP BY 1""")
 def entity_row_cap(spark, d):
     events = event_stream(testdata.raw_population(spark, d)).drop("payload")
-    accepted, refused = cap_per_entity(events, entity="entity", order=["at", "kind_order", "row_key"], limit=60)
-    both = accepted.withColumn("ok", F.lit(True)).unionByName(refused.withColumn("ok", F.lit(False)))
-    return both.groupBy("entity").agg(
-        F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("refused"),
-        F.max(F.when(F.col("ok"), F.col("at"))).alias("last_accepted"),
+    marked = mark_within_cap(events, entity="entity", order=["at", "kind_order", "row_key"], limit=60)
+    return marked.groupBy("entity").agg(
+        F.count_if("fits").alias("accepted"), F.count_if(~F.col("fits")).alias("refused"),
+        F.max(F.when(F.col("fits"), F.col("at"))).alias("last_accepted"),
     )
 
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorline.operators.joins import differing_columns, missing_rows
-from anchorline.operators.rank import with_row_number
 
 
 def first_per_key(df: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
@@ -60,23 +59,45 @@ def record_batch(
     return new, conflicts
 
 
-def cap_per_entity(
-    events: DataFrame, *, entity: str, order: list[str], limit: int, held: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Accepted and refused events when an entity may hold at most ``limit`` rows.
+def mark_within_cap(
+    events: DataFrame, *, entity: str, order: list[str], limit: int, held: DataFrame | None = None, slice_of: Column | None = None
+) -> DataFrame:
+    """Every event with ``fits``: whether its entity holds fewer than ``limit`` rows before it, in the given total order.
 
-    ``held`` has the rows each entity already holds (``entity``, ``rows``). Only entities over
-    the limit are ranked, by a range sort that splits even a single huge entity.
+    ``held`` has the rows each entity already holds (``entity``, ``rows``). ``slice_of`` is a coarse value that never
+    falls along the order (by default its first column; of a text the first ten letters, the day of an ISO instant):
+    counts per entity and slice, summed up slice by slice, say in which slice the limit falls, and only rows of that slice are
+    sorted. An entity over the limit is one row of the table that events look up.
     """
-    counted = events.groupBy(entity).agg(F.count("*").alias("_n"))
+    at = slice_of
+    if at is None:
+        at = F.substring(order[0], 1, 10) if dict(events.dtypes)[order[0]] == "string" else F.col(order[0])
+    counts = events.groupBy(entity, at.alias("_slice")).agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+    summed = counts.withColumn("_upto", F.sum("_n").over(upto))
+    room = F.lit(limit)
     if held is not None:
-        counted = counted.join(held.select(entity, F.col("rows").alias("_held")), entity, "left")
-    else:
-        counted = counted.withColumn("_held", F.lit(0))
-    over = counted.filter(F.col("_n") + F.coalesce("_held", F.lit(0)) > limit).select(
-        entity, F.coalesce("_held", F.lit(0)).alias("_held")
+        summed = summed.join(held.select(entity, F.col("rows").alias("_held")), entity, "left")
+        room = F.lit(limit) - F.coalesce("_held", F.lit(0))
+    cuts = summed.filter(F.col("_upto") > room).groupBy(F.col(entity).alias("_over")).agg(
+        F.min(F.struct("_slice", F.greatest(F.lit(0), room - F.col("_upto") + F.col("_n")).alias("room"))).alias("_cut")
+    )
+    looked = lambda how: events.withColumn("_at", at).join(cuts, F.col(entity) == F.col("_over"), how)
+    # A missing instant comes first in every order.
+    earlier = F.when(F.col("_over").isNull(), True).when(F.col("_cut._slice").isNull(), False).otherwise(
+        F.coalesce(F.col("_at") < F.col("_cut._slice"), F.lit(True))
+    )
+    settled = looked("left").filter("_over IS NULL OR NOT (_at <=> _cut._slice)").select(*events.columns, earlier.alias("fits"))
+    ranked = Window.partitionBy(entity).orderBy(*order)
+    split = looked("inner").filter("_at <=> _cut._slice").withColumn("_rank", F.row_number().over(ranked)).select(
+        *events.columns, (F.col("_rank") <= F.col("_cut.room")).alias("fits")
     )
-    ranked = with_row_number(events.join(over, entity), order, "_rank", groups=[entity])
-    fits = F.col("_rank") + F.col("_held") <= limit
-    accepted = events.join(over, entity, "left_anti").unionByName(ranked.filter(fits).select(*events.columns))
-    return accepted, ranked.filter(~fits).select(*events.columns)
+    return settled.unionByName(split)
+
+
+def cap_per_entity(
+    events: DataFrame, *, entity: str, order: list[str], limit: int, held: DataFrame | None = None, slice_of: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Accepted and refused events when an entity may hold at most ``limit`` rows; see ``mark_within_cap``."""
+    marked = mark_within_cap(events, entity=entity, order=order, limit=limit, held=held, slice_of=slice_of)
+    return marked.filter("fits").drop("fits"), marked.filter("NOT fits").drop("fits")

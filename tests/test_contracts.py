@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import uuid
 
 import pytest
@@ -104,6 +105,24 @@ def test_row_cap_counts_held_rows(spark):
     assert sorted(r["seq"] for r in refused.collect()) == list(range(3, 10))
 
 
+@pytest.mark.parametrize("limit", [0, 1, 7, 50])
+def test_row_cap_equals_brute_force(spark, limit):
+    draw = random.Random(limit)
+    ats = ["", None, "open:2024-01-01T00:00:00Z", *[f"2024-01-{d:02d}T0{h}:00:00Z" for d in range(1, 9) for h in range(3)]]
+    rows = [(draw.choice("pqr"), draw.choice(ats), draw.randrange(3), n) for n in range(200)]
+    events = spark.createDataFrame(rows, "entity STRING, at STRING, kind INT, n INT")
+    held = spark.createDataFrame([("p", 4), ("z", 9)], "entity STRING, rows INT")
+    accepted, refused = cap_per_entity(events, entity="entity", order=["at", "kind", "n"], limit=limit, held=held)
+    want = set()
+    for e in "pqr":
+        own = sorted((r for r in rows if r[0] == e), key=lambda r: (r[1] is not None, r[1] or "", r[2], r[3]))
+        want |= {r[3] for r in own[: max(0, limit - (4 if e == "p" else 0))]}
+    assert {r["n"] for r in accepted.collect()} == want
+    assert {r["n"] for r in refused.collect()} == {r[3] for r in rows} - want
+    by_number, _ = cap_per_entity(events.select("entity", "n"), entity="entity", order=["n"], limit=limit)
+    assert by_number.count() == sum(min(limit, sum(r[0] == e for r in rows)) for e in "pqr")
+
+
 def test_table_differences(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "k INT, v STRING")
     b = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k INT, v STRING")
