@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from anchorline.catalog import common
 from anchorline.catalog.registry import UNIFORM, holdout_sql, query
-from anchorline.contracts import LABEL_WINDOW_DAYS, SPLIT_SEED
+from anchorline.contracts import EXCLUSION_REASONS, LABEL_WINDOW_DAYS, SPLIT_SEED
 from anchorline.functions.hashing import payload_hash, rekey
 from anchorline.functions.scalar import approximate_age, calendar_age, due_at, elapsed_days, iso
 from anchorline.operators.joins import checked_lookup, duplicate_keys, missing_rows, restrict_to_entities, set_difference
 from anchorline.operators.metrics import score_summary
 from anchorline.operators.sampling import eligible_entities, is_holdout, sample_entities
-from anchorline.plans.cohort import classify_encounters, exclusion_counts, with_cutoff
+from anchorline.plans.cohort import UNKNOWN_PATIENT, classify_encounters, exclusion_counts, with_cutoff
 from anchorline.plans.labels import label_schedule, schedule_of
 from anchorline.plans.sanity import crude_readmission_rate, population_stats
 from anchorline.sources import testdata
@@ -39,8 +39,9 @@ def cohort_rules(spark, d):
     )
 
 
-@query("exclusion_counts", "SELECT reason AS exclusion_reason, count(*) AS encounters FROM classified "
-       "WHERE reason IS NOT NULL GROUP BY 1")
+@query("exclusion_counts", "SELECT exclusion_reason, count(c.id) AS encounters FROM (SELECT unnest(["
+       + ", ".join(f"'{r}'" for r in (*EXCLUSION_REASONS, UNKNOWN_PATIENT)) + "]) AS exclusion_reason) "
+       "LEFT JOIN classified c ON c.reason = exclusion_reason GROUP BY 1")
 def exclusions(spark, d):
     f = common.frames(spark, d)
     return exclusion_counts(f["encounters"], f["patients"])

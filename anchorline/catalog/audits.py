@@ -12,7 +12,7 @@ from anchorline.catalog import common
 from anchorline.catalog.anchors import ISO
 from anchorline.catalog.evaluation import PAIRS
 from anchorline.catalog.registry import SCORE_SQL, holdout_sql, query
-from anchorline.contracts import COHORT_VERSION, FEATURE_VERSION, FLAGS, MODEL_INPUTS, SPLIT_SEED
+from anchorline.contracts import COHORT_VERSION, FEATURE_VERSION, FLAGS, MODEL_INPUTS, SIGNAL_BAND, SPLIT_SEED
 from anchorline.functions.scalar import iso
 from anchorline.operators import monitor
 from anchorline.operators.joins import keyed_difference, table_difference
@@ -320,8 +320,8 @@ def reference(spark, d):
 
 
 def live(spark, d):
-    rows = monitor.in_windows(common.scored(spark, d), "stop", START, END)
-    return monitor.long_form(rows, SIGNALS, ("boundary",))
+    rows = monitor.long_form(common.scored(spark, d), SIGNALS, ("stop",))
+    return monitor.counted_in_windows(rows, "stop", START, END, ["signal", "value"])
 
 
 @query("monitoring_reference", REFERENCE + """
@@ -332,7 +332,7 @@ def monitoring_reference(spark, d):
     )
 
 
-KS = REFERENCE + LIVE + """
+KS_STEPS = """
 , refs AS (SELECT signal, value, count(*) AS r FROM reference GROUP BY 1, 2),
 mine AS (SELECT boundary, signal, value, count(*) AS l FROM live GROUP BY 1, 2, 3),
 groups AS (SELECT DISTINCT boundary, signal FROM mine),
@@ -347,7 +347,7 @@ lambdas AS (SELECT *, ks * sqrt(CAST(n1 AS DOUBLE) * n2 / (n1 + n2)) AS lam FROM
 """
 
 
-@query("ks_test", KS + f"""
+@query("ks_test", REFERENCE + LIVE + KS_STEPS + f"""
 SELECT {B} AS boundary, signal, round(ks, 9) AS ks, CAST(n1 AS BIGINT) AS n_reference, CAST(n2 AS BIGINT) AS n_live,
   round(CASE WHEN lam < 0.1 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * list_sum(list_transform(range(1, 101),
     lambda k: CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))))) END, 6) AS p_value FROM lambdas""")
@@ -358,7 +358,7 @@ def ks_test(spark, d):
     )
 
 
-PSI = REFERENCE + LIVE + """
+PSI_STEPS = """
 , edges AS (SELECT signal, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM reference GROUP BY 1),
 ref_bins AS (SELECT signal, len(list_filter(edges, lambda e: value > e)) AS bin, count(*) AS n FROM reference JOIN edges USING (signal) GROUP BY 1, 2),
 live_bins AS (SELECT boundary, signal, len(list_filter(edges, lambda e: value > e)) AS bin, count(*) AS n FROM live JOIN edges USING (signal) GROUP BY 1, 2, 3),
@@ -377,6 +377,9 @@ def _psi(spark, d):
     return monitor.stability_index(ref, live(spark, d), monitor.decile_edges(ref))
 
 
+PSI = REFERENCE + LIVE + PSI_STEPS
+
+
 @query("stability_index", PSI + f"SELECT {B} AS boundary, signal, round(psi, 6) AS psi FROM psi")
 def stability_index(spark, d):
     return _psi(spark, d).select(iso("boundary").alias("boundary"), "signal", F.round("psi", 6).alias("psi"))
@@ -385,12 +388,16 @@ def stability_index(spark, d):
 FLAG_LIST = ", ".join(f"'{f}'" for f in FLAGS)
 
 
-@query("proportion_tests", REFERENCE + LIVE + f"""
+Z_STEPS = f"""
 , r AS (SELECT signal, count(*) FILTER (WHERE value = 1) AS x1, count(*) AS n1 FROM reference WHERE signal IN ({FLAG_LIST}) GROUP BY 1),
 l AS (SELECT boundary, signal, count(*) FILTER (WHERE value = 1) AS x2, count(*) AS n2 FROM live WHERE signal IN ({FLAG_LIST}) GROUP BY 1, 2),
 z AS (SELECT boundary, signal, (x1 / n1 - x2 / n2) / sqrt(((x1 + x2) / (n1 + n2)) * (1 - (x1 + x2) / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)) AS z
-      FROM l JOIN r USING (signal)),
-t AS (SELECT *, 1.0 / (1.0 + 0.2316419 * abs(z)) AS t FROM z)
+      FROM l JOIN r USING (signal))
+"""
+
+
+@query("proportion_tests", REFERENCE + LIVE + Z_STEPS + f"""
+, t AS (SELECT *, 1.0 / (1.0 + 0.2316419 * abs(z)) AS t FROM z)
 SELECT {B} AS boundary, signal, round(z, 6) AS z, round(2 * 0.3989422804014327 * exp(-z * z / 2) * (0.319381530 * t - 0.356563782 * t ** 2
    + 1.781477937 * t ** 3 - 1.821255978 * t ** 4 + 1.330274429 * t ** 5), 6) AS p_value FROM t""")
 def proportion_tests(spark, d):
@@ -424,7 +431,8 @@ def drift_alerts(spark, d):
 SELECT sha256('[' || string_agg('{{"signal":"' || signal || '","threshold":' || threshold || '}}', ',' ORDER BY signal) || ']') AS thresholds_hash
 FROM limits SEMI JOIN reference USING (signal)""")
 def thresholds_digest(spark, d):
-    return monitor.thresholds_hash(thresholds(spark))
+    # The thresholds in force are those of signals the reference holds.
+    return monitor.thresholds_hash(thresholds(spark).join(reference(spark, d).select("signal").distinct(), "signal", "left_semi"))
 
 
 @query("label_rules", LOGS + """
@@ -463,3 +471,74 @@ def realized_boundaries(spark, d):
     return monitor.realized_by_boundary(predictions(spark, d), releases(spark, d), START, END).select(
         iso("boundary").alias("boundary"), "count", F.round("prevalence", 9).alias("prevalence"), F.round("auroc", 9).alias("auroc")
     )
+
+
+# The window of the boundary itself: what is known of its discharges by then, which is little.
+WINDOW_KNOWN = """
+, in_window AS (SELECT boundary, score, label FROM windows JOIN (SELECT p.event_time, p.score, r.label, r.released_at
+     FROM predictions p JOIN releases r USING (prediction_id)) ON event_time >= window_start AND event_time < boundary AND released_at <= boundary)
+"""
+
+
+@query("realized_by_window", LOGS + GRID + WINDOW_KNOWN + f"""
+, sums AS (SELECT boundary, count(*) AS n, avg(label) AS prevalence FROM in_window GROUP BY 1),
+auc AS (SELECT p.boundary, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS auroc
+        FROM in_window p JOIN in_window n ON n.boundary = p.boundary AND n.label = 0 WHERE p.label = 1 GROUP BY 1)
+SELECT {B} AS boundary, coalesce(n, 0) AS count, round(prevalence, 9) AS prevalence, round(auroc, 9) AS auroc
+FROM windows LEFT JOIN sums USING (boundary) LEFT JOIN auc USING (boundary)""")
+def realized_windows(spark, d):
+    return monitor.realized_by_boundary(predictions(spark, d), releases(spark, d), START, END, lag_days=0).select(
+        iso("boundary").alias("boundary"), "count", F.round("prevalence", 9).alias("prevalence"), F.round("auroc", 9).alias("auroc")
+    )
+
+
+# One limit for each kind of statistic; the floor of the realized AUROC is the gate's.
+LIMITS = {"psi": 0.8, "ks": 0.5, "z": 4.0, "realized": 0.0}
+FLOOR = SIGNAL_BAND[0]
+STATISTICS = REFERENCE + LOGS + LIVE + KS_STEPS + PSI_STEPS + Z_STEPS + f"""
+, mature AS (SELECT boundary, score, label FROM windows JOIN (SELECT p.event_time, p.score, r.label, r.released_at
+     FROM predictions p JOIN releases r USING (prediction_id)) ON event_time >= TIMESTAMP '{START}' AND event_time >= boundary - to_days(60)
+       AND event_time < boundary - to_days(30) AND released_at <= boundary),
+mature_auc AS (SELECT p.boundary, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS auroc
+     FROM mature p JOIN mature n ON n.boundary = p.boundary AND n.label = 0 WHERE p.label = 1 GROUP BY 1),
+statistics AS (SELECT boundary, 'psi:' || signal AS signal, psi AS statistic FROM psi UNION ALL SELECT boundary, 'ks:' || signal, ks FROM ks
+  UNION ALL SELECT boundary, 'z:' || signal, abs(z) FROM z WHERE z IS NOT NULL AND NOT isnan(z)
+  UNION ALL SELECT boundary, 'realized:auroc_shortfall', {FLOOR} - auroc FROM mature_auc)
+"""
+
+
+def _statistics(spark, d):
+    ref, seen = reference(spark, d), live(spark, d)
+    flags = F.col("signal").isin(*FLAGS)
+    return monitor.all_statistics(
+        monitor.stability_index(ref, seen, monitor.decile_edges(ref)), monitor.ks_two_sample(ref, seen),
+        monitor.proportion_tests(ref.filter(flags), seen.filter(flags)),
+        monitor.realized_by_boundary(predictions(spark, d), releases(spark, d), START, END), FLOOR,
+    )
+
+
+@query("alerts_of_all_signals", STATISTICS + f"""
+SELECT {B} AS sim_at, signal, round(statistic, 6) AS statistic, threshold FROM statistics
+JOIN (SELECT unnest([{', '.join(f"'{k}'" for k in LIMITS)}]) AS kind, unnest([{', '.join(f'{v}::DOUBLE' for v in LIMITS.values())}]) AS threshold)
+  ON kind = split_part(signal, ':', 1) WHERE statistic > threshold""")
+def all_alerts(spark, d):
+    found = _statistics(spark, d)
+    limits = found.select("signal").distinct().withColumn(
+        "threshold", F.element_at(F.create_map(*[x for k, v in LIMITS.items() for x in (F.lit(k), F.lit(v))]), F.split("signal", ":")[0])
+    )
+    return monitor.alerts(found, limits).select(iso("sim_at").alias("sim_at"), "signal", F.round("statistic", 6).alias("statistic"), "threshold")
+
+
+@query("evaluation_log", STATISTICS + f"""
+, told AS (SELECT boundary, string_agg(signal || '=' || printf('%.4f', round(statistic, 4)), ',' ORDER BY signal) AS statistics FROM statistics GROUP BY 1)
+SELECT {B} AS boundary, {ISO.format('window_start')} AS window_start,
+  (SELECT count(*) FROM predictions WHERE event_time >= window_start AND event_time < boundary) AS prediction_count,
+  coalesce(statistics, '') AS statistics, 'readmission-trees/1' AS reference
+FROM windows LEFT JOIN told USING (boundary)""")
+def evaluation_log(spark, d):
+    digest = monitor.thresholds_hash(thresholds(spark)).first()[0]
+    rows = monitor.evaluation_rows(_counts(spark, d), _statistics(spark, d), digest, "readmission-trees/1")
+    told = F.array_join(F.transform(
+        F.array_sort(F.map_entries("statistics")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", F.round(e["value"], 4)))
+    ), ",")
+    return rows.select(iso("boundary").alias("boundary"), iso("window_start").alias("window_start"), "prediction_count", told.alias("statistics"), "reference")

@@ -222,7 +222,7 @@ def stream_splice(spark, d):
 agg AS (SELECT boundary, count(*) AS n FROM known GROUP BY 1),
 auc AS (SELECT p.boundary, avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) AS auroc
         FROM known p JOIN known n ON n.boundary = p.boundary AND n.label = 0 WHERE p.label = 1 GROUP BY 1)
-SELECT {B} AS boundary, n AS count, round(auroc, 9) AS auroc FROM agg LEFT JOIN auc USING (boundary)""")
+SELECT {B} AS boundary, coalesce(n, 0) AS count, round(auroc, 9) AS auroc FROM windows LEFT JOIN agg USING (boundary) LEFT JOIN auc USING (boundary)""")
 def stream_realized(spark, d):
     from anchorline.session import materialize
 
@@ -233,6 +233,6 @@ def stream_realized(spark, d):
         _file_stream(spark, released, "released-labels"), scratch_path(spark, "realized-checkpoint"),
         handler=monitoring.realized_sink(lambda: log, lambda: labels, START, END, out),
     )
-    return spark.read.parquet(out).filter("count > 0").select(
+    return monitoring.realized_table(spark, out, START, END).select(
         iso("boundary").alias("boundary"), "count", F.round("auroc", 9).alias("auroc")
     )

@@ -34,15 +34,58 @@ def grid(spark: SparkSession, start: str, end: str) -> DataFrame:
     )
 
 
+def _age(at: Column, start: str) -> Column:
+    return F.unix_micros(at) - F.unix_micros(F.lit(start).cast("timestamp"))
+
+
+def _whole(age: Column) -> Column:
+    """Whole steps in an age, exactly, also before the start."""
+    step = F.lit(STEP_DAYS * _DAY * 1_000_000)
+    return ((age - F.pmod(age, step)) / step).cast("long")
+
+
+def _known_from(at: Column, start: str) -> Column:
+    """The number of the first boundary at or after an instant."""
+    return -_whole(-_age(at, start))
+
+
+def reach(at: Column, start: str, end: str) -> tuple[Column, Column]:
+    """Numbers of the first and the last boundary whose window holds an instant; the first is larger where none does."""
+    age = _age(at, start)
+    last = F.floor((_seconds(end) - _seconds(start)) / (STEP_DAYS * _DAY))
+    held = age >= 0
+    return F.when(held, _whole(age) + 1).otherwise(1), F.when(held, F.least(_whole(age + SPAN_DAYS * _DAY * 1_000_000), last)).otherwise(0)
+
+
+def _boundary(k: Column, start: str) -> Column:
+    return F.lit(start).cast("timestamp") + F.make_dt_interval((k * STEP_DAYS).cast("int"))
+
+
 def in_windows(df: DataFrame, at: str, start: str, end: str) -> DataFrame:
     """Each row once per boundary whose window holds it: at most five, found by arithmetic."""
-    step = STEP_DAYS * _DAY
-    age = F.unix_timestamp(at) - _seconds(start)
-    low = F.floor(age / step) + 1
-    high = F.least(F.floor((age + SPAN_DAYS * _DAY) / step), F.floor((_seconds(end) - _seconds(start)) / step))
-    ks = F.explode(F.when((age >= 0) & (high >= low), F.sequence(low, high))).alias("_k")
-    boundary = F.lit(start).cast("timestamp") + F.make_dt_interval((F.col("_k") * STEP_DAYS).cast("int"))
-    return df.select("*", ks).withColumn("boundary", boundary).drop("_k")
+    low, high = reach(F.col(at), start, end)
+    ks = F.explode(F.when(high >= low, F.sequence(low, high))).alias("_k")
+    return df.select("*", ks).withColumn("boundary", _boundary(F.col("_k"), start)).drop("_k")
+
+
+def counted_in_windows(
+    df: DataFrame, at: str, start: str, end: str, keys: list[str], *, known: str | None = None, only: tuple[int, int] | None = None
+) -> DataFrame:
+    """Rows per boundary and keys, as ``n``.
+
+    Instants that the same windows hold make a pane: whole steps and the edge that the oldest step sticks out of a window.
+    Rows are counted by pane before they are dealt to windows, so no row is copied. With ``known`` a row counts only at
+    boundaries at or after that instant; ``only`` asks for the boundaries of these numbers.
+    """
+    low, high = reach(F.col(at), start, end)
+    if known is not None:
+        low = F.greatest(low, _known_from(F.col(known), start))
+    if only is not None:
+        low, high = F.greatest(low, F.lit(only[0])), F.least(high, F.lit(only[1]))
+    size = F.sum("n") if "n" in df.columns else F.count("*")
+    panes = df.withColumns({"_low": low, "_high": high}).filter("_low <= _high").groupBy(*keys, "_low", "_high").agg(size.alias("n"))
+    dealt = panes.select(*keys, "n", F.explode(F.sequence("_low", "_high")).alias("_k"))
+    return dealt.groupBy(*keys, _boundary(F.col("_k"), start).alias("boundary")).agg(F.sum("n").alias("n"))
 
 
 def window_counts(
@@ -61,10 +104,11 @@ def window_counts(
     mismatch = F.lit(False)
     for column, running in required_versions.items():
         mismatch = mismatch | ~same_series(F.col(column), F.lit(running))
-    per = in_windows(predictions, "event_time", start, end).groupBy("boundary").agg(
-        F.count("*").alias("prediction_count"), F.count_if(mismatch).alias("version_mismatch_count")
+    marked = counted_in_windows(predictions.withColumn("_mismatch", mismatch), "event_time", start, end, ["_mismatch"])
+    per = marked.groupBy("boundary").agg(
+        F.sum("n").alias("prediction_count"), F.sum(F.when(F.col("_mismatch"), F.col("n")).otherwise(0)).alias("version_mismatch_count")
     )
-    refused = in_windows(refusals, "at", start, end).groupBy("boundary").agg(F.count("*").alias("refusal_count"))
+    refused = counted_in_windows(refusals, "at", start, end, []).withColumnRenamed("n", "refusal_count")
     mine = predictions.filter(F.col("event_time") >= F.lit(start).cast("timestamp")).select("prediction_id")
     first = F.greatest(F.lit(1), F.ceil((F.unix_timestamp("released_at") - _seconds(start)) / (STEP_DAYS * _DAY)))
     released = labels.join(mine, "prediction_id").groupBy(
@@ -87,15 +131,20 @@ def long_form(rows: DataFrame, signals: tuple[str, ...], keep: tuple[str, ...] =
     return rows.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.signal", "p.value")
 
 
+def _size(df: DataFrame) -> Column:
+    """The number of rows; a column ``n`` says how many a row stands for."""
+    return F.sum("n") if "n" in df.columns else F.count("*")
+
+
 def ks_two_sample(reference: DataFrame, live: DataFrame) -> DataFrame:
     """Kolmogorov-Smirnov distance and p-value of each boundary's sample against the reference.
 
-    ``reference`` has ``signal`` and ``value``, ``live`` also ``boundary``. Between two live
+    ``reference`` has ``signal`` and ``value``, ``live`` also ``boundary``; ``n`` is optional (see ``counted_in_windows``). Between two live
     values only the reference's distribution moves, and it is monotone there, so the largest gap
     is found at or just before a live value: the reference is accumulated once, not per boundary.
     """
-    ref = reference.groupBy("signal", "value").agg(F.count("*").alias("r"))
-    seen = live.groupBy("boundary", "signal", "value").agg(F.count("*").alias("l"))
+    ref = reference.groupBy("signal", "value").agg(_size(reference).alias("r"))
+    seen = live.groupBy("boundary", "signal", "value").agg(_size(live).alias("l"))
     points = ref.unionByName(seen.select("signal", "value").distinct().withColumn("r", F.lit(0).cast("long")))
     steps = points.groupBy("signal", "value").agg(F.sum("r").alias("r"))
     ecdf = running_totals(steps, ["value"], {"f": F.col("r")}, ["signal"]).select(
@@ -130,7 +179,8 @@ def stability_index(reference: DataFrame, live: DataFrame, edges: DataFrame, flo
     bin_ = F.size(F.filter("edges", lambda e: F.col("value") > e)).alias("bin")
 
     def share(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        binned = df.join(edges, "signal").select(*keys, bin_).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+        sized = df if "n" in df.columns else df.withColumn("n", F.lit(1))
+        binned = sized.join(edges, "signal").select(*keys, bin_, "n").groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
         # Ten rows per key.
         by_bin = binned.groupBy(*keys).agg(
             F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"), F.sum("n").alias("total")
@@ -148,8 +198,9 @@ def stability_index(reference: DataFrame, live: DataFrame, edges: DataFrame, flo
 
 def proportion_tests(reference: DataFrame, live: DataFrame) -> DataFrame:
     """Two-proportion z statistic and p-value of 0/1 signals against the reference."""
+    one = lambda df: F.col("n") if "n" in df.columns else F.lit(1)
     counted = lambda df, keys, x, n: df.groupBy(*keys).agg(
-        F.count_if(F.col("value") == 1).alias(x), F.count("*").alias(n)
+        F.sum(F.when(F.col("value") == 1, one(df)).otherwise(0)).alias(x), _size(df).alias(n)
     )
     joined = counted(live, ["boundary", "signal"], "x2", "n2").join(counted(reference, ["signal"], "x1", "n1"), "signal")
     z = two_proportion_z(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2"))
@@ -157,24 +208,60 @@ def proportion_tests(reference: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def realized_by_boundary(
-    predictions: DataFrame, labels: DataFrame, start: str, end: str, lag_days: int = LABEL_WINDOW_DAYS
+    predictions: DataFrame, labels: DataFrame, start: str, end: str, lag_days: int = LABEL_WINDOW_DAYS,
+    only: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Count, prevalence and AUROC of the labels known at each boundary; NULL where undefined.
 
     A label is released a label window after its discharge at the earliest, so the discharge
     window ends ``lag_days`` before the boundary; with 0 it is the boundary's own window.
+    ``only`` restricts the boundaries to those of these numbers.
     """
     run = predictions.filter(F.col("event_time") >= F.lit(start).cast("timestamp"))
     joined = run.join(labels.select("prediction_id", "label", "released_at"), "prediction_id").withColumn(
         "_matured", F.col("event_time") + F.make_dt_interval(F.lit(lag_days))
     )
-    known = in_windows(joined, "_matured", start, end).filter(F.col("released_at") <= F.col("boundary"))
-    found = ranking(known.select("boundary", "score", "label"), ["boundary"])
-    return grid(predictions.sparkSession, start, end).join(found, "boundary", "left").select(
+    known = counted_in_windows(joined, "_matured", start, end, ["score", "label"], known="released_at", only=only)
+    found = ranking(known, ["boundary"], weight="n")
+    boundaries = grid(predictions.sparkSession, start, end)
+    if only is not None:
+        boundaries = boundaries.filter(F.col("boundary").between(*[_boundary(F.lit(k), start) for k in only]))
+    return boundaries.join(found, "boundary", "left").select(
         "boundary", F.coalesce("rows", F.lit(0)).alias("count"), "prevalence", "auroc"
     )
 
 
+def touched(released: DataFrame, start: str, end: str, lag_days: int = LABEL_WINDOW_DAYS) -> tuple[int, int] | None:
+    """Numbers of the first and the last boundary that released labels (event_time, released_at) change; None for none."""
+    low, high = reach(F.col("event_time") + F.make_dt_interval(F.lit(lag_days)), start, end)
+    low = F.greatest(low, _known_from(F.col("released_at"), start))
+    first, last = released.select(low.alias("low"), high.alias("high")).filter("low <= high").agg(F.min("low"), F.max("high")).first()
+    return None if first is None else (int(first), int(last))
+
+
+def all_statistics(psi: DataFrame, ks: DataFrame, z: DataFrame, realized: DataFrame, floor: float) -> DataFrame:
+    """Every statistic of an evaluation in one table: boundary, signal (with the statistic's name), statistic.
+
+    The larger, the more reason for an alert: ``z`` by its size, the realized AUROC by how far it is below ``floor``.
+    """
+    named = lambda df, kind, value: df.select("boundary", F.concat(F.lit(f"{kind}:"), "signal").alias("signal"), value.alias("statistic"))
+    short = realized.select("boundary", F.lit("realized:auroc_shortfall").alias("signal"), (F.lit(floor) - F.col("auroc")).alias("statistic"))
+    return named(psi, "psi", F.col("psi")).unionByName(named(ks, "ks", F.col("ks"))).unionByName(
+        named(z, "z", F.abs("z"))).unionByName(short).filter("statistic IS NOT NULL")
+
+
+def evaluation_rows(counts: DataFrame, statistics: DataFrame, thresholds_digest: str, reference_id: str) -> DataFrame:
+    """One row a boundary: the window, the reference, the thresholds in force, the counts and all statistics as a map."""
+    # A few statistics for each signal.
+    packed = statistics.groupBy("boundary").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", "statistic")))).alias("statistics")
+    )
+    return counts.join(packed, "boundary", "left").withColumns({
+        "statistics": F.coalesce("statistics", F.create_map().cast("map<string,double>")),
+        "thresholds_hash": F.lit(thresholds_digest), "reference": F.lit(reference_id),
+    })
+
+
 def alerts(statistics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """One row per boundary and signal whose statistic is over its threshold; dated at the boundary."""
     return statistics.join(thresholds, "signal").filter(F.col("statistic") > F.col("threshold")).select(

@@ -9,6 +9,10 @@ from anchorline.functions.scalar import calendar_age
 from anchorline.operators.joins import checked_lookup
 
 
+# The reason of a stay whose patient is not known.
+UNKNOWN_PATIENT = "unknown_patient"
+
+
 def classify_encounters(encounters: DataFrame, patients: DataFrame, *, strict: bool = False) -> DataFrame:
     """Every encounter with its age at discharge and the first rule it fails, NULL if none.
 
@@ -37,7 +41,7 @@ def exclusion_reason(strict: bool = False) -> F.Column:
 
 def _unknown_patient(strict: bool):
     if not strict:
-        return F.lit("unknown_patient")
+        return F.lit(UNKNOWN_PATIENT)
     message = F.concat(F.lit("inpatient encounter references an unknown patient: "), F.col("id").cast("string"))
     return F.raise_error(message).cast("string")
 
@@ -57,7 +61,7 @@ def build_cohort(encounters: DataFrame, patients: DataFrame, *, strict: bool = F
 
 
 def exclusion_counts(encounters: DataFrame, patients: DataFrame) -> DataFrame:
-    """Rows per first-failed rule.
+    """Rows per first-failed rule, 0 for a rule that no row fails first.
 
     The class rule needs no demographics, so the bulk of the table is counted where it is read
     and only inpatient stays are joined.
@@ -72,7 +76,8 @@ def exclusion_counts(encounters: DataFrame, patients: DataFrame) -> DataFrame:
         .groupBy("exclusion_reason")
         .agg(F.count("*").alias("encounters"))
     )
-    return others.unionByName(stays)
+    every = encounters.sparkSession.createDataFrame([(r,) for r in (*EXCLUSION_REASONS, UNKNOWN_PATIENT)], "exclusion_reason STRING")
+    return every.join(others.unionByName(stays), "exclusion_reason", "left").withColumn("encounters", F.coalesce("encounters", F.lit(0)))
 
 
 def with_cutoff(cohort: DataFrame, cutoff: str) -> DataFrame:

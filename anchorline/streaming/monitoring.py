@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from anchorline.operators.monitor import SPAN_DAYS, STEP_DAYS, realized_by_boundary
+from anchorline.operators.monitor import SPAN_DAYS, STEP_DAYS, grid, realized_by_boundary, touched
 from anchorline.operators.order import Switches, spliced
 from anchorline.sources.logs import ParquetLog, first_scores
 
@@ -65,23 +65,28 @@ def score_sink(log: ParquetLog) -> Callable[[DataFrame, int], None]:
 
 
 def realized_sink(predictions: Callable[[], DataFrame], labels: Callable[[], DataFrame], start: str, end: str, path: str):
-    """A ``foreachBatch`` handler over released labels that refreshes the windows they touch.
+    """A ``foreachBatch`` handler over released labels (event_time, released_at) that refreshes the windows they touch.
 
-    The results are one folder per boundary; only touched boundaries are rewritten.
+    The results are one folder per boundary; only touched boundaries are ranked and rewritten.
     """
 
     def step(batch: DataFrame, _batch_id: int) -> None:
-        low = batch.agg(F.min(F.unix_micros("released_at"))).first()[0]
-        if low is None:
+        changed = touched(batch, start, end)
+        if changed is None:
             return
-        # A label can only change windows that end at or after its release.
-        fresh = realized_by_boundary(predictions(), labels(), start, end).filter(F.col("boundary") >= F.timestamp_micros(F.lit(low)))
+        fresh = realized_by_boundary(predictions(), labels(), start, end, only=changed)
         by_day = fresh.withColumn("day", F.date_format("boundary", "yyyy-MM-dd")).write.mode("overwrite")
         by_day.option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
     return step
 
 
+def realized_table(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """The whole grid with what the sink has written; a window that no label has touched has count 0."""
+    written = spark.read.parquet(path).drop("day")
+    return grid(spark, start, end).select("boundary").join(written, "boundary", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+
+
 def state_rows(spark: SparkSession, checkpoint: str, lists: tuple[str, ...]) -> DataFrame:
     """name, n_rows: how many rows the list variables of a stopped query's state hold over all keys."""
     out = None
