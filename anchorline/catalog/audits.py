@@ -163,6 +163,21 @@ def provenance(spark, d):
     return checked.selectExpr("bigint(encounter_id) AS encounter_id", "hash_matches", "score_matches", "round(gap, 9) AS gap")
 
 
+# The log itself is the source: written, read back, and every score made anew from the features it holds.
+@query("provenance_of_log", LOGS + """
+SELECT p.encounter_id, true AS has_source, p.input_hash = h.h AS hash_matches, p.score = s.score AS score_matches,
+       round(abs(p.score - s.score), 9) AS gap FROM predictions p JOIN hashes h USING (encounter_id) JOIN scored s USING (encounter_id)""")
+def provenance_of_log(spark, d):
+    log = PredictionLog(spark, scratch_path(spark, "predictions"))
+    inputs = logged_features(common.scored(spark, d), MODEL_INPUTS).select(F.col("encounter_id").cast("string").alias("encounter_id"), "features")
+    log.record(_loggable(spark, d).drop("features").join(inputs, "encounter_id"))
+    raw = testdata.raw_population(spark, d)["encounters"]
+    checked = audit.verify_log(log.read(), raw, lambda rows: rows.withColumn("score", F.expr(SCORE_SQL)), MODEL_INPUTS)
+    return checked.select(
+        F.col("encounter_id").cast("long").alias("encounter_id"), "has_source", "hash_matches", "score_matches", F.round("gap", 9).alias("gap")
+    )
+
+
 @query("logged_models", LOGS + "SELECT DISTINCT model_name, model_version FROM predictions")
 def logged_models(spark, d):
     return audit.logged_models(predictions(spark, d))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from anchorline.catalog import common
 from anchorline.catalog.registry import UNIFORM, holdout_sql, query
@@ -12,7 +14,7 @@ from anchorline.operators.metrics import brier, calibration, calibration_error,
 from anchorline.operators.rank import bin_of, with_row_number
 from anchorline.operators.sampling import is_holdout
 from anchorline.plans.audit import median_row
-from anchorline.plans.gate import gate_checks, subgroup_metrics, subgroup_rows, verdict
+from anchorline.plans.gate import evaluate, gate_checks, subgroup_metrics, subgroup_rows, verdict
 from anchorline.session import materialize
 from anchorline.sources import testdata
 
@@ -198,6 +200,35 @@ def gate_verdict(spark, d):
     return verdict(_checks(spark, d))
 
 
+# The whole gate over the holdout: every check and metric, the size of the holdout and the verdict in one table.
+GATE_METRICS = {"auroc": PAIRS, "pr_auc": AP, "ece": ECE, "brier": "(SELECT avg((score - label) * (score - label)) FROM {0})"}
+
+
+@query("gate_report", DRAWS + CHECKS.removeprefix(HOLDOUT) + "".join(
+    f"SELECT 'metric' AS section, '{m}' AS name, round({sql.format('holdout')}, 9) AS value, round(quantile_cont({m}, 0.025), 9) AS low, "
+    f"round(quantile_cont({m}, 0.975), 9) AS high, NULL::BOOLEAN AS passed FROM replicates UNION ALL " for m, sql in GATE_METRICS.items()
+) + """SELECT 'check', name, round(value, 9), CAST(threshold AS DOUBLE), NULL, passed FROM checks
+UNION ALL SELECT 'holdout', 'rows', count(*)::DOUBLE, NULL, NULL, NULL FROM holdout
+UNION ALL SELECT 'holdout', 'patients', count(DISTINCT patient_id)::DOUBLE, NULL, NULL, NULL FROM holdout
+UNION ALL SELECT 'holdout', 'prevalence', round(avg(label), 9), NULL, NULL, NULL FROM holdout
+UNION ALL SELECT 'verdict', 'pass', NULL, NULL, NULL, bool_and(passed) FROM checks""")
+def gate_report(spark, d):
+    result = evaluate(holdout(spark, d), testdata.patients(spark, d), expected_auroc=0.6)
+    line = lambda df, section, name, value, low=None, high=None, passed=None: df.select(
+        F.lit(section).alias("section"), name.alias("name"), F.round(value, 9).alias("value"),
+        (F.lit(None).cast("double") if low is None else low).alias("low"), (F.lit(None).cast("double") if high is None else high).alias("high"),
+        (F.lit(None).cast("boolean") if passed is None else passed).alias("passed"),
+    )
+    none = F.lit(None).cast("double")
+    parts = [
+        line(result.metrics, "metric", F.col("metric"), F.col("value"), F.round("ci_low", 9), F.round("ci_high", 9)),
+        line(result.checks, "check", F.col("name"), F.col("value"), F.col("threshold"), passed=F.col("passed")),
+        *[line(result.totals, "holdout", F.lit(n), F.col(c).cast("double")) for n, c in (("rows", "n_rows"), ("patients", "n_patients"), ("prevalence", "prevalence"))],
+        line(result.verdict, "verdict", F.lit("pass"), none, passed=F.col("verdict") == "pass"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("batch_scores", "SELECT encounter_id, score, label FROM scored")
 def batch_scores(spark, d):
     return common.scored(spark, d).select("encounter_id", "score", "label")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.contracts import LABEL_WINDOW_DAYS
@@ -154,6 +156,23 @@ def missing_features(predictions: DataFrame, names: tuple[str, ...]) -> DataFram
     return predictions.select("encounter_id", lacking.alias("missing")).filter(F.size("missing") > 0)
 
 
+class MissingFeature(LookupError):
+    """A logged prediction cannot be rescored: its feature map lacks a model input."""
+
+
+def verify_log(predictions: DataFrame, raw_encounters: DataFrame, score: Callable[[DataFrame], DataFrame], names: tuple[str, ...]) -> DataFrame:
+    """``verify_predictions`` with scores made anew from the features as the log holds them.
+
+    ``score`` adds a ``score`` column to rows of model inputs. A prediction whose map lacks one of ``names``, or holds
+    NaN for it, raises: filling it in would prove nothing.
+    """
+    lacking = missing_features(predictions, names).orderBy("encounter_id").take(5)
+    if lacking:
+        raise MissingFeature(f"logged features are missing, among them {[(r['encounter_id'], r['missing']) for r in lacking]}")
+    again = predictions.select("encounter_id", *[F.col("features")[n].alias(n) for n in names])
+    return verify_predictions(predictions, raw_encounters, score(again).select("encounter_id", F.col("score").alias("rescored")))
+
+
 def serving_skew(streamed: DataFrame, batch: DataFrame) -> DataFrame:
     """Discharges whose streamed features differ from the batch ones, with the columns; exact."""
     from anchorline.operators.joins import keyed_difference

@@ -145,3 +145,41 @@ def test_batch_run_reproduces_its_log(spark, population, tmp_path):
     before = log.read().count()
     assert run_batch(raw, score, log, **options).ok and log.read().count() == before
     assert not run_batch(raw, lambda df: score(df).withColumn("score", F.col("score") + 1), log, **options).ok
+
+
+def test_a_log_that_lacks_a_feature_is_refused(spark, population, tmp_path):
+    random_population(population, 23, patients=6)
+    raw = population.raw(spark)
+    score = lambda df: df.withColumn("score", F.col("los_days") / 100)
+    log = PredictionLog(spark, str(tmp_path / "log"))
+    run_batch(raw, score, log, cutoff="2023-06-01", count=3, seed=1, model=("m", 1))
+    good = log.read()
+    assert audit.verify_log(good, raw["encounters"], score, ("los_days",)).filter("NOT (has_source AND hash_matches AND score_matches)").isEmpty()
+    first = good.agg(F.min("encounter_id")).first()[0]
+    for broken in (F.map_filter("features", lambda k, v: k != "los_days"), F.map_concat(F.map_filter("features", lambda k, v: k != "los_days"), F.create_map(F.lit("los_days"), F.lit(float("nan"))))):
+        worse = good.withColumn("features", F.when(F.col("encounter_id") == first, broken).otherwise(F.col("features")))
+        with pytest.raises(audit.MissingFeature, match=first):
+            audit.verify_log(worse, raw["encounters"], score, ("los_days",))
+
+
+def test_panes_give_the_windows_and_touched_ones_alone_change(spark):
+    rng = np.random.default_rng(5)
+    start, end = "2024-01-01", "2024-06-30"
+    rows = [(i, int(s), float(rng.integers(0, 6)) / 6, int(rng.integers(0, 2)), int(s) + int(r)) for i, (s, r) in enumerate(
+        zip(rng.integers(-20, 190, 300) * 43_200, rng.integers(0, 40, 300) * 86_400, strict=True))]
+    base = "timestamp'2024-01-01'"
+    df = spark.createDataFrame(rows, "prediction_id INT, s INT, score DOUBLE, label INT, r INT").selectExpr(
+        "prediction_id", "score", "label", f"{base} + make_dt_interval(0, 0, 0, s) AS event_time", f"{base} + make_dt_interval(0, 0, 0, r) AS released_at")
+    got = {(r["boundary"], r["score"]): r["n"] for r in monitor.counted_in_windows(df, "event_time", start, end, ["score"], known="released_at").collect()}
+    want = {(r["boundary"], r["score"]): r["n"] for r in monitor.in_windows(df, "event_time", start, end).filter(
+        "released_at <= boundary").groupBy("boundary", "score").agg(F.count("*").alias("n")).collect()}
+    assert got == want and got
+    run = lambda labels, **more: {r["boundary"]: tuple(r) for r in monitor.realized_by_boundary(df, labels, start, end, **more).collect()}
+    new = df.filter("prediction_id % 29 = 3")
+    before, after = run(df.filter("prediction_id % 29 <> 3")), run(df)
+    ks = monitor.touched(new, start, end)
+    part = run(df, only=ks)
+    changed = {b for b in after if after[b] != before[b]}
+    assert changed and changed <= set(part) and len(part) == ks[1] - ks[0] + 1
+    assert all(part[b] == after[b] for b in part)
+    assert monitor.touched(new.filter("false"), start, end) is None
