@@ -9,7 +9,9 @@ from anchorline.catalog.anchors import CUTOFF, SAMPLE
 from anchorline.catalog.audits import LOGS, predictions
 from anchorline.catalog.registry import ORACLES, query
 from anchorline.contracts import SPLIT_SEED, TABLES
+from anchorline.functions.hashing import rekey
 from anchorline.plans import training
+from anchorline.plans.cohort import build_cohort, training_window
 from anchorline.plans.scoring import batch_report, select_held_out_batch
 from anchorline.session import materialize, scratch_path
 from anchorline.sources import testdata
@@ -76,35 +78,48 @@ def csv_cells(spark, d):
     told = F.concat("DESCRIPTION", F.lit('\nsaid "yes", '), "CODE")
     testdata.raw_population(spark, d)["conditions"].withColumn("DESCRIPTION", told).write.option("header", True).option(
         "escape", '"').csv(f"{folder}/conditions.csv")
-    read = load_population(spark, folder, frames=("conditions",))["conditions"]
+    read = load_population(spark, folder, frames=("conditions",), line_breaks=True)["conditions"]
     return read.groupBy(
         F.col("PATIENT").cast("long").alias("patient"), F.col("ENCOUNTER").cast("long").alias("encounter"),
         F.col("CODE").alias("code"), F.col("DESCRIPTION").alias("description"),
     ).agg(F.count("*").alias("n"))
 
 
-@query("rekeyed_cohort", "SELECT age_at_discharge, count(*) AS n FROM cohort GROUP BY 1")
+# Ids are rewritten, and nothing else.
+@query("rekeyed_cohort", "SELECT encounter_id, patient_id, age_at_discharge, true AS joined FROM cohort")
 def rekeyed_cohort(spark, d):
-    from anchorline.plans.cohort import build_cohort
+    raw = testdata.raw_population(spark, d)
+    frames = typed_population(rekeyed(raw, "second"))
+    new = build_cohort(frames["encounters"], frames["patients"])
+    # Back to the old ids by rewriting them again, each on its own.
+    old = raw["encounters"].select(
+        F.col("Id").cast("long").alias("id"), F.col("PATIENT").cast("long").alias("patient"),
+        rekey("second", F.col("Id")).alias("encounter_id"), rekey("second", F.col("PATIENT")).alias("_patient"),
+    )
+    return new.join(old, "encounter_id", "left").select(
+        F.col("id").alias("encounter_id"), F.col("patient").alias("patient_id"), "age_at_discharge", (F.col("patient_id") == F.col("_patient")).alias("joined")
+    )
+
 
-    frames = typed_population(rekeyed(testdata.raw_population(spark, d), "second"))
-    return build_cohort(frames["encounters"], frames["patients"]).groupBy("age_at_discharge").agg(F.count("*").alias("n"))
+# Documents of one file of digests at most; a language has as many files as it needs.
+FILE_DOCUMENTS = 400
 
 
 def _document_manifest(spark, d):
-    """One text file per language with the documents' digests, measured."""
+    """Text files with the documents' digests, of one language and one range of ids each, measured."""
     folder = scratch_path(spark, "manifest")
     lines = spark.read.parquet(f"{d}/documents.parquet").select(
-        "lang", F.concat_ws(",", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("value"), "doc_id"
+        "lang", F.expr(f"doc_id div {FILE_DOCUMENTS}").alias("block"),
+        F.concat_ws(",", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("value"), "doc_id",
     )
-    # One file a language, in order of the id, as SQL can repeat it.
-    lines.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(folder)
+    # One file a language and block, in order of the id, as SQL can repeat it.
+    lines.repartition("lang", "block").sortWithinPartitions("lang", "block", "doc_id").drop("doc_id").write.partitionBy("lang", "block").text(folder)
     measured = build_manifest(spark, folder, "*.txt")
-    return measured.withColumn("path", F.regexp_extract("path", "lang=([a-z]+)", 1))
+    return measured.withColumn("path", F.regexp_replace("path", "^.*lang=([a-z]+)/block=([0-9]+)/.*$", "$1/$2"))
 
 
-DOCUMENT_FILES = """WITH files AS (SELECT lang AS path, string_agg(doc_id || ',' || sha256(text) || chr(10), '' ORDER BY doc_id) AS body, count(*) AS n
-  FROM documents GROUP BY 1)
+DOCUMENT_FILES = f"""WITH files AS (SELECT lang || '/' || doc_id // {FILE_DOCUMENTS} AS path,
+  string_agg(doc_id || ',' || sha256(text) || chr(10), '' ORDER BY doc_id) AS body, count(*) AS n FROM documents GROUP BY 1)
 """
 
 
@@ -120,28 +135,52 @@ SELECT path, sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes, n -
 @query("manifest_check")
 def manifest_check(spark, d):
     actual = materialize(_document_manifest(spark, d))
-    expected = actual.withColumn("sha256", F.when(F.col("path") == "de", F.lit("0")).when(F.col("path") != "fr", F.col("sha256"))).withColumn(
-        "path", F.when(F.col("path") == "es", F.lit("it")).otherwise(F.col("path"))
+    lang = F.split("path", "/")[0]
+    expected = actual.withColumn("sha256", F.when(lang == "de", F.lit("0")).when(lang != "fr", F.col("sha256"))).withColumn(
+        "path", F.when(lang == "es", F.concat(F.lit("it/"), F.split("path", "/")[1])).otherwise(F.col("path"))
     )
     return verify_manifest(expected, actual)
 
 
-ORACLES["manifest_check"] = """
-SELECT * FROM (SELECT DISTINCT lang AS path, CASE lang WHEN 'de' THEN 'checksum mismatch' WHEN 'fr' THEN 'unverified' WHEN 'es' THEN 'extra file' END AS problem
-  FROM documents UNION ALL SELECT DISTINCT 'it', 'missing file' FROM documents WHERE lang = 'es') WHERE problem IS NOT NULL"""
+ORACLES["manifest_check"] = DOCUMENT_FILES + """
+SELECT * FROM (SELECT path, CASE split_part(path, '/', 1) WHEN 'de' THEN 'checksum mismatch' WHEN 'fr' THEN 'unverified' WHEN 'es' THEN 'extra file' END AS problem
+  FROM files UNION ALL SELECT 'it/' || split_part(path, '/', 2), 'missing file' FROM files WHERE split_part(path, '/', 1) = 'es') WHERE problem IS NOT NULL"""
 
 
-@query("preload_history", """
-SELECT 'patient' AS kind, count(*) AS loaded, count(*) FILTER (WHERE id % 2 = 0) AS already_present FROM patients
-UNION ALL SELECT 'encounter', count(*), count(*) FILTER (WHERE patient % 2 = 0) FROM encounters
-UNION ALL SELECT 'medication', count(*), count(*) FILTER (WHERE patient % 2 = 0) FROM medications
-UNION ALL SELECT 'condition', count(*), count(*) FILTER (WHERE patient % 2 = 0) FROM (SELECT DISTINCT ON (patient, encounter, code, start) * FROM conditions)""")
+# The first load brings half of the patients; the second brings everything up to a day, with altered and broken rows.
+PRELOAD_CUT = "1998-01-01T00:00:00Z"
+
+
+@query("preload_history", f"""
+, told AS (
+  SELECT 'patient' AS kind, id % 2 = 0 AS even, false AS altered, false AS broken, false AS later FROM patients
+  UNION ALL SELECT 'encounter', patient % 2 = 0, id % 19 = 0, false, stop IS NULL OR stop >= TIMESTAMP '{PRELOAD_CUT[:10]}' FROM encounters
+  UNION ALL SELECT 'medication', patient % 2 = 0, false, encounter % 23 = 0, start >= TIMESTAMP '{PRELOAD_CUT[:10]}' FROM medications
+  UNION ALL SELECT 'condition', patient % 2 = 0, false, false, start >= DATE '{PRELOAD_CUT[:10]}'
+    FROM (SELECT DISTINCT ON (patient, encounter, code, start) * FROM conditions)),
+loads AS (
+  SELECT kind, 1 AS loaded, 0 AS already_present, 0 AS conflicts, 0 AS malformed, 0 AS later FROM told WHERE even
+  UNION ALL SELECT kind, CAST(NOT broken AND NOT later AND NOT even AS INTEGER), CAST(NOT broken AND NOT later AND even AND NOT altered AS INTEGER),
+    CAST(NOT broken AND NOT later AND even AND altered AS INTEGER), CAST(broken AS INTEGER), CAST(NOT broken AND later AS INTEGER) FROM told)
+SELECT kind, sum(loaded)::BIGINT AS loaded, sum(already_present)::BIGINT AS already_present, sum(conflicts)::BIGINT AS conflicts,
+       sum(malformed)::BIGINT AS malformed, sum(later)::BIGINT AS later FROM loads GROUP BY kind
+UNION ALL SELECT 'discharges_unscored', count(*), NULL, NULL, NULL, NULL FROM cohort WHERE stop < TIMESTAMP '{PRELOAD_CUT[:10]}'""")
 def preload_twice(spark, d):
-    """Half of the rows are in the store when all of them are loaded; both loads are summed."""
+    """Both loads summed, and the discharges of the history that the stream will not score."""
     raw = testdata.raw_population(spark, d)
     raw["conditions"] = raw["conditions"].dropDuplicates(list(TABLES["conditions"].key))
     raw = {n: materialize(df) for n, df in raw.items()}
     store = EventStore(spark, scratch_path(spark, "state"))
     half = {n: df.filter(F.col(TABLES[n].entity).cast("long") % 2 == 0) for n, df in raw.items()}
-    both = preload(store, half).unionByName(preload(store, raw))
-    return both.groupBy("kind").agg(F.sum("loaded").alias("loaded"), F.sum("already_present").alias("already_present"))
+    changed = {
+        **raw,
+        "encounters": raw["encounters"].withColumn("ENCOUNTERCLASS", F.expr("if(bigint(Id) % 19 = 0, 'zz-other', ENCOUNTERCLASS)")),
+        "medications": raw["medications"].withColumn("START", F.expr("if(bigint(ENCOUNTER) % 23 = 0, 'not a time', START)")),
+    }
+    both = preload(store, half).unionByName(preload(store, changed, before=PRELOAD_CUT))
+    names = ("loaded", "already_present", "conflicts", "malformed", "later")
+    none = F.lit(None).cast("long")
+    skipped = training_window(common.cohort(spark, d), PRELOAD_CUT).agg(F.count("*").alias("loaded")).select(
+        F.lit("discharges_unscored").alias("kind"), "loaded", *[none.alias(n) for n in names[1:]]
+    )
+    return both.groupBy("kind").agg(*[F.sum(n).alias(n) for n in names]).unionByName(skipped)

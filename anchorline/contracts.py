@@ -32,7 +32,6 @@ ECE_LIMIT = 0.05
 REPRODUCTION_TOLERANCE = 1e-6
 SUBGROUP_MIN_ROWS = 50
 AGE_BANDS = (("age_18_49", 18, 50), ("age_50_64", 50, 65), ("age_65_79", 65, 80), ("age_80_plus", 80, None))
-MAX_EVENTS_PER_PATIENT = 20_000
 
 # Condition codes that set each comorbidity flag.
 FLAG_CODES: dict[str, tuple[str, ...]] = {
@@ -71,11 +70,10 @@ EXCLUSION_REASONS = ("non_inpatient", "open_stay", "death_before_admission", "in
 
 @dataclass(frozen=True)
 class TableContract:
-    """One raw table: every column, the ones the pipeline reads, and how they are keyed."""
+    """One raw table: the columns the pipeline reads, and how they are keyed."""
 
     name: str
     kind: str
-    columns: tuple[str, ...]
     payload: tuple[str, ...]
     key: tuple[str, ...]
     entity: str
@@ -86,10 +84,6 @@ class TableContract:
     ordered_interval: bool
     ids: tuple[str, ...]
 
-    @property
-    def raw_schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c, T.StringType()) for c in self.columns])
-
     @property
     def payload_schema(self) -> T.StructType:
         return T.StructType([T.StructField(c, T.StringType()) for c in self.payload])
@@ -98,12 +92,6 @@ class TableContract:
 PATIENTS = TableContract(
     name="patients",
     kind="patient",
-    columns=(
-        "Id", "BIRTHDATE", "DEATHDATE", "SSN", "DRIVERS", "PASSPORT", "PREFIX", "FIRST", "MIDDLE",
-        "LAST", "SUFFIX", "MAIDEN", "MARITAL", "RACE", "ETHNICITY", "GENDER", "BIRTHPLACE",
-        "ADDRESS", "CITY", "STATE", "COUNTY", "FIPS", "ZIP", "LAT", "LON", "HEALTHCARE_EXPENSES",
-        "HEALTHCARE_COVERAGE", "INCOME",
-    ),
     payload=("Id", "BIRTHDATE", "DEATHDATE"),
     key=("Id",),
     entity="Id",
@@ -117,11 +105,6 @@ PATIENTS = TableContract(
 ENCOUNTERS = TableContract(
     name="encounters",
     kind="encounter",
-    columns=(
-        "Id", "START", "STOP", "PATIENT", "ORGANIZATION", "PROVIDER", "PAYER", "ENCOUNTERCLASS",
-        "CODE", "DESCRIPTION", "BASE_ENCOUNTER_COST", "TOTAL_CLAIM_COST", "PAYER_COVERAGE",
-        "REASONCODE", "REASONDESCRIPTION",
-    ),
     payload=("Id", "START", "STOP", "PATIENT", "ENCOUNTERCLASS"),
     key=("Id",),
     entity="PATIENT",
@@ -135,10 +118,6 @@ ENCOUNTERS = TableContract(
 MEDICATIONS = TableContract(
     name="medications",
     kind="medication",
-    columns=(
-        "START", "STOP", "PATIENT", "PAYER", "ENCOUNTER", "CODE", "DESCRIPTION", "BASE_COST",
-        "PAYER_COVERAGE", "DISPENSES", "TOTALCOST", "REASONCODE", "REASONDESCRIPTION",
-    ),
     payload=("START", "STOP", "PATIENT", "ENCOUNTER", "CODE"),
     key=("PATIENT", "ENCOUNTER", "CODE", "START", "STOP"),
     entity="PATIENT",
@@ -153,7 +132,6 @@ MEDICATIONS = TableContract(
 CONDITIONS = TableContract(
     name="conditions",
     kind="condition",
-    columns=("START", "STOP", "PATIENT", "ENCOUNTER", "SYSTEM", "CODE", "DESCRIPTION"),
     payload=("START", "STOP", "PATIENT", "ENCOUNTER", "SYSTEM", "CODE", "DESCRIPTION"),
     key=("PATIENT", "ENCOUNTER", "CODE", "START"),
     entity="PATIENT",

@@ -14,25 +14,25 @@ from anchorline.session import prepare
 
 
 def load_population(
-    spark: SparkSession, csv_dir: str, *, frames: Sequence[str] = tuple(TABLES)
+    spark: SparkSession, csv_dir: str, *, frames: Sequence[str] = tuple(TABLES), line_breaks: bool = False
 ) -> dict[str, DataFrame]:
-    """A folder of CSV exports as raw tables. Only known tables can be asked for."""
+    """A folder of CSV exports as raw tables. Only known tables can be asked for; see ``read_table``."""
     wanted = [TABLES.get(name) for name in frames]
     if None in wanted:
         raise ValueError(f"{list(frames)} must be among {sorted(TABLES)}")
     session = prepare(spark)
-    return {table.name: read_table(session, os.path.join(csv_dir, f"{table.name}.csv"), table) for table in wanted}
+    return {table.name: read_table(session, os.path.join(csv_dir, f"{table.name}.csv"), table, line_breaks) for table in wanted}
 
 
-def read_table(spark: SparkSession, path: str, contract: TableContract) -> DataFrame:
+def read_table(spark: SparkSession, path: str, contract: TableContract, line_breaks: bool = False) -> DataFrame:
     """One CSV table as text; a missing value is empty text.
 
-    Columns go by header name and must include the contract's. Quotes inside quotes are doubled and may hold line
-    breaks. A row with more or fewer cells than the header fails the read. A file with line breaks in cells cannot be
-    split, so write large exports to parquet once.
+    Columns go by header name and must include the contract's. Quotes inside quotes are doubled. A row with more or fewer
+    cells than the header fails the read, and so does a line break inside a cell unless ``line_breaks`` allows it: such a
+    file cannot be split and is one task, others are read in splits whatever their size.
     """
     found = (
-        spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "FAILFAST")
+        spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks).option("mode", "FAILFAST")
         .option("columnPruning", False).csv(path)
     )
     lacking = [c for c in contract.payload if c not in found.columns]

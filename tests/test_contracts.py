@@ -166,6 +166,17 @@ def test_csv_scan_is_verbatim(spark, tmp_path):
         load_population(spark, str(tmp_path), frames=("allergies",))
 
 
+def test_line_breaks_in_cells_are_read_where_they_are_asked_for(spark, tmp_path):
+    (tmp_path / "conditions.csv").write_text(
+        'START,STOP,PATIENT,ENCOUNTER,SYSTEM,CODE,DESCRIPTION\n2024-01-01,,p,e,S,1,"two\nlines"\n2024-01-02,,p,e,S,2,one\n'
+    )
+    ask = lambda **more: load_population(spark, str(tmp_path), frames=("conditions",), **more)["conditions"]
+    assert {r["DESCRIPTION"] for r in ask(line_breaks=True).collect()} == {"two\nlines", "one"}
+    # A torn row has too few cells, and is not passed over.
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        ask().collect()
+
+
 def test_manifest_lists_every_discrepancy(spark, tmp_path):
     for name, text in (("a.csv", "h\n1\n2\n"), ("b.csv", "h\n"), ("c.csv", "")):
         (tmp_path / name).write_text(text)
