@@ -16,8 +16,12 @@ WORDED = r"[^\x20\x09-\x0D]"
 
 
 # Letters whose counts are compared, and the bits of each count. Any letters would do; frequent ones tell most.
-COUNTED = "enthaorisdlu"
+COUNTED = "enthaori"
 BITS = 5
+# Lines are looked at one in SHARE for keys that many share; SEEN of them make a key crowded.
+SHARE, SEEN = 64, 4
+# Lines of a crowded key that meet as many others in one row.
+BLOCK = 256
 # The least length at which two edits change at most a quarter of a line. Of shorter ones most near pairs are chance.
 SHORT = 8
 
@@ -62,15 +66,20 @@ def letter_counts() -> Column:
     return F.expr(" | ".join(parts))
 
 
-def counts_apart(a: str, b: str) -> Column:
-    """A lower bound of the sum of the differences of the letter counts."""
+def counts_apart(a: str, b: str) -> str:
+    """SQL of a lower bound of the sum of the differences of the letter counts."""
     full = 1 << BITS
     one = lambda n: f"((shiftright({a}, {BITS * n}) - shiftright({b}, {BITS * n})) & {full - 1})"
-    return F.expr(" + ".join(f"least({one(n)}, {full} - {one(n)})" for n in range(len(COUNTED))))
+    return " + ".join(f"least({one(n)}, {full} - {one(n)})" for n in range(len(COUNTED)))
 
 
-def distance_within(a: str, b: str, k: int) -> Column:
-    """Edit distance of two text columns where it is at most ``k`` (a few), else null.
+def ahead(size_a: str, a: str, size_b: str, b: str) -> str:
+    """SQL of the order in which two lines meet: the shorter is indexed, the other probes; of one length, by hash."""
+    return f"({size_b} > {size_a} OR ({size_b} = {size_a} AND {b} > {a}))"
+
+
+def distance_within(a: str, b: str, k: int) -> str:
+    """SQL of the edit distance of two text columns where it is at most ``k`` (a few), else null.
 
     Bit d of state e says that the characters of a so far and as many of b, plus d - k, are at most e edits apart. One
     step per character moves all diagonals of the band at once: a match keeps a diagonal, an edit enters it from the
@@ -84,11 +93,11 @@ def distance_within(a: str, b: str, k: int) -> Column:
     first = ", ".join(f"{sum(1 << (k + d) for d in range(e + 1))} AS r{e}" for e in range(k + 1))
     after = ", ".join(f"{s} AS r{e}" for e, s in enumerate(steps))
     told = " ".join(f"WHEN shiftright(s.r{e}, size(y) - size(x) + {k}) & 1 = 1 THEN {e}" for e in range(k + 1))
-    return F.expr(f"""transform(array(struct(regexp_extract_all({a}, '(?s).', 0) AS x, regexp_extract_all({b}, '(?s).', 0) AS y)),
+    return f"""transform(array(struct(regexp_extract_all({a}, '(?s).', 0) AS x, regexp_extract_all({b}, '(?s).', 0) AS y)),
         t -> transform(array(t.x), x -> transform(array(t.y), y -> IF(abs(size(y) - size(x)) > {k}, NULL,
             aggregate(x, struct(0 AS at, {first}),
                 (s, c) -> IF(s.r{k} = 0, s, transform(array({agree}), m -> struct(s.at + 1 AS at, {after}))[0]),
-                s -> CASE {told} END)))[0])[0])[0]""")
+                s -> CASE {told} END)))[0])[0])[0]"""
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -110,29 +119,123 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def links(lines: DataFrame, k: int = 2, shortest: int = 30) -> DataFrame:
-    """Pairs of different lines at most ``k`` edits apart: left and right (h, g, first), distance; each pair once.
+def crowded_keys(long: DataFrame, k: int, least: int) -> DataFrame:
+    """Keys that many lines share, found in a part of the lines that their hash draws.
+
+    Which keys these are decides how pairs are counted, never which pairs. One in SHARE lines is looked at, so the table
+    is small against the lines.
+    """
+    part = long.filter(F.pmod("h", F.lit(SHARE)) == 0)
+    keys = part.select(F.explode(F.concat(index_keys(k), probe_keys(k, least))).alias("key"))
+    return stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SEEN).select(F.col("key").alias("crowd")), "edit-crowds")
+
+
+def meetings(long: DataFrame, crowds: DataFrame, k: int, least: int) -> DataFrame:
+    """What the keys bring together, written down: a and b (hashes of lines), each pair once, and members of crowds.
+
+    A line with a crowded key does not meet the other lines of that key here but one mark of it, so it comes out alone:
+    as a with the key in ``crowd`` if it is indexed under it, as b if it probes it.
+    """
+    def side(keys: Column, name: str, role: int, key: str) -> DataFrame:
+        rows = long.select(
+            F.explode(keys).alias("own"), F.col("h").alias(name), F.col("size").alias(f"size_{name}"), F.col("counts").alias(f"counts_{name}")
+        ).join(small_side(crowds), F.col("own") == F.col("crowd"), "left")
+        dealt = F.when(F.col("crowd").isNull(), F.col("own")).otherwise(F.xxhash64("own", F.lit(role)))
+        found = rows.select(dealt.alias(key), name, f"size_{name}", f"counts_{name}", F.col("crowd").alias(f"crowd_{name}"))
+        # The marks that the other side's members meet.
+        marks = crowds.select(F.xxhash64("crowd", F.lit(1 - role)).alias(key))
+        return found.unionByName(marks, allowMissingColumns=True)
+
+    left, right = side(index_keys(k), "a", 0, "key"), side(probe_keys(k, least), "b", 1, "probe")
+    met = F.expr(
+        f"key = probe AND (a IS NULL OR b IS NULL OR (crowd_a IS NULL AND crowd_b IS NULL AND {counts_apart('counts_a', 'counts_b')} <= {2 * k} "
+        f"AND {ahead('size_a', 'a', 'size_b', 'b')}))"
+    )
+    return stored(left.join(right, met).select("a", "b", F.coalesce("crowd_a", "crowd_b").alias("crowd")).distinct(), "edit-meetings")
+
+
+def neighbours(lines: DataFrame, k: int = 2, shortest: int = 30) -> DataFrame:
+    """h, g, n_links, other (the least first place) of each line with different lines at most ``k`` edits away.
 
     Lines under ``shortest`` characters (at least k + 1) have no links. ``lines`` is the table of ``distinct_lines``,
-    written down. Before texts are fetched, pairs are thinned without loss by their letter counts: an edit changes the
-    sum of their differences by at most two.
+    written down. Pairs that meet under a key of few lines are listed, each once; under keys that many lines share they
+    are counted in blocks, so that no row is made for each pair. Both thin pairs without loss by their letter counts: an
+    edit changes the sum of their differences by at most two.
     """
-    long = lines.filter(F.col("size") >= max(shortest, k + 1))
-    left = long.select(F.explode(index_keys(k)).alias("key"), F.col("h").alias("a"), F.col("size").alias("size_a"), F.col("counts").alias("counts_a"))
-    right = long.select(
-        F.explode(probe_keys(k, max(shortest, k + 1))).alias("key"), F.col("h").alias("b"), F.col("size").alias("size_b"), F.col("counts").alias("counts_b")
+    least = max(shortest, k + 1)
+    long = lines.filter(F.col("size") >= least)
+    crowds = crowded_keys(long, k, least)
+    met = meetings(long, crowds, k, least)
+    members = _members(lines, met)
+    return (
+        _told(listed_links(lines, met.filter("crowd IS NULL").select("a", "b"), members, k)).unionByName(block_links(members, k))
+        .groupBy("h", "g").agg(F.sum("n_links").alias("n_links"), F.min("other").alias("other"))
     )
-    near = counts_apart("counts_a", "counts_b") <= 2 * k
-    ahead = (F.col("size_b") > F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("b") > F.col("a")))
-    pairs = stored(left.join(right, (left["key"] == right["key"]) & near & ahead).select("a", "b").distinct(), "edit-pairs")
+
+
+def _told(pairs: DataFrame) -> DataFrame:
+    both = pairs.select(F.col("left").alias("me"), F.col("right.first").alias("other")).unionByName(
+        pairs.select(F.col("right").alias("me"), F.col("left.first").alias("other"))
+    )
+    return both.groupBy(F.col("me.h").alias("h"), F.col("me.g").alias("g")).agg(F.count(F.lit(1)).alias("n_links"), F.min("other").alias("other"))
+
+
+def listed_links(lines: DataFrame, pairs: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Pairs of different lines at most ``k`` edits apart: left and right (h, g, first), distance; each pair once.
+
+    Leaves out pairs that share a crowded key, which are counted in blocks.
+    """
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "edit-ends")
-    texts = stored(lines.join(small_side(ends), "h", "left_semi").select("h", "g", "first", "line"), "edit-texts")
-    side = lambda name, line: texts.select(F.col("h").alias(name), F.struct("h", "g", "first").alias(f"{name}_of"), F.col("line").alias(line))
-    return (
-        pairs.join(side("a", "x_line"), "a").join(side("b", "y_line"), "b")
-        .select(F.col("a_of").alias("left"), F.col("b_of").alias("right"), distance_within("x_line", "y_line", k).alias("distance"))
-        .filter(F.col("distance").isNotNull())
+    texts = lines.join(small_side(ends), "h", "left_semi").select("h", "g", "first", "line")
+    texts = stored(texts.join(small_side(members.select("h", "g", "indexed", "probed")), ["h", "g"], "left"), "edit-texts")
+    named = lambda name, line, keys: texts.select(
+        F.col("h").alias(name), F.struct("h", "g", "first").alias(f"{name}_of"), F.col("line").alias(line), F.col(keys).alias(f"{name}_crowds")
     )
+    found = pairs.join(named("a", "x_line", "indexed"), "a").join(named("b", "y_line", "probed"), "b")
+    return found.filter(~F.coalesce(F.arrays_overlap("a_crowds", "b_crowds"), F.lit(False))).select(
+        F.col("a_of").alias("left"), F.col("b_of").alias("right"), F.expr(distance_within("x_line", "y_line", k)).alias("distance")
+    ).filter(F.col("distance").isNotNull())
+
+
+def _members(lines: DataFrame, met: DataFrame) -> DataFrame:
+    """The lines that have a crowded key, with those keys: indexed, probed."""
+    keys = met.filter("crowd IS NOT NULL").groupBy(F.coalesce("a", "b").alias("h")).agg(
+        F.sort_array(F.collect_set(F.when(F.col("a").isNotNull(), F.col("crowd")))).alias("indexed"),
+        F.sort_array(F.collect_set(F.when(F.col("b").isNotNull(), F.col("crowd")))).alias("probed"),
+    )
+    named = lines.join(small_side(stored(keys, "edit-crowd-keys")), "h")
+    return stored(named.select("h", "g", "first", "line", "size", "counts", "indexed", "probed"), "edit-members")
+
+
+def block_links(members: DataFrame, k: int) -> DataFrame:
+    """h, g, n_links, other for pairs under crowded keys, counted in blocks of BLOCK by BLOCK lines.
+
+    A key's lines are dealt into blocks by their hash; each block of indexed lines meets each block of probing ones in one
+    row, which gives one number a line. A pair counts under the least of the crowded keys it shares.
+    """
+    told = "h, g, first, line, size, counts, indexed, probed"
+
+    def dealt(keys: str, name: str) -> DataFrame:
+        rows = members.select(F.explode(keys).alias("key"), F.struct(*told.split(", ")).alias("m"))
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        block = F.expr(f"pmod(xxhash64(m.h, m.g), ceil(n / {float(BLOCK)}))")
+        return rows.join(small_side(stored(sizes, "edit-sizes")), "key").groupBy("key", block.alias(f"block_{name}")).agg(F.collect_list("m").alias(name))
+
+    met = stored(dealt("indexed", "xs"), "edit-blocks").join(
+        stored(dealt("probed", "ys").withColumnRenamed("key", "probe"), "edit-blocks"), F.col("key") == F.col("probe")
+    )
+    near = (
+        f"{ahead('p.size', 'p.h', 'q.size', 'q.h')} AND {counts_apart('p.counts', 'q.counts')} <= {2 * k} "
+        f"AND array_intersect(p.indexed, q.probed)[0] = key AND {distance_within('p.line', 'q.line', k)} IS NOT NULL"
+    )
+    # One matrix of near pairs a row; both sides read it.
+    counted = f"""transform(array(transform(xs, p -> transform(ys, q -> coalesce({near}, false)))), m -> concat(
+        transform(xs, (p, i) -> struct(p.h AS h, p.g AS g, size(filter(m[i], v -> v)) AS n,
+            array_min(transform(filter(ys, (q, j) -> m[i][j]), q -> q.first)) AS other)),
+        transform(ys, (q, j) -> struct(q.h AS h, q.g AS g, size(filter(m, row -> row[j])) AS n,
+            array_min(transform(filter(xs, (p, i) -> m[i][j]), p -> p.first)) AS other))))[0]"""
+    found = met.select(F.explode(F.filter(F.expr(counted), lambda r: r["n"] > 0)).alias("r")).select("r.*")
+    return found.groupBy("h", "g").agg(F.sum("n").alias("n_links"), F.min("other").alias("other"))
 
 
 def classes(docs: DataFrame, k: int = 2, shortest: int = 30) -> DataFrame:
@@ -141,13 +244,7 @@ def classes(docs: DataFrame, k: int = 2, shortest: int = 30) -> DataFrame:
     The keeper is the earliest of the line's own occurrences and the first occurrences of the lines it is linked to.
     """
     lines = stored(distinct_lines(docs), "edit-lines")
-    met = stored(links(lines, k, shortest), "edit-links")
-    both = met.select(F.col("left").alias("me"), F.col("right.first").alias("other")).unionByName(
-        met.select(F.col("right").alias("me"), F.col("left.first").alias("other"))
-    )
-    linked = both.groupBy(F.col("me.h").alias("h"), F.col("me.g").alias("g")).agg(
-        F.min("other").alias("other"), F.count(F.lit(1)).alias("n_links")
-    )
+    linked = stored(neighbours(lines, k, shortest), "edit-links")
     return (
         lines.select("h", "g", "first", "copies").join(linked, ["h", "g"], "left")
         .filter((F.col("copies") > 1) | F.col("n_links").isNotNull())

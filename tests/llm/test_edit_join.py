@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 from anchorline.llm import edit_join, queries
 
 
@@ -59,6 +60,22 @@ def test_dedup_lines_equals_brute_force(docs):
             assert got[d]["text"] == (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in drop))
 
 
+@pytest.mark.parametrize("block", [3, 256])
+def test_crowded_keys_are_counted_in_blocks(docs, monkeypatch, block):
+    for name, value in (("SHARE", 2), ("SEEN", 3), ("BLOCK", block)):
+        monkeypatch.setattr(edit_join, name, value)
+    draw = random.Random(block)
+    line = "the quick brown fox jumps over the lazy dog and runs"
+    hot = [edited(line, draw.randrange(1, 4), draw) for _ in range(90)]
+    rows = [(d, "\n".join([hot[d], draw.choice(hot)])) for d in range(90)] + [(1000 + d, t) for d, t in corpus(draw, 20)]
+    got = {r["doc_id"]: r for r in edit_join.dedup_lines(docs(rows), 2).collect()}
+    want = brute(rows, 2, 30)
+    assert sum(w[1] for w in want.values()) > 500
+    for d, _ in rows:
+        removed = [(r["line_no"], r["doc_id"], r["kept_line"]) for r in got[d]["__removed"]]
+        assert (removed, got[d]["__n_links"]) == want[d], d
+
+
 def test_repeated_rows_extra_columns_and_empty_table(spark, docs):
     line = "a line that is long enough to be looked at closely"
     rows = spark.createDataFrame([(1, line, 7, "x"), (1, line, 8, "y"), (None, line + "s", 9, "z")], "doc_id BIGINT, text STRING, line INT, h STRING")
