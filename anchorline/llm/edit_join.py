@@ -131,27 +131,26 @@ def crowded_keys(long: DataFrame, k: int, least: int) -> DataFrame:
 
 
 def meetings(long: DataFrame, crowds: DataFrame, k: int, least: int) -> DataFrame:
-    """What the keys bring together, written down: a and b (hashes of lines), each pair once, and members of crowds.
+    """What the keys bring together, written down: a and b (hashes of two lines, a < b), each pair once, and members of crowds.
 
     A line with a crowded key does not meet the other lines of that key here but one mark of it, so it comes out alone:
-    as a with the key in ``crowd`` if it is indexed under it, as b if it probes it.
+    as a with the key in ``crowd`` if it is indexed under it, as b if it probes it. Rows that cross the exchange hold
+    a key and a hash and nothing else.
     """
     def side(keys: Column, name: str, role: int, key: str) -> DataFrame:
-        rows = long.select(
-            F.explode(keys).alias("own"), F.col("h").alias(name), F.col("size").alias(f"size_{name}"), F.col("counts").alias(f"counts_{name}")
-        ).join(small_side(crowds), F.col("own") == F.col("crowd"), "left")
-        dealt = F.when(F.col("crowd").isNull(), F.col("own")).otherwise(F.xxhash64("own", F.lit(role)))
-        found = rows.select(dealt.alias(key), name, f"size_{name}", f"counts_{name}", F.col("crowd").alias(f"crowd_{name}"))
+        rows = long.select(F.explode(keys).alias("own"), F.col("h").alias(name)).join(small_side(crowds), F.col("own") == F.col("crowd"), "left")
+        found = rows.select(F.when(F.col("crowd").isNull(), F.col("own")).otherwise(F.xxhash64("own", F.lit(role))).alias(key), name)
         # The marks that the other side's members meet.
-        marks = crowds.select(F.xxhash64("crowd", F.lit(1 - role)).alias(key))
-        return found.unionByName(marks, allowMissingColumns=True)
+        return found.unionByName(crowds.select(F.xxhash64("crowd", F.lit(1 - role)).alias(key)), allowMissingColumns=True)
 
     left, right = side(index_keys(k), "a", 0, "key"), side(probe_keys(k, least), "b", 1, "probe")
-    met = F.expr(
-        f"key = probe AND (a IS NULL OR b IS NULL OR (crowd_a IS NULL AND crowd_b IS NULL AND {counts_apart('counts_a', 'counts_b')} <= {2 * k} "
-        f"AND {ahead('size_a', 'a', 'size_b', 'b')}))"
-    )
-    return stored(left.join(right, met).select("a", "b", F.coalesce("crowd_a", "crowd_b").alias("crowd")).distinct(), "edit-meetings")
+    alone = F.col("a").isNull() | F.col("b").isNull()
+    met = left.join(right, F.expr("key = probe AND (a IS NULL OR b IS NULL OR a <> b)")).select(
+        F.when(alone, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(alone, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"),
+        F.when(alone, F.col("key")).alias("mark"),
+    ).distinct()
+    marks = crowds.select("crowd", F.explode(F.array(F.xxhash64("crowd", F.lit(0)), F.xxhash64("crowd", F.lit(1)))).alias("mark"))
+    return stored(stored(met, "edit-met").join(small_side(stored(marks, "edit-marks")), "mark", "left").drop("mark"), "edit-meetings")
 
 
 def neighbours(lines: DataFrame, k: int = 2, shortest: int = 30) -> DataFrame:
@@ -186,14 +185,18 @@ def listed_links(lines: DataFrame, pairs: DataFrame, members: DataFrame, k: int)
     Leaves out pairs that share a crowded key, which are counted in blocks.
     """
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "edit-ends")
-    texts = lines.join(small_side(ends), "h", "left_semi").select("h", "g", "first", "line")
+    texts = lines.join(small_side(ends), "h", "left_semi").select("h", "g", "first", "line", "size", "counts")
     texts = stored(texts.join(small_side(members.select("h", "g", "indexed", "probed")), ["h", "g"], "left"), "edit-texts")
-    named = lambda name, line, keys: texts.select(
-        F.col("h").alias(name), F.struct("h", "g", "first").alias(f"{name}_of"), F.col("line").alias(line), F.col(keys).alias(f"{name}_crowds")
+    named = lambda name: texts.select(F.col("h").alias(name), F.struct(*texts.columns).alias(f"{name}_of"))
+    # The shorter of two lines is the indexed one; of one length, that of the smaller hash.
+    turned = F.col("a_of.size") > F.col("b_of.size")
+    both = pairs.join(named("a"), "a").join(named("b"), "b").select(
+        F.when(turned, F.col("b_of")).otherwise(F.col("a_of")).alias("p"), F.when(turned, F.col("a_of")).otherwise(F.col("b_of")).alias("q")
     )
-    found = pairs.join(named("a", "x_line", "indexed"), "a").join(named("b", "y_line", "probed"), "b")
-    return found.filter(~F.coalesce(F.arrays_overlap("a_crowds", "b_crowds"), F.lit(False))).select(
-        F.col("a_of").alias("left"), F.col("b_of").alias("right"), F.expr(distance_within("x_line", "y_line", k)).alias("distance")
+    near = both.filter(F.expr(f"{counts_apart('p.counts', 'q.counts')} <= {2 * k} AND NOT coalesce(arrays_overlap(p.indexed, q.probed), false)"))
+    place = lambda c: F.struct(f"{c}.h", f"{c}.g", f"{c}.first")
+    return near.select(
+        place("p").alias("left"), place("q").alias("right"), F.expr(distance_within("p.line", "q.line", k)).alias("distance")
     ).filter(F.col("distance").isNotNull())
 
 
