@@ -21,8 +21,8 @@ HEADLINE = (
     "auroc", "calibration", "subgroup_metrics", "bootstrap_intervals", "reconcile_log", "realized_performance",
     "window_counts", "ks_test", "stability_index",
 )
-# Whole workloads, run once: reading CSV exports, loading a store, training, streaming with a skew check.
-WORKLOADS = ("raw_text_scan", "preload_history", "trained_model_scores", "stream_features")
+# Whole workloads, run once: reading CSV exports, loading a store, training, the gate, streaming with a skew check.
+WORKLOADS = ("raw_text_scan", "preload_history", "trained_model_scores", "gate_report", "stream_features")
 
 
 def main() -> None:
