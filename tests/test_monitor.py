@@ -174,7 +174,7 @@ def test_panes_give_the_windows_and_touched_ones_alone_change(spark):
     want = {(r["boundary"], r["score"]): r["n"] for r in monitor.in_windows(df, "event_time", start, end).filter(
         "released_at <= boundary").groupBy("boundary", "score").agg(F.count("*").alias("n")).collect()}
     assert got == want and got
-    run = lambda labels, **more: {r["boundary"]: tuple(r) for r in monitor.realized_by_boundary(df, labels, start, end, **more).collect()}
+    run = lambda labels, **more: {r["boundary"]: tuple(r) for r in monitor.realized_by_boundary(df.select("prediction_id", "score", "event_time"), labels, start, end, **more).collect()}
     new = df.filter("prediction_id % 29 = 3")
     before, after = run(df.filter("prediction_id % 29 <> 3")), run(df)
     ks = monitor.touched(new, start, end)
