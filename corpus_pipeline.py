@@ -46,7 +46,7 @@ STAGES = [
     ("bpe", to_tokens),
 ]
 
-# Training, edit distance, similarity joins and BPE are beyond SQL; tests compare each stage with a brute-force version.
+# Training, edit distance, similarity joins and BPE are beyond SQL; tests compare the last four stages with brute force.
 ORACLE_SQL = None
 
 
