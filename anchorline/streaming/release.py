@@ -1,27 +1,27 @@
-"""Labels released when they are due: one event-time timer for each due instant of a patient, no schedule read again."""
+"""Labels released when they are due: an event-time timer at a patient's next due instant, no schedule read again."""
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # The processor travels inside the query, so workers need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = "encounter_id STRING, label INT, due_us BIGINT, released_us BIGINT"
-COLUMNS = [part.split()[0] for part in OUTPUT.split(", ")]
+Released = Row(*[part.split()[0] for part in OUTPUT.split(", ")])
 
 
 class PendingLabels(StatefulProcessor):
     """One patient's labels that wait for their due instant, and the encounters already released.
 
-    A row schedules a label; the timer at its due instant releases it. Labels that are due when they arrive are released
-    at once. An encounter is released once, whatever is scheduled again.
+    A row schedules a label; a timer releases it when it is due. A patient has one timer, at the earliest due instant of
+    what waits. Labels that are due when they arrive are released at once. An encounter is released once, whatever is
+    scheduled again.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -32,44 +32,50 @@ class PendingLabels(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """The encounters of the release log: encounter_id."""
-        ids = initialState["encounter_id"].drop_duplicates()
-        if len(ids):
-            self.released.appendList([(str(i),) for i in ids])
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        """An encounter of the release log: encounter_id."""
+        self.released.appendValue((initialState.encounter_id,))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        taken = {i for i, _, _ in self.pending.get()} | {i for i, in self.released.get()}
+        pending = list(self.pending.get())
+        taken = {i for i, _, _ in pending} | {i for i, in self.released.get()}
         waiting, out = [], []
-        for chunk in rows:
-            for row in chunk.sort_values(["due_us", "encounter_id", "label"]).itertuples(index=False):
-                if row.encounter_id is None or row.encounter_id in taken:
-                    continue
-                taken.add(row.encounter_id)
-                cell = (row.encounter_id, int(row.label), int(row.due_us))
-                (out if cell[2] <= mark else waiting).append(cell)
+        for row in sorted(rows, key=lambda r: (r.due_us, r.encounter_id, r.label)):
+            if row.encounter_id in taken:
+                continue
+            taken.add(row.encounter_id)
+            (out if row.due_us <= mark else waiting).append((row.encounter_id, row.label, row.due_us))
         if waiting:
             self.pending.appendList(waiting)
-            for due in {c[2] for c in waiting}:
-                self.handle.registerTimer(-(-due // 1000))
-        if out:
-            self.released.appendList([(i,) for i, _, _ in out])
-            yield pd.DataFrame([(*c, mark) for c in out], columns=COLUMNS)
-        else:
-            yield pd.DataFrame([], columns=COLUMNS, dtype=object)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            first, standing = self._first(waiting), self._first(pending)
+            if standing is None or first < standing:
+                if standing is not None:
+                    self.handle.deleteTimer(standing)
+                self.handle.registerTimer(first)
+        yield from self._release(out, mark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [tuple(r) for r in self.pending.get()]
+        rows = list(self.pending.get())
         due, rest = [r for r in rows if r[2] <= mark], [r for r in rows if r[2] > mark]
         if due:
             if rest:
                 self.pending.put(rest)
+                self.handle.registerTimer(self._first(rest))
             else:
                 self.pending.clear()
+        yield from self._release(due, mark)
+
+    @staticmethod
+    def _first(cells: list[tuple]) -> int | None:
+        return min((-(-due // 1000) for _, _, due in cells), default=None)
+
+    def _release(self, due: list[tuple], mark: int) -> Iterator[Row]:
+        if due:
             self.released.appendList([(i,) for i, _, _ in due])
-        yield pd.DataFrame([(*r, mark) for r in due], columns=COLUMNS)
+        for cell in due:
+            yield Released(*cell, mark)
 
 
 def released_labels(schedule: DataFrame, arrivals: DataFrame, at: str, released: DataFrame | None = None) -> DataFrame:
@@ -96,7 +102,7 @@ def released_labels(schedule: DataFrame, arrivals: DataFrame, at: str, released:
     ).drop("_clock")
     initial = None if released is None else released.select(
         F.col("entity").cast("string").alias("entity"), F.col("encounter_id").cast("string").alias("encounter_id")
-    ).groupBy("entity")
-    return waiting.groupBy("entity").transformWithStateInPandas(
+    ).dropDuplicates().groupBy("entity")
+    return waiting.groupBy("entity").transformWithState(
         statefulProcessor=PendingLabels(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime", initialState=initial,
     ).select("encounter_id", "label", F.timestamp_micros("due_us").alias("due_at"), F.timestamp_micros("released_us").alias("released_at"))

@@ -1,6 +1,6 @@
 import pytest
 from tables import by_id
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 from test_features import random_population
 
 from anchorline.contracts import FEATURE_COLUMNS, MODEL_INPUTS
@@ -312,3 +312,69 @@ def test_discharges_behind_dropped_history_are_told_apart(spark, population, run
     run(first, slack_days=365)
     outcomes = run(second, slack_days=365)
     assert [(r["encounter_id"], r["body"] is None) for r in outcomes.filter("outcome = 'late'").collect()] == [("b", False)]
+
+
+class Recorded:
+    """State of one patient in memory that counts the calls a processor makes."""
+
+    def __init__(self):
+        self.calls, self.timers = [], set()
+
+    def variable(self, name):
+        held = []
+
+        class Variable:
+            def get(_):
+                self.calls.append(f"{name}.get")
+                return iter(held) if name not in ("person",) else (held[0] if held else None)
+
+            def exists(_):
+                self.calls.append(f"{name}.exists")
+                return bool(held)
+
+            def appendList(_, rows):
+                self.calls.append(f"{name}.appendList")
+                held.extend(rows)
+
+            def put(_, rows):
+                self.calls.append(f"{name}.put")
+                held[:] = rows
+
+            def update(_, row):
+                self.calls.append(f"{name}.update")
+                held[:] = [row]
+
+            def clear(_):
+                held.clear()
+
+        return Variable()
+
+    def getListState(self, name, _schema):
+        return self.variable(name)
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.calls.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_patient_has_one_timer_however_many_labels_wait():
+    state, row = Recorded(), Row("encounter_id", "label", "due_us")
+    patient = release.PendingLabels()
+    patient.init(state)
+    state.now = 0
+    assert list(patient.handleInputRows(("p",), iter([row(f"e{n}", n % 2, 5_000 * n) for n in range(9, 0, -1)]), state)) == []
+    assert state.timers == {5} and state.calls.count("timer") == 1
+    # An earlier label takes the timer over; what fires asks for the next instant only.
+    assert list(patient.handleInputRows(("p",), iter([row("first", 1, 2_500)]), state)) == [] and state.timers == {3}
+    state.now = 11
+    state.timers.clear()
+    assert [r.encounter_id for r in patient.handleExpiredTimer(("p",), state, None)] == ["e1", "e2", "first"]
+    assert state.timers == {15}
