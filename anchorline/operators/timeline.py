@@ -5,8 +5,8 @@ instant? A trailing range count is the difference of two such totals, an interva
 count is starts minus stops, "last before" is a running maximum, a forward existence test is
 the difference of two totals ahead of the anchor.
 
-The totals are prefix sums in two or more levels: events are first reduced to one row per
-(entity, instant), then summed inside a calendar slice, then across slices. A window group is
+The totals are prefix sums in two or more levels: events are dealt by entity and calendar slice,
+reduced to one row per instant, summed inside the slice, then across slices. A window group is
 never larger than the instants in one slice or the slices in one entity's history, so an entity
 that holds a large share of all rows spreads over as many tasks as it has slices, and no row is
 paired with another. Probed instants and slice totals are kept in a checkpoint between the levels,
@@ -59,8 +59,9 @@ class Lookup:
         return f"{self.measure}__{'upto' if self.inclusive else 'before'}"
 
 
-# Whole-second clocks: at most 2,592,000 instants in a slice, about 1,200 slices in a century.
-MONTHLY = (30 * DAY,)
+# Whole-second clocks: at most 10,368,000 instants in a slice, about 300 slices in a century. A shorter slice leaves most
+# events as the last of theirs, and the slices' totals are then as many as the events.
+SEASONS = (120 * DAY,)
 # Finer clocks: slices of a day, then of a minute.
 FINE = (DAY, MINUTE)
 
@@ -90,13 +91,15 @@ def totals_at(
     )
     # Stated here, the joins below infer nothing new, and their sides share one exchange.
     both = both.filter(" AND ".join(f"{name} IS NOT NULL" for name in (ENTITY, *levels)))
+    inner = [ENTITY, *levels]
+    # Dealt by slice once: the sums by instant and the windows inside a slice both take the rows where they are.
+    both = both.repartition(*inner)
     summed = [F.expr(f"{m.aggregate} AS {m.name}") for m in measures]
     probed = F.expr(f"bit_or({PROBE}) AS {PROBE}")
     instants = both.groupBy(ENTITY, *levels, AT).agg(*summed, probed)
 
     # One pass over the slices leaves the probed instants with what their slice holds so far, and each slice's last
-    # instant with all of it. The rest is done with here, so events are read, combined and sorted once.
-    inner = [ENTITY, *levels]
+    # instant with all of it. The rest is done with here, so events are read, exchanged and sorted once.
     by_name = {m.name: m for m in measures}
     inside = {f"{m.name}__upto": running(m.aggregate, inner, AT, "upto") for m in measures}
     for total in sorted(totals - set(inside)):
@@ -134,7 +137,7 @@ def as_of(
     at: str,
     measures: list[Measure],
     lookups: list[Lookup],
-    slices: tuple[int, ...] = MONTHLY,
+    slices: tuple[int, ...] = SEASONS,
 ) -> DataFrame:
     """Add one column per lookup to every anchor; anchors keep their rows and columns.
 
@@ -194,7 +197,7 @@ def interval_edges(intervals: DataFrame, entity: str, start: str, stop: str, at:
     )
 
 
-def trailing_count(anchors, events, *, entity, at, span, counts, slices=MONTHLY):
+def trailing_count(anchors, events, *, entity, at, span, counts, slices=SEASONS):
     """Events of the entity with ``anchor - span <= at < anchor``; far edge in, near edge out.
 
     ``counts`` maps an output column to a predicate over the events.
@@ -208,7 +211,7 @@ def trailing_count(anchors, events, *, entity, at, span, counts, slices=MONTHLY)
     )
 
 
-def last_before(anchors, events, *, entity, at, name, slices=MONTHLY):
+def last_before(anchors, events, *, entity, at, name, slices=SEASONS):
     """The latest event instant strictly before the anchor, NULL without one."""
     return as_of(
         anchors, events.select(entity, at, F.col(at).alias(name)), entity=entity, at=at,
@@ -216,7 +219,7 @@ def last_before(anchors, events, *, entity, at, name, slices=MONTHLY):
     ).withColumnRenamed(f"{name}__v", name)
 
 
-def active_count(anchors, intervals, *, entity, at, start, stop, name, slices=MONTHLY):
+def active_count(anchors, intervals, *, entity, at, start, stop, name, slices=SEASONS):
     """Intervals of the entity with ``start <= anchor`` and no stop or ``stop > anchor``."""
     return as_of(
         anchors, interval_edges(intervals, entity, start, stop, at, name), entity=entity, at=at,
@@ -224,7 +227,7 @@ def active_count(anchors, intervals, *, entity, at, start, stop, name, slices=MO
     ).withColumnRenamed(f"{name}__v", name)
 
 
-def forward_count(anchors, events, *, entity, at, span, name, slices=MONTHLY):
+def forward_count(anchors, events, *, entity, at, span, name, slices=SEASONS):
     """Events of the entity with ``anchor < at <= anchor + span``."""
     out = as_of(
         anchors, events.select(entity, at, F.lit(1).alias(name)), entity=entity, at=at,
@@ -235,7 +238,7 @@ def forward_count(anchors, events, *, entity, at, span, name, slices=MONTHLY):
     return out.withColumn(name, F.col("_ahead") - F.col("_now")).drop("_now", "_ahead")
 
 
-def next_at_or_after(anchors, events, *, entity, at, name, slices=MONTHLY):
+def next_at_or_after(anchors, events, *, entity, at, name, slices=SEASONS):
     """The earliest event instant at or after the anchor: "last before" on a mirrored axis."""
     mirrored = events.select(entity, (-F.col(at)).alias(at), (-F.col(at)).alias(name))
     out = as_of(

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import random
 from datetime import datetime, timedelta
 
@@ -5,6 +6,7 @@ import pytest
 from tables import by_id
 
 import brute
+from anchorline.operators import timeline
 from anchorline.contracts import FEATURE_COLUMNS, FLAG_CODES
 from anchorline.plans.cohort import build_cohort
 from anchorline.plans.features import build_features
@@ -150,3 +152,17 @@ def test_column_contract(spark, population):
     f = population.typed(spark)
     df = build_features(build_cohort(f["encounters"], f["patients"]), f["encounters"], f["medications"], f["conditions"])
     assert tuple(df.columns) == FEATURE_COLUMNS
+
+
+def test_events_cross_one_exchange(spark, monkeypatch):
+    """Summing by instant and the windows inside a slice read the same partitions."""
+    seen = []
+    whole = timeline.materialize
+    monkeypatch.setattr(timeline, "materialize", lambda df: seen.append(df) or whole(df))
+    events = spark.range(0, 400).selectExpr("id % 3 AS e", "id * 86400000000L * 9 AS at", "1 AS n")
+    anchors = events.filter("n = 1").selectExpr("e", "at")
+    got = timeline.trailing_count(anchors, events, entity="e", at="at", span=60 * timeline.DAY, counts={"k": F.lit(True)})
+    want = anchors.alias("a").join(events.alias("b"), F.expr("a.e = b.e AND b.at >= a.at - 5184000000000L AND b.at < a.at"), "left").groupBy("a.e", "a.at").agg(F.count("b.n").alias("k"))
+    assert sorted(map(tuple, got.select("e", "at", "k").collect())) == sorted(map(tuple, want.collect()))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
