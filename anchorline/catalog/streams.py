@@ -34,26 +34,30 @@ def one_partition_per_core(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def _ingested(spark, lines, name, **options):
-    """Outcomes of a set of event lines, run through the stateful stream."""
+def _ingested(spark, lines, name, keep=lambda outcomes: outcomes, **options):
+    """What is kept of the outcomes of a set of event lines, run through the stateful stream."""
     arrival.use_state_store(spark)
     source, out = scratch_path(spark, f"{name}-lines"), scratch_path(spark, f"{name}-out")
-    lines.write.text(source)
+    lines.write.option("compression", "gzip").text(source)
     with one_partition_per_core(spark):
         monitoring.run_available(
-            arrival.ingest(stream_lines(spark, source), **options), scratch_path(spark, f"{name}-checkpoint"), path=out
+            keep(arrival.ingest(stream_lines(spark, source), **options)), scratch_path(spark, f"{name}-checkpoint"), path=out
         )
     return spark.read.parquet(out)
 
 
-@query("stream_features", FEATURES_SQL)
-def stream_features(spark, d):
-    outcomes = _ingested(spark, write_envelopes(testdata.raw_population(spark, d)), "features")
+def _served(outcomes):
+    """The features of the admitted discharges: what a scorer reads of the stream, written in place of every outcome."""
     return arrival.admitted_features(outcomes).selectExpr(
         "bigint(encounter_id) AS encounter_id", "bigint(patient_id) AS patient_id", *FEATURE_COLUMNS[2:]
     )
 
 
+@query("stream_features", FEATURES_SQL)
+def stream_features(spark, d):
+    return _ingested(spark, write_envelopes(testdata.raw_population(spark, d)), "features", keep=_served)
+
+
 # Some patients stay unknown; some stays are posted twice, some again with another class.
 @query("stream_outcomes", """
 , copies AS (SELECT id, patient, encounter_class, stop, 0 AS c FROM encounters
@@ -144,10 +148,7 @@ def stream_window_counts(spark, d):
 @query("stream_rescore", LOGS + FEATURES_SQL + " ANTI JOIN predictions USING (encounter_id)")
 def stream_rescore(spark, d):
     lines = write_envelopes(testdata.raw_population(spark, d))
-    outcomes = _ingested(spark, lines, "rescore", log=arrival.scored_encounters(predictions(spark, d)))
-    return arrival.admitted_features(outcomes).selectExpr(
-        "bigint(encounter_id) AS encounter_id", "bigint(patient_id) AS patient_id", *FEATURE_COLUMNS[2:]
-    )
+    return _ingested(spark, lines, "rescore", keep=_served, log=arrival.scored_encounters(predictions(spark, d)))
 
 
 # Every thirteenth stay from before the cut is held back and posted behind it. Those within thirty days of the newest
@@ -183,7 +184,7 @@ def stream_late_rows(spark, d):
     )
     with one_partition_per_core(spark):
         for part in parts:
-            write_envelopes(part).write.mode("append").text(source)
+            write_envelopes(part).write.mode("append").option("compression", "gzip").text(source)
             monitoring.run_available(arrival.ingest(stream_lines(spark, source), slack_days=SLACK), check, path=out)
     return spark.read.parquet(out).filter("kind = 'encounter'").select(
         F.expr("bigint(split(event_key, '[|]')[1])").alias("encounter_id"), "outcome",

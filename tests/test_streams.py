@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -11,7 +12,7 @@ from anchorline.plans import audit
 from anchorline.plans.cohort import build_cohort
 from anchorline.plans.features import build_features
 from anchorline.plans.labels import label_schedule
-from anchorline.sources.envelopes import stream_lines, write_envelopes
+from anchorline.sources.envelopes import parse_envelopes, stream_lines, write_envelopes
 from anchorline.sources.logs import (
     EventStore, LabelLog, PredictionLog, ReferenceExists, ReferenceStore, UnscoredDischarge, logged_features, preload,
 )
@@ -399,3 +400,11 @@ def test_a_refused_row_carries_its_payload(spark, population, run):
     body = run(write_envelopes({"encounters": population.raw(spark)["encounters"]})).first()["body"]
     assert json.loads(body) == {"Id": "e=1", "PATIENT": "p", "START": "2024-01-01T00:00:00Z", "STOP": "2024-01-02T00:00:00Z",
                                 "ENCOUNTERCLASS": "say \"a=b\""}
+
+
+def test_an_outcome_carries_the_hash_of_its_line(spark, population, run):
+    population.patient("p").stay("e", "p", "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z")
+    lines = write_envelopes(population.raw(spark))
+    want = {hashlib.sha256(r["value"].encode()).hexdigest() for r in lines.collect()}
+    assert {r["input_hash"] for r in run(lines).collect()} == want
+    assert dict(arrival.handler_rows(parse_envelopes(lines)).dtypes)["input_hash"] == "binary"
