@@ -1,7 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from anchorline.llm import pairwise_quality, toxicity
-from anchorline.llm.labelled import training_sample
+from anchorline.llm.labelled import held_out, training_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,3 +57,18 @@ def test_missing_labels_nulls_and_empty_tables(spark, docs):
     assert toxicity.verdicts(docs([]), none).count() == 0 == pairwise_quality.score(docs([]), none).count()
     labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (2, None)], "doc_id BIGINT, toxic INT")
     assert {(r["doc_id"], r["label"]) for r in training_sample(rows, labels, "toxic", 10, 100).collect()} == {(3, 1)}
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    docs, labels = tables(spark)
+    seen = pairwise_quality.measured(docs)
+    base = pairwise_quality.fit(seen, labels)
+    known = labels.filter("quality IS NOT NULL").join(docs, "doc_id").filter(~held_out()).count()
+    assert 0 < base.quantile < 1 and abs(base.quantile * known - round(base.quantile * known)) < 1e-6
+    # Neither a row limit nor a length limit: a text of any length moves the model, and partitions do not.
+    long = docs.limit(1).select(F.lit(1000000000002).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), F.repeat(F.lit("| "), 150_000).alias("text"))
+    told = labels.select("doc_id", "quality", "toxic").unionByName(long.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")))
+    more = pairwise_quality.fit(pairwise_quality.measured(docs.select("doc_id", "text").unionByName(long)), told)
+    assert more.weights != base.weights
+    again = pairwise_quality.fit(pairwise_quality.measured(docs.repartition(7)), labels)
+    assert np.allclose(again.weights, base.weights, rtol=1e-6, atol=1e-6) and abs(again.cut - base.cut) < 1e-6
