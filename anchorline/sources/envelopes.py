@@ -36,20 +36,27 @@ def parse_envelopes(lines: DataFrame) -> DataFrame:
     Works on batch and streaming frames alike. A row with errors belongs in quarantine.
     """
     schema = "event_type STRING, payload STRUCT<" + ", ".join(f"{c}: STRING" for c in FIELDS) + ">"
-    parsed = lines.select(
-        "value", shape_error(F.col("value")).alias("_shape"), F.from_json("value", schema).alias("_e")
-    ).select("value", "_shape", F.col("_e.event_type").alias("kind"), *[F.col(f"_e.payload.{c}").alias(c) for c in FIELDS])
-    errors = F.when(F.col("_shape").isNotNull(), F.array("_shape"))
-    entity, at = F.lit(None).cast("string"), F.lit(None).cast("string")
-    digest = F.lit(None).cast("string")
+    # Each step is read from a generated row: a filter on the result would otherwise move below the steps and parse the
+    # line anew for every field that it reads.
+    parsed = lines.select("value", F.inline(F.array(F.from_json("value", schema)))).select(
+        "value", F.col("event_type").alias("kind"), *[F.col(f"payload.{c}").alias(c) for c in FIELDS]
+    )
+    written, entity, at, errors = (F.lit(None).cast(t) for t in ("string", "string", "string", "array<string>"))
+    whole = F.lit(False)
     for kind, contract in BY_KIND.items():
         here = F.col("kind") == kind
-        errors = errors.when(here, row_errors(contract))
+        # A missing field is left out of the JSON.
+        whole = whole | (here & reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in contract.payload]))
+        written = F.when(here, canonical_event(kind, {c: F.col(c) for c in contract.payload})).otherwise(written)
+        errors = F.when(here, row_errors(contract)).otherwise(errors)
         entity = F.when(here, F.col(contract.entity)).otherwise(entity)
         if kind != "patient":
             at = F.when(here, arrival(kind)).otherwise(at)
-        digest = F.when(here, F.sha2(canonical_event(kind, {c: F.col(c) for c in contract.payload}), 256)).otherwise(digest)
-    return parsed.select(
-        "value", "kind", entity.alias("entity"), at.alias("at"), *FIELDS,
-        digest.alias("input_hash"), F.coalesce(errors, F.array(F.lit("unknown_kind"))).alias("errors"),
-    )
+    once = parsed.select("*", F.inline(F.array(F.struct(written.alias("_written")))))
+    # A line that reads as its own canonical form has the right shape; only others are looked at field by field.
+    shape = F.when(F.coalesce(whole & (F.col("_written") == F.col("value")), F.lit(False)), None).otherwise(shape_error(F.col("value")))
+    told = once.select("*", F.inline(F.array(F.struct(shape.alias("_shape")))))
+    told = told.select("*", F.inline(F.array(F.struct(
+        F.when(F.col("_shape").isNotNull(), F.array("_shape")).otherwise(F.coalesce(errors, F.array(F.lit("unknown_kind")))).alias("errors")
+    ))))
+    return told.select("value", "kind", entity.alias("entity"), at.alias("at"), *FIELDS, F.sha2("_written", 256).alias("input_hash"), "errors")

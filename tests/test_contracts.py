@@ -210,3 +210,24 @@ def test_sanity_statistics(spark, population):
     assert (row["total_patients"], row["total_encounters"], row["inpatient_encounters"], row["adult_share"]) == (2, 4, 2, 0.5)
     assert (row["first_start"], row["invalid_timestamp_rows"]) == ("2023-01-01T00:00:00Z", 1)
     assert crude_readmission_rate(f["encounters"]).first()["readmitted"] == 1
+
+
+def test_a_line_is_parsed_once_whatever_reads_it(spark):
+    accepted = parse_envelopes(spark.createDataFrame([("{}",)], "value STRING")).filter(F.size("errors") == 0)
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_lines_that_are_not_canonical_are_looked_at_field_by_field(spark):
+    row = {"Id": "p", "BIRTHDATE": "2000-01-01", "DEATHDATE": ""}
+    lacking = {k: v for k, v in row.items() if k != "DEATHDATE"}
+    tight = lambda payload, **more: json.dumps({"event_type": "patient", "payload": payload, **more}, sort_keys=True, separators=(",", ":"))
+    spaced = json.dumps({"payload": row, "event_type": "patient"})
+    lines = {
+        tight(row): [], spaced: [], tight({**row, "BIRTHDATE": ""}): ["format:BIRTHDATE"], tight(lacking): ["wrong_fields"],
+        tight({**row, "DEATHDATE": None}): ["wrong_fields"], tight({**row, "DEATHDATE": 3}): ["wrong_fields"],
+        tight({**row, "X": ""}): ["wrong_fields"], tight(row, x="1"): ["wrong_fields"], "[": ["malformed_json"], "{}": ["unknown_kind"],
+    }
+    got = {r["value"]: r for r in parse_envelopes(spark.createDataFrame([(v,) for v in lines], "value STRING")).collect()}
+    assert {v: r["errors"] for v, r in got.items()} == lines
+    assert got[tight(row)]["input_hash"] == got[spaced]["input_hash"] == hashlib.sha256(tight(row).encode()).hexdigest()
