@@ -215,6 +215,12 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         )
 
 
+def gathered(crowd: DataFrame, length: int) -> DataFrame:
+    """row, h, g, places (start, stop): equal contexts of one text in one row, however often the text repeats them."""
+    place = F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    return crowd.groupBy("row", "h", "g").agg(F.collect_list(place).alias("places"))
+
+
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """row, start, stop: byte ranges made of strings that start anywhere else too; ranges may touch or overlap.
 
@@ -231,9 +237,7 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         crowd.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "pos", "first", "last", "data")).alias("f")),
         "column-kinds",
     )
-    settled = crowd.join(kinds.filter("c > 1").select("h", "g"), ["h", "g"], "left_semi").select(
-        "row", F.col("first").alias("start"), (F.col("last") + length).alias("stop")
-    )
+    settled = gathered(crowd, length).join(kinds.filter("c > 1").select("h", "g"), ["h", "g"], "left_semi").select("row", F.inline("places"))
     cells = stored(
         kinds.select(F.col("h").alias("key"), (F.col("c") == 1).alias("crowded"), "f.row", "f.pos", "f.first", "f.last", "f.data")
         .mapInArrow(partial(_cells, length=length), CONTEXT),

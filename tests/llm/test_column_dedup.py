@@ -49,3 +49,13 @@ def test_long_texts_are_cut_into_pieces_without_seams(docs, monkeypatch):
 
 def test_empty_table(docs):
     assert C.dedup_bytes(docs([])).count() == 0
+
+
+def test_equal_contexts_of_a_text_are_settled_in_one_row(spark, docs, monkeypatch):
+    found = spark.createDataFrame([(1, 7, 8, n, n + 2) for n in range(0, 50, 10)] + [(2, 7, 8, 0, 2)], "row LONG, h LONG, g LONG, first LONG, last LONG")
+    got = {r["row"]: sorted(tuple(p) for p in r["places"]) for r in C.gathered(found, 64).collect()}
+    assert got == {1: [(n, n + 66) for n in range(0, 50, 10)], 2: [(0, 66)]}
+    monkeypatch.setattr(C, "CROWD", 4)
+    draw = random.Random(11)
+    line = "".join(draw.choice("abcdefgh") for _ in range(90)) + "\n"
+    check(docs, [(1, line * 9 + "end"), (2, "x" + line * 3), (3, line), (4, line[:70])], 64)
