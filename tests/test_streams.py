@@ -2,7 +2,7 @@ import hashlib
 import json
 
 import pytest
-from tables import by_id
+from tables import SMALL, by_id
 from pyspark.sql import Row, functions as F
 from test_features import random_population
 
@@ -12,6 +12,7 @@ from anchorline.plans import audit
 from anchorline.plans.cohort import build_cohort
 from anchorline.plans.features import build_features
 from anchorline.plans.labels import label_schedule
+from anchorline.sources import testdata
 from anchorline.sources.envelopes import parse_envelopes, stream_lines, write_envelopes
 from anchorline.sources.logs import (
     EventStore, LabelLog, PredictionLog, ReferenceExists, ReferenceStore, UnscoredDischarge, logged_features, preload,
@@ -283,6 +284,14 @@ def test_segments_and_cursor(spark, population):
     assert due.count() == sum(k > cursor and k[0] <= keys[20][0] for k in keys)
 
 
+def test_a_filter_on_the_instant_does_not_write_it_out_again(spark):
+    events = order.event_stream(testdata.raw_population(spark, SMALL))
+    owned = events.filter(order.owner((("1997-01-01T00:00:00Z", "a"), ("1998-01-01T00:00:00Z", "b")), F.col("at")) == "a")
+    plan = owned.select("kind")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("date_format" in line for line in filters)
+
+
 def test_rows_refused_for_other_reasons_do_not_count_towards_the_cap(spark, population, run):
     for n in range(30):
         population.stay(f"e{n}", "p", f"2024-01-{n % 28 + 1:02d}T00:00:00Z", f"2024-02-{n % 28 + 1:02d}T00:00:00Z")
