@@ -13,10 +13,12 @@ from anchorline.catalog.anchors import ISO
 from anchorline.catalog.evaluation import PAIRS
 from anchorline.catalog.registry import SCORE_SQL, holdout_sql, query
 from anchorline.contracts import COHORT_VERSION, FEATURE_VERSION, FLAGS, MODEL_INPUTS, SIGNAL_BAND, SPLIT_SEED
+from anchorline.functions.hashing import payload_hash
 from anchorline.functions.scalar import iso
 from anchorline.operators import monitor
 from anchorline.operators.joins import keyed_difference, table_difference
 from anchorline.plans import audit
+from anchorline.plans.cohort import classify_encounters
 from anchorline.plans.reference import build_reference
 from anchorline.session import scratch_path
 from anchorline.sources import testdata
@@ -48,31 +50,31 @@ releases AS (
 
 
 def predictions(spark, d):
-    rows = common.scored(spark, d)
-    stays = testdata.raw_population(spark, d)["encounters"]
-    hashes = audit.source_hashes(stays).withColumn("encounter_id", F.col("encounter_id").cast("long"))
-    log = rows.join(hashes, "encounter_id").filter("encounter_id % 10 <> 4").selectExpr(
+    # A stay's hash is made of the row at hand: looking it up would send every encounter through a join for each reader.
+    hashed = lambda df, id, patient: df.withColumn(
+        "input_hash", payload_hash("encounter", testdata.encounter_cells(id, patient, F.lit("inpatient")))
+    )
+    log = hashed(common.scored(spark, d), "encounter_id", "patient_id").filter("encounter_id % 10 <> 4").selectExpr(
         "encounter_id AS prediction_id", "patient_id", "encounter_id", "stop AS event_time",
-        "if(encounter_id % 61 = 2, upper(recomputed_hash), recomputed_hash) AS input_hash", "'readmission-trees' AS model_name",
+        "if(encounter_id % 61 = 2, upper(input_hash), input_hash) AS input_hash", "'readmission-trees' AS model_name",
         "1 + int(encounter_id % 2 = 0) AS model_version", "if(encounter_id % 17 = 0, '1.0.4', '1.1.3') AS feature_version",
         "'1.0.0' AS cohort_version", "if(encounter_id % 31 = 3, score + 0.001D, score) AS score",
     )
-    from anchorline.plans.cohort import classify_encounters
-
     f = common.frames(spark, d)
-    minors = classify_encounters(f["encounters"], f["patients"]).filter("exclusion_reason = 'under_18' AND id % 5 = 0")
-    extra = minors.join(hashes, F.col("id") == F.col("encounter_id")).selectExpr(
+    stays = f["encounters"].filter("encounter_class = 'inpatient' AND id % 5 = 0")
+    minors = classify_encounters(stays, f["patients"]).filter("exclusion_reason = 'under_18'")
+    extra = hashed(minors, "id", "patient").selectExpr(
         "id AS prediction_id", "patient AS patient_id", "id AS encounter_id", "stop AS event_time",
-        "recomputed_hash AS input_hash", "'readmission-trees' AS model_name", "1 AS model_version",
+        "input_hash", "'readmission-trees' AS model_name", "1 AS model_version",
         "'1.1.3' AS feature_version", "'1.0.0' AS cohort_version", "0.5D AS score",
     )
     return log.unionByName(extra)
 
 
 def releases(spark, d):
-    rows = common.scored(spark, d).select("encounter_id", "label", "stop")
-    return predictions(spark, d).join(rows, "encounter_id").filter("encounter_id % 3 <> 0").selectExpr(
-        "prediction_id", "encounter_id", "if(encounter_id % 41 = 5, 1 - label, label) AS label",
+    # Labels are of scored rows only, and a prediction has its encounter's number: those logged are told without a join.
+    return common.scored(spark, d).filter("encounter_id % 10 <> 4 AND encounter_id % 3 <> 0").selectExpr(
+        "encounter_id AS prediction_id", "encounter_id", "if(encounter_id % 41 = 5, 1 - label, label) AS label",
         "stop + INTERVAL 30 DAYS AS due_at",
         "stop + INTERVAL 30 DAYS + make_dt_interval(if(encounter_id % 53 = 7, -2, int(encounter_id % 5))) AS released_at",
     )
@@ -138,7 +140,9 @@ def keyed(spark, d):
 SELECT p.encounter_id FROM predictions p JOIN scored s USING (encounter_id) JOIN hashes h USING (encounter_id)
 WHERE p.score <> s.score OR p.input_hash <> h.h""")
 def acknowledged(spark, d):
-    hashes = audit.source_hashes(testdata.raw_population(spark, d)["encounters"]).selectExpr(
+    # Only inpatient stays are scored, so no other line is hashed.
+    stays = testdata.raw_population(spark, d)["encounters"].filter("ENCOUNTERCLASS = 'inpatient'")
+    hashes = audit.source_hashes(stays).selectExpr(
         "bigint(encounter_id) AS encounter_id", "recomputed_hash AS input_hash"
     )
     acks = common.scored(spark, d).select("encounter_id", "score").join(hashes, "encounter_id")

@@ -6,7 +6,7 @@ the same rows as verbatim text under the export's own column names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from anchorline.functions.scalar import iso
 from anchorline.session import prepare
@@ -112,10 +112,25 @@ def population(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def _text(c: Column | str) -> Column:
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
+
+
+def _instant(c: str) -> Column:
+    return F.coalesce(iso(c), F.lit(""))
+
+
+def encounter_cells(id: str, patient: str, encounter_class: Column) -> dict[str, Column]:
+    """The cells of a stay as text, of a row that has ``start`` and ``stop``."""
+    return {
+        "Id": _text(id), "START": _instant("start"), "STOP": _instant("stop"), "PATIENT": _text(patient),
+        "ENCOUNTERCLASS": _text(encounter_class),
+    }
+
+
 def raw_population(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four tables as text with the export's column names, missing values empty."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    instant = lambda c: F.coalesce(iso(c), F.lit(""))
+    text, instant = _text, _instant
     frames = population(spark, sf_dir)
     return {
         "patients": frames["patients"].select(
@@ -123,8 +138,7 @@ def raw_population(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             text("gender").alias("GENDER"),
         ),
         "encounters": frames["encounters"].select(
-            text("id").alias("Id"), instant("start").alias("START"), instant("stop").alias("STOP"),
-            text("patient").alias("PATIENT"), text("encounter_class").alias("ENCOUNTERCLASS"),
+            *[c.alias(n) for n, c in encounter_cells("id", "patient", F.col("encounter_class")).items()]
         ),
         "medications": frames["medications"].select(
             instant("start").alias("START"), instant("stop").alias("STOP"), text("patient").alias("PATIENT"),

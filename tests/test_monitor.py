@@ -183,3 +183,30 @@ def test_panes_give_the_windows_and_touched_ones_alone_change(spark):
     assert changed and changed <= set(part) and len(part) == ks[1] - ks[0] + 1
     assert all(part[b] == after[b] for b in part)
     assert monitor.touched(new.filter("false"), start, end) is None
+
+
+def test_planted_logs_are_made_without_looking_rows_up(spark):
+    from anchorline.catalog import audits
+
+    joins = lambda df: sum("Join " in line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    # Minors need the birth date of their patient; nothing else is looked up.
+    assert joins(audits.releases(spark, SMALL)) == 0 and joins(audits.predictions(spark, SMALL)) == 1
+
+
+def test_a_log_works_out_what_it_numbers_once(spark, tmp_path, monkeypatch):
+    from anchorline.catalog import audits
+    from anchorline.sources import logs
+
+    plans, number = [], logs.with_row_number
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return number(df, *rest)
+
+    monkeypatch.setattr(logs, "with_row_number", seen)
+    log = logs.PredictionLog(spark, str(tmp_path / "log"))
+    rows = audits._loggable(spark, SMALL)
+    first, again = log.record(rows.filter("bigint(encounter_id) % 2 = 0")), log.record(rows)
+    assert len(plans) == 2 and not any("Aggregate" in p or "Join" in p for p in plans)
+    assert first.count() > 0 and again.count() > 0 and first.count() + again.count() == rows.count() == log.read().count()
+    assert first.agg(F.max("prediction_id")).first()[0] + 1 == again.agg(F.min("prediction_id")).first()[0]
