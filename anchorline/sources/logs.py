@@ -86,13 +86,13 @@ class PredictionLog(ParquetLog):
         log = self.read()
         last = log.agg(F.coalesce(F.max("prediction_id"), F.lit(0)).alias("n")).first()["n"]
         columns = [c for c in log.columns if c not in ("prediction_id", "scored_at")]
-        fresh = first_scores(predictions.select(*columns), log.select("encounter_id"))
+        # Numbering reads its rows four times; they are worked out once.
+        fresh = materialize(first_scores(predictions.select(*columns), log.select("encounter_id")))
         numbered = with_row_number(fresh, ["event_time", "encounter_id"], "prediction_id").withColumns(
             {"prediction_id": F.col("prediction_id") + F.lit(last), "scored_at": F.current_timestamp()}
         ).select(*log.columns)
-        fixed = materialize(numbered)
-        self.append(fixed)
-        return fixed
+        self.append(numbered)
+        return self.read().filter(F.col("prediction_id").between(last + 1, last + fresh.count()))
 
     def all(self) -> DataFrame:
         return self.read().orderBy("prediction_id")
@@ -128,12 +128,12 @@ class LabelLog(ParquetLog):
         if early:
             raise ValueError(f"{early[0]['encounter_id']}: released_at lies before due_at")
         fresh = marked.filter("status = 'new'").drop("status")
+        written = fresh.count()
         numbered = with_row_number(fresh, ["due_at", "encounter_id"], "label_id").withColumns(
             {"label_id": F.col("label_id") + F.lit(last), "recorded_at": F.current_timestamp()}
         ).select(*log.columns)
-        fixed = materialize(numbered)
-        self.append(fixed)
-        return fixed.count()
+        self.append(numbered)
+        return written
 
 
 class ReferenceExists(RuntimeError):
