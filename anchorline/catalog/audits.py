@@ -51,8 +51,9 @@ releases AS (
 
 def predictions(spark, d):
     # A stay's hash is made of the row at hand: looking it up would send every encounter through a join for each reader.
+    start, stop = testdata.instant_text("start"), testdata.instant_text("stop")
     hashed = lambda df, id, patient: df.withColumn(
-        "input_hash", payload_hash("encounter", testdata.encounter_cells(id, patient, F.lit("inpatient")))
+        "input_hash", payload_hash("encounter", testdata.encounter_cells(id, patient, F.lit("inpatient"), start, stop))
     )
     log = hashed(common.scored(spark, d), "encounter_id", "patient_id").filter("encounter_id % 10 <> 4").selectExpr(
         "encounter_id AS prediction_id", "patient_id", "encounter_id", "stop AS event_time",

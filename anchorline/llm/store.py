@@ -2,17 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from anchorline.session import stored
 
-from anchorline.session import scratch_path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    A lost executor then costs no recomputation, later readers share one result, and the optimizer knows the size.
-    The table stays until the owner of the folder removes it.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["stored"]

@@ -35,11 +35,8 @@ def row_key(columns: tuple[str, ...]) -> Column:
 def event_rows(df: DataFrame, contract: TableContract) -> DataFrame:
     """One table as events: at, kind_order, row_key, kind, entity and the contract's payload."""
     leads = contract.kind == "patient"
-    at = F.lit("") if leads else arrival(contract.kind)
-    # The instant is read from a generated row: a filter on it would otherwise move below this step and write it out
-    # for every comparison, until the code of the stage is too long to be compiled.
-    return df.select("*", F.inline(F.array(F.struct(at.alias("_at"))))).select(
-        F.col("_at").alias("at"),
+    return df.select(
+        (F.lit("") if leads else arrival(contract.kind)).alias("at"),
         F.lit(-1 if leads else KIND_ORDER[contract.kind]).alias("kind_order"),
         row_key(contract.payload).alias("row_key"),
         F.lit(contract.kind).alias("kind"),

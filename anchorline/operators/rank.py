@@ -1,18 +1,18 @@
 """Global order without a single task: running totals, row numbers, equal-count bins.
 
 Rows are dealt into ranges of the full sort key, so a value shared by many rows is split by the
-rest of the key. Ranges are frozen: running totals keep them in a checkpoint, row numbers by literal bounds. Each range is then
+rest of the key. Ranges are frozen: running totals keep them in a checkpoint, row numbers in a table. Each range is then
 summed on its own and shifted by the totals of the ranges before it, a table with one row per
 range (and group).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from anchorline.session import materialize
+from anchorline.session import materialize, stored
 
-RANGE = "_range"
+RANGE, PLACE = "_range", "_place"
 
 
 def in_ranges(df: DataFrame, order: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -46,66 +46,30 @@ def running_totals(
     ).drop(RANGE, *[f"{p}{n}" for n in sums for p in ("_w_", "_c_", "_l_")])
 
 
-# Sampled keys for each range, so that ranges come out nearly even.
-KEYS_A_RANGE = 32
-
-
-def splitters(df: DataFrame, order: list[str], ranges: int) -> list[Row]:
-    """Keys that cut the total order into about ``ranges`` even parts, drawn by the hash of the key.
-
-    What is collected grows with the number of ranges, not with the rows: equal keys are one, with a weight.
-    """
-    share = min(1.0, ranges * KEYS_A_RANGE / max(1, df.count()))
-    drawn = df.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # Spark sorts the few keys, so bounds and rows agree on what comes first.
-    keys = drawn.groupBy(*order).agg(F.count("*").alias("_w")).orderBy(*order).collect()
-    whole, step, seen, found = sum(r["_w"] for r in keys), 0, 0, []
-    for r in keys:
-        seen += r["_w"]
-        if seen * ranges > (step + 1) * whole and len(found) < ranges - 1:
-            found.append(r)
-            step = seen * ranges // whole
-    return found
-
-
-def range_of(df: DataFrame, order: list[str], bounds: list[Row]) -> Column:
-    """The number of bounds at or below a row's key, as a search tree of comparisons: a plain, repeatable expression."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key = F.struct(*order)
-    cells = [F.struct(*[F.lit(b[c]).cast(types[c]).alias(c) for c in order]) for b in bounds]
-
-    def between(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < cells[middle], between(low, middle)).otherwise(between(middle + 1, high))
-
-    return between(0, len(cells))
-
-
 def with_row_number(
     df: DataFrame, order: list[str], name: str = "row_number", groups: list[str] | None = None, total: str | None = None
 ) -> DataFrame:
     """A gap-free position from 1 in the total order, per group; ``total`` names the group size.
 
-    Without groups the ranges are literal bounds: rows are counted by range, and then cross one exchange to be numbered
-    within it. Nothing is written down, since the same rows fall into the same ranges whenever they are read.
+    Without groups the rows cross one exchange into ranges of the order, are sorted there and written down with their
+    place in the range. Ranges are then counted from what is written, so the rows themselves are worked out once.
     """
     if groups:
         out = running_totals(df, order, {"_n": F.lit(1)}, groups)
         out = out.withColumnRenamed("_n_upto", name)
         return out.withColumnRenamed("_n_all", total) if total else out.drop("_n_all")
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.withColumn(RANGE, range_of(df, order, splitters(df, order, ranges)))
+    # The low 33 bits of the increasing id are the position in the partition, which is one range.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(ranged.withColumns({RANGE: F.spark_partition_id(), PLACE: place}), "numbered")
     # One number a range.
-    counts = {r[RANGE]: r["n"] for r in tagged.groupBy(RANGE).agg(F.count("*").alias("n")).collect()}
+    counts = {r[RANGE]: r["n"] for r in placed.groupBy(RANGE).agg(F.count("*").alias("n")).collect()}
     starts, at = [], 0
     for n in range(1 + max(counts, default=-1)):
         starts.append(at)
         at += counts.get(n, 0)
-    inside = Window.partitionBy(RANGE).orderBy(*order)
     start = F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col(RANGE)) if starts else F.lit(0).cast("long")
-    out = tagged.withColumn(name, start + F.row_number().over(inside)).drop(RANGE)
+    out = placed.withColumn(name, start + F.col(PLACE) + 1).drop(RANGE, PLACE)
     return out.withColumn(total, F.lit(at).cast("long")) if total else out
 
 

@@ -116,32 +116,41 @@ def _text(c: Column | str) -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
-def _instant(c: str) -> Column:
+def instant_text(c: str) -> Column:
     return F.coalesce(iso(c), F.lit(""))
 
 
-def encounter_cells(id: str, patient: str, encounter_class: Column) -> dict[str, Column]:
-    """The cells of a stay as text, of a row that has ``start`` and ``stop``."""
-    return {
-        "Id": _text(id), "START": _instant("start"), "STOP": _instant("stop"), "PATIENT": _text(patient),
-        "ENCOUNTERCLASS": _text(encounter_class),
-    }
+def encounter_cells(id: str, patient: str, encounter_class: Column, start: Column, stop: Column) -> dict[str, Column]:
+    """The cells of a stay as text; ``start`` and ``stop`` are text already."""
+    return {"Id": _text(id), "START": start, "STOP": stop, "PATIENT": _text(patient), "ENCOUNTERCLASS": _text(encounter_class)}
+
+
+def _with_instants(df: DataFrame) -> DataFrame:
+    """``_start`` and ``_stop`` as text, read from a generated row.
+
+    Whatever compares, sorts or filters by an instant would otherwise write it out once more for each mention, until the
+    code of the stage is too long to be compiled.
+    """
+    return df.select("*", F.inline(F.array(F.struct(instant_text("start").alias("_start"), instant_text("stop").alias("_stop")))))
 
 
 def raw_population(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The four tables as text with the export's column names, missing values empty."""
-    text, instant = _text, _instant
+    text = _text
     frames = population(spark, sf_dir)
+    for name in ("encounters", "medications"):
+        frames[name] = _with_instants(frames[name])
+    start, stop = F.col("_start"), F.col("_stop")
     return {
         "patients": frames["patients"].select(
             text("id").alias("Id"), text("birthdate").alias("BIRTHDATE"), text("deathdate").alias("DEATHDATE"),
             text("gender").alias("GENDER"),
         ),
         "encounters": frames["encounters"].select(
-            *[c.alias(n) for n, c in encounter_cells("id", "patient", F.col("encounter_class")).items()]
+            *[c.alias(n) for n, c in encounter_cells("id", "patient", F.col("encounter_class"), start, stop).items()]
         ),
         "medications": frames["medications"].select(
-            instant("start").alias("START"), instant("stop").alias("STOP"), text("patient").alias("PATIENT"),
+            start.alias("START"), stop.alias("STOP"), text("patient").alias("PATIENT"),
             text("encounter").alias("ENCOUNTER"), text("code").alias("CODE"),
         ),
         "conditions": frames["conditions"].select(

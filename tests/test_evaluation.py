@@ -238,3 +238,14 @@ def test_split_and_sample_depend_on_ids_only(spark):
 def test_ece_of_a_perfect_score(spark):
     df = spark.createDataFrame([(i, float(i % 2), i % 2) for i in range(40)], "encounter_id INT, score DOUBLE, label INT")
     assert calibration_error(calibration(df, "encounter_id")).first()["ece"] == 0.0
+
+
+def test_row_numbers_are_written_once_and_read_without_another_exchange(spark):
+    df = spark.range(1000).selectExpr("id", "int(id * 7919 % 13) AS score")
+    ranked = with_row_number(df, ["score", "id"], "r", total="n")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan or "FileScan" in plan
+    assert "Exchange" not in plan and "Window" not in plan
+    rows = ranked.orderBy("r").collect()
+    assert [r["r"] for r in rows] == list(range(1, 1001)) and {r["n"] for r in rows} == {1000}
+    assert [(r["score"], r["id"]) for r in rows] == sorted((r["score"], r["id"]) for r in rows)
