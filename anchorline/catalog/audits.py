@@ -20,7 +20,7 @@ from anchorline.operators.joins import keyed_difference, table_difference
 from anchorline.plans import audit
 from anchorline.plans.cohort import classify_encounters
 from anchorline.plans.reference import build_reference
-from anchorline.session import scratch_path
+from anchorline.session import materialize, scratch_path
 from anchorline.sources import testdata
 from anchorline.sources.logs import LabelLog, PredictionLog, logged_features
 
@@ -528,10 +528,13 @@ statistics AS (SELECT boundary, 'psi:' || signal AS signal, psi AS statistic FRO
 
 
 def _statistics(spark, d):
-    ref, seen = reference(spark, d), live(spark, d)
+    # Both samples are counted once, and every statistic reads the counts.
+    rows = reference(spark, d)
+    ref = materialize(rows.groupBy("signal", "value").agg(F.count("*").alias("n")))
+    seen = materialize(live(spark, d))
     flags = F.col("signal").isin(*FLAGS)
     return monitor.all_statistics(
-        monitor.stability_index(ref, seen, monitor.decile_edges(ref)), monitor.ks_two_sample(ref, seen),
+        monitor.stability_index(ref, seen, monitor.decile_edges(rows)), monitor.ks_two_sample(ref, seen),
         monitor.proportion_tests(ref.filter(flags), seen.filter(flags)),
         monitor.realized_by_boundary(predictions(spark, d), releases(spark, d), START, END), FLOOR,
     )

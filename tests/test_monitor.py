@@ -210,3 +210,10 @@ def test_a_log_works_out_what_it_numbers_once(spark, tmp_path, monkeypatch):
     assert len(plans) == 2 and not any("Aggregate" in p or "Join" in p for p in plans)
     assert first.count() > 0 and again.count() > 0 and first.count() + again.count() == rows.count() == log.read().count()
     assert first.agg(F.max("prediction_id")).first()[0] + 1 == again.agg(F.min("prediction_id")).first()[0]
+
+
+def test_samples_are_counted_once_for_all_statistics(spark):
+    from anchorline.catalog import audits
+
+    plan = audits._statistics(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(array(" not in plan
