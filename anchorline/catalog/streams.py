@@ -227,7 +227,8 @@ SELECT {B} AS boundary, coalesce(n, 0) AS count, round(auroc, 9) AS auroc FROM w
 def stream_realized(spark, d):
     from anchorline.session import materialize
 
-    log, labels = materialize(predictions(spark, d)), materialize(releases(spark, d))
+    # Only what the windows read is kept of the log.
+    log, labels = materialize(predictions(spark, d).select("prediction_id", "event_time", "score")), materialize(releases(spark, d))
     released = labels.join(log.select("prediction_id", "event_time"), "prediction_id").select("prediction_id", "event_time", "released_at")
     out = scratch_path(spark, "realized")
     monitoring.run_available(
