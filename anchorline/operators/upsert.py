@@ -42,6 +42,21 @@ def compare_to_stored(incoming: DataFrame, stored: DataFrame, key: list[str]) ->
     )
 
 
+def new_rows(incoming: DataFrame, stored: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
+    """The rows of a batch to append: the first arrival of every key that is not stored."""
+    values = [c for c in incoming.columns if c not in key and c not in seq]
+    first = first_per_key(incoming, key, seq).select(*key, *values, *seq)
+    return missing_rows(first, stored, key)
+
+
+def conflicts_with(incoming: DataFrame, stored: DataFrame, new: DataFrame, key: list[str], seq: list[str]) -> DataFrame:
+    """Rows of a batch that contradict what is stored or the batch's own ``new_rows``."""
+    values = [c for c in incoming.columns if c not in key and c not in seq]
+    known = stored.select(*key, *values).unionByName(new.select(*key, *values))
+    compared = compare_to_stored(incoming.select(*key, *values), known, key)
+    return compared.filter(F.col("status") == "conflict").drop("status").distinct()
+
+
 def record_batch(
     incoming: DataFrame, stored: DataFrame, key: list[str], seq: list[str]
 ) -> tuple[DataFrame, DataFrame]:
@@ -50,13 +65,8 @@ def record_batch(
     Within the batch the first arrival stands too; a later, different row of the same key is a
     conflict against it.
     """
-    values = [c for c in incoming.columns if c not in key and c not in seq]
-    first = first_per_key(incoming, key, seq).select(*key, *values, *seq)
-    new = missing_rows(first, stored, key)
-    known = stored.select(*key, *values).unionByName(new.select(*key, *values))
-    compared = compare_to_stored(incoming.select(*key, *values), known, key)
-    conflicts = compared.filter(F.col("status") == "conflict").drop("status").distinct()
-    return new, conflicts
+    new = new_rows(incoming, stored, key, seq)
+    return new, conflicts_with(incoming, stored, new, key, seq)
 
 
 def mark_within_cap(
@@ -82,7 +92,8 @@ def mark_within_cap(
     cuts = summed.filter(F.col("_upto") > room).groupBy(F.col(entity).alias("_over")).agg(
         F.min(F.struct("_slice", F.greatest(F.lit(0), room - F.col("_upto") + F.col("_n")).alias("room"))).alias("_cut")
     )
-    looked = lambda how: events.withColumn("_at", at).join(cuts, F.col(entity) == F.col("_over"), how)
+    # One row an entity at most is held in memory; events pass by it unsorted.
+    looked = lambda how: events.withColumn("_at", at).join(cuts.hint("shuffle_hash"), F.col(entity) == F.col("_over"), how)
     # A missing instant comes first in every order.
     earlier = F.when(F.col("_over").isNull(), True).when(F.col("_cut._slice").isNull(), False).otherwise(
         F.coalesce(F.col("_at") < F.col("_cut._slice"), F.lit(True))

@@ -8,7 +8,7 @@ from anchorline.contracts import TABLES, TableContract
 from anchorline.operators.joins import missing_rows
 from anchorline.operators.order import arrival
 from anchorline.operators.rank import with_row_number
-from anchorline.operators.upsert import record_batch
+from anchorline.operators.upsert import conflicts_with, new_rows
 from anchorline.operators.validate import with_errors
 from anchorline.session import materialize
 
@@ -201,21 +201,25 @@ class EventStore:
         New rows stay although others conflict. Recording a batch again changes nothing. Rows of
         a batch carry no order, so of two that contradict each other the smaller one stands.
         """
+        return self._append(name, materialize(rows.select(*TABLES[name].payload)))
+
+    def _append(self, name: str, rows: DataFrame) -> tuple[int, DataFrame]:
+        """``record`` of rows that are read from a table or a checkpoint."""
         contract = TABLES[name]
         key = [PART, *contract.key]
-        incoming = materialize(rows.select(*contract.payload).withColumn(PART, self.part(contract)))
+        incoming = rows.select(*contract.payload).withColumn(PART, self.part(contract))
         # At most one value per bucket or calendar month, so the scan is pruned by a plain filter.
         parts = [r[0] for r in incoming.select(PART).distinct().collect()]
         stored = self.table(name).filter(F.col(PART).isin(*parts))
         values = [c for c in contract.payload if c not in contract.key]
-        if values:
-            ordered = incoming.withColumns({f"_seq_{c}": F.col(c) for c in values})
-            new, conflicts = record_batch(ordered, stored, key, [f"_seq_{c}" for c in values])
-            conflicts = materialize(conflicts)
-        else:
-            new = missing_rows(incoming.distinct(), stored, key)
-            conflicts = self.spark.createDataFrame([], "differing ARRAY<STRING>")
+        seq = [f"_seq_{c}" for c in values]
+        ordered = incoming.withColumns(dict(zip(seq, map(F.col, values), strict=True))) if values else incoming.distinct()
+        new = new_rows(ordered, stored, key, seq) if values else missing_rows(ordered, stored, key)
+        # Worked out once: the conflicts, the files and the count all read it.
         fixed = materialize(new.select(*contract.payload, PART))
+        conflicts = self.spark.createDataFrame([], "differing ARRAY<STRING>")
+        if values:
+            conflicts = materialize(conflicts_with(ordered, stored, fixed, key, seq))
         # Files are gathered per partition; a partition that takes most of the batch is split.
         fixed.hint("rebalance", PART).write.mode("append").partitionBy(PART).parquet(f"{self.path}/{name}")
         return fixed.count(), conflicts
@@ -231,10 +235,10 @@ def preload(store: EventStore, raw: dict[str, DataFrame], before: str | None = N
     for name, df in raw.items():
         contract = TABLES[name]
         checked = materialize(with_errors(df, contract).select(*contract.payload, F.size("errors").alias("_errors")))
-        good = checked.filter(F.col("_errors") == 0)
-        due = good if before is None or contract.kind == "patient" else good.filter(arrival(contract.kind) < before)
-        total, well, here = checked.count(), good.count(), due.count()
-        loaded, conflicts = store.record(name, due)
+        good = F.col("_errors") == 0
+        now = good if before is None or contract.kind == "patient" else good & (arrival(contract.kind) < before)
+        total, well, here = checked.agg(F.count("*"), F.count_if(good), F.count_if(now)).first()
+        loaded, conflicts = store._append(name, checked.filter(now))
         clashing = conflicts.count()
         out.append((contract.kind, loaded, here - loaded - clashing, clashing, total - well, well - here))
     return store.spark.createDataFrame(

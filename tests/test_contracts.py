@@ -231,3 +231,11 @@ def test_lines_that_are_not_canonical_are_looked_at_field_by_field(spark):
     got = {r["value"]: r for r in parse_envelopes(spark.createDataFrame([(v,) for v in lines], "value STRING")).collect()}
     assert {v: r["errors"] for v, r in got.items()} == lines
     assert got[tight(row)]["input_hash"] == got[spaced]["input_hash"] == hashlib.sha256(tight(row).encode()).hexdigest()
+
+
+def test_the_row_cap_does_not_sort_events_to_look_up_their_limit(spark):
+    from anchorline.operators.upsert import mark_within_cap
+
+    events = spark.range(100).selectExpr("id % 3 AS entity", "string(id) AS at")
+    plan = mark_within_cap(events, entity="entity", order=["at"], limit=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=shuffle_hash") == 2

@@ -417,3 +417,19 @@ def test_an_outcome_carries_the_hash_of_its_line(spark, population, run):
     want = {hashlib.sha256(r["value"].encode()).hexdigest() for r in lines.collect()}
     assert {r["input_hash"] for r in run(lines).collect()} == want
     assert dict(arrival.handler_rows(parse_envelopes(lines)).dtypes)["input_hash"] == "binary"
+
+
+def test_a_batch_is_told_apart_once(spark, population, tmp_path, monkeypatch):
+    from anchorline.sources import logs
+
+    plans, compare = [], logs.conflicts_with
+
+    def seen(incoming, stored, new, *rest):
+        plans.append(new._jdf.queryExecution().optimizedPlan().toString())
+        return compare(incoming, stored, new, *rest)
+
+    monkeypatch.setattr(logs, "conflicts_with", seen)
+    population.patient("p").stay("e", "p", "2024-01-01T00:00:00Z", "")
+    store = EventStore(spark, str(tmp_path / "state"))
+    assert store.record("encounters", population.raw(spark)["encounters"])[0] == 1
+    assert plans and not any("Aggregate" in p or "Join" in p for p in plans)
