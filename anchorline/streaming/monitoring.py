@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 from anchorline.operators.monitor import SPAN_DAYS, STEP_DAYS, grid, realized_by_boundary, touched
 from anchorline.operators.order import Switches, spliced
 from anchorline.sources.logs import ParquetLog, first_scores
+from anchorline.streaming.ingest import PARTS
 
 _DAY = 86_400
 
@@ -87,14 +88,12 @@ def realized_table(spark: SparkSession, path: str, start: str, end: str) -> Data
     return grid(spark, start, end).select("boundary").join(written, "boundary", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def state_rows(spark: SparkSession, checkpoint: str, lists: tuple[str, ...]) -> DataFrame:
-    """name, n_rows: how many rows the list variables of a stopped query's state hold over all keys."""
-    out = None
-    for name in lists:
-        held = spark.read.format("statestore").option("stateVarName", name).option("flattenCollectionTypes", "true").load(checkpoint)
-        row = held.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
-        out = row if out is None else out.unionByName(row)
-    return out
+def state_rows(spark: SparkSession, checkpoint: str, parts: tuple[str, ...]) -> DataFrame:
+    """name, n_rows: how many entries of each part (see ``PARTS``) a stopped query's state holds over all keys."""
+    held = spark.read.format("statestore").option("stateVarName", "entries").option("flattenCollectionTypes", "true").load(checkpoint)
+    what = held.select(F.explode("list_element.what").alias("what"))
+    counts = [F.struct(F.lit(p).alias("name"), F.count_if(F.col("what").isin(*PARTS[p])).alias("n_rows")) for p in parts]
+    return what.agg(F.array(*counts).alias("parts")).select(F.inline("parts"))
 
 
 def run_available(stream: DataFrame, checkpoint: str, *, path: str | None = None, handler=None, mode: str = "append") -> None:

@@ -404,6 +404,42 @@ def test_a_new_patient_costs_one_read_of_state():
     assert [r.outcome for r in patient.handleInputRows(("p",), iter([person]), state)] == ["duplicate"]
 
 
+class Held(Recorded):
+    """State whose variables can be read."""
+
+    def __init__(self):
+        super().__init__()
+        self.held = {}
+
+    def variable(self, name):
+        return self.held.setdefault(name, super().variable(name))
+
+    def blocks(self):
+        return list(self.held["entries"].get())
+
+
+def test_a_patient_keeps_all_lists_in_one_and_many_entries_a_row():
+    state = Held()
+    patient = arrival.PatientState(expiring=True)
+    patient.init(state)
+    day = 86_400_000_000
+    names = (*arrival.EVENT, "kind_order", "at_us", "encounter_id")
+    course = lambda n: Row(*names)(
+        "p", "medication", f"{n:05d}", "k", f"medication|{n}", "h", n * day, (n + 5) * day, None, None, None, False, 0, "x", 2, n * day, None
+    )
+    state.now = 0
+    assert len(list(patient.handleInputRows(("p",), map(course, range(1, 1201)), state))) == 1200
+    assert [c for c in state.calls if c.startswith("entries.")] == ["entries.appendList"]
+    assert [len(b[0]) for b in state.blocks()] == [1000, 1000, 400]
+    state.now, state.calls[:] = 1100 * day // 1000, []
+    assert list(patient.handleExpiredTimer(("p",), state, None)) == []
+    assert state.calls == ["entries.get", "entries.put", "person.get", "timer", "person.update"]
+    # Keys from the watermark on, and courses that end behind it.
+    (block,) = state.blocks()
+    assert sorted(block[0]) == [arrival.History.COURSE] * 105 + [arrival.SEEN] * 101
+    assert [r.outcome for r in patient.handleInputRows(("p",), map(course, (1099, 1100, 1201)), state)] == ["late", "duplicate", "stored"]
+
+
 def test_a_refused_row_carries_its_payload(spark, population, run):
     population.stay("e=1", "p", "2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", "say \"a=b\"")
     body = run(write_envelopes({"encounters": population.raw(spark)["encounters"]})).first()["body"]
