@@ -19,7 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.llm.phrase_index import row_key
 from anchorline.llm.store import stored
@@ -221,6 +221,14 @@ def gathered(crowd: DataFrame, length: int) -> DataFrame:
     return crowd.groupBy("row", "h", "g").agg(F.collect_list(place).alias("places"))
 
 
+def runs_of(places: str) -> Column:
+    """The maximal runs of places (start, stop) of one size: sorted, their stops ascend with their starts."""
+    return F.expr(f"""transform(array(array_sort({places})), s -> zip_with(
+        filter(s, (p, i) -> coalesce(p.start > get(s, i - 1).stop, true)),
+        filter(s, (p, i) -> coalesce(get(s, i + 1).start > p.stop, true)),
+        (a, b) -> struct(a.start AS start, b.stop AS stop)))[0]""")
+
+
 def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
     """row, start, stop: byte ranges made of strings that start anywhere else too; ranges may touch or overlap.
 
@@ -237,7 +245,8 @@ def repeated_ranges(docs: DataFrame, length: int) -> DataFrame:
         crowd.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "pos", "first", "last", "data")).alias("f")),
         "column-kinds",
     )
-    settled = gathered(crowd, length).join(kinds.filter("c > 1").select("h", "g"), ["h", "g"], "left_semi").select("row", F.inline("places"))
+    # An inner join, since a semi join would be moved below the gathering; a kind is there once.
+    settled = gathered(crowd, length).join(kinds.filter("c > 1").select("h", "g"), ["h", "g"]).select("row", F.inline(runs_of("places")))
     cells = stored(
         kinds.select(F.col("h").alias("key"), (F.col("c") == 1).alias("crowded"), "f.row", "f.pos", "f.first", "f.last", "f.data")
         .mapInArrow(partial(_cells, length=length), CONTEXT),

@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from anchorline.llm import column_dedup as C
 
 
@@ -59,3 +61,21 @@ def test_equal_contexts_of_a_text_are_settled_in_one_row(spark, docs, monkeypatc
     draw = random.Random(11)
     line = "".join(draw.choice("abcdefgh") for _ in range(90)) + "\n"
     check(docs, [(1, line * 9 + "end"), (2, "x" + line * 3), (3, line), (4, line[:70])], 64)
+
+
+def test_repeats_cross_the_join_gathered_and_leave_it_as_runs(spark, docs, monkeypatch):
+    plans = {}
+
+    def seen(df, name, keep=C.stored):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        return keep(df, name)
+
+    monkeypatch.setattr(C, "stored", seen)
+    monkeypatch.setattr(C, "CROWD", 4)
+    line = "".join(random.Random(12).choice("abcdefgh") for _ in range(90)) + "\n"
+    check(docs, [(1, line * 9 + "end"), (2, "x" + line * 3), (3, line)], 64)
+    # The join that settles copies stands above the gathering, so it sees a text's equal contexts once.
+    depth = {word: [len(t) - len(t.lstrip(" :+-")) for t in plans["column-ranges"] if word in t] for word in ("Join Inner", "collect_list")}
+    assert min(depth["Join Inner"], default=99) < min(depth["collect_list"])
+    places = spark.createDataFrame([([(30, 40), (0, 10), (5, 15), (15, 25), (0, 10)],)], "places ARRAY<STRUCT<start: INT, stop: INT>>")
+    assert [tuple(r) for r in places.select(F.inline(C.runs_of("places"))).collect()] == [(0, 25), (30, 40)]
