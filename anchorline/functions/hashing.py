@@ -8,10 +8,11 @@ from pyspark.sql import Column, functions as F
 REKEY_NAMESPACE = "6f3c2f0e-9d3b-4c6a-8f1e-2b7a9c4d5e61"
 
 
-def canonical_event(kind: str, payload: dict[str, Column]) -> Column:
+def canonical_event(kind: str | Column, payload: dict[str, Column]) -> Column:
     """The event as JSON with sorted keys, no spaces and UTF-8 text."""
     fields = [payload[name].alias(name) for name in sorted(payload)]
-    return F.to_json(F.struct(F.lit(kind).alias("event_type"), F.struct(*fields).alias("payload")))
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.to_json(F.struct(kind.alias("event_type"), F.struct(*fields).alias("payload")))
 
 
 def payload_hash(kind: str, payload: dict[str, Column]) -> Column:

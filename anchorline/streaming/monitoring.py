@@ -91,8 +91,9 @@ def realized_table(spark: SparkSession, path: str, start: str, end: str) -> Data
 def state_rows(spark: SparkSession, checkpoint: str, parts: tuple[str, ...]) -> DataFrame:
     """name, n_rows: how many entries of each part (see ``PARTS``) a stopped query's state holds over all keys."""
     held = spark.read.format("statestore").option("stateVarName", "entries").option("flattenCollectionTypes", "true").load(checkpoint)
-    what = held.select(F.explode("list_element.what").alias("what"))
-    counts = [F.struct(F.lit(p).alias("name"), F.count_if(F.col("what").isin(*PARTS[p])).alias("n_rows")) for p in parts]
+    # A byte an entry.
+    what = held.select(F.explode(F.regexp_extract_all(F.hex("list_element.what"), F.lit("(..)"))).alias("what"))
+    counts = [F.struct(F.lit(p).alias("name"), F.count_if(F.col("what").cast("int").isin(*PARTS[p])).alias("n_rows")) for p in parts]
     return what.agg(F.array(*counts).alias("parts")).select(F.inline("parts"))
 
 

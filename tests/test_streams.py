@@ -469,3 +469,84 @@ def test_a_batch_is_told_apart_once(spark, population, tmp_path, monkeypatch):
     store = EventStore(spark, str(tmp_path / "state"))
     assert store.record("encounters", population.raw(spark)["encounters"])[0] == 1
     assert plans and not any("Aggregate" in p or "Join" in p for p in plans)
+
+
+def packed(entity, kind, *fields, bits=0):
+    return Row("bucket", "event")(7, arrival.SEPARATOR.join([entity, kind, "0", str(bits), *fields]))
+
+
+def test_patients_of_a_bucket_cost_its_calls_once():
+    state = Held()
+    patients = arrival.BucketState(expiring=True)
+    patients.init(state)
+    state.now = 0
+    born = [packed(f"p{n}", "patient", "1960-01-01", "") for n in range(50)]
+    courses = [packed(f"p{n}", "medication", "m", "e", f"2020-01-{d:02d}T00:00:00Z", f"2020-01-{d + 1:02d}T00:00:00Z") for n in range(50) for d in (1, 2)]
+    rows = list(patients.handleInputRows((7,), iter(courses + born), state))
+    assert sorted((r.entity, len(r.results)) for r in rows) == sorted((f"p{n}", 3) for n in range(50))
+    assert state.calls == ["entries.get", "entries.appendList", "timer"] and len(state.timers) == 1
+    # A later batch reads what it needs, writes what is new, and the timer stands.
+    state.calls[:] = []
+    (row,) = patients.handleInputRows((7,), iter([courses[0], packed("p0", "medication", "n", "e", "2020-01-03T00:00:00Z", "")]), state)
+    assert sorted(r.split(arrival.SEPARATOR)[0] for r in row.results) == ["duplicate", "stored"]
+    assert state.calls == ["entries.get", "entries.appendList"] and len(state.blocks()) == 51
+    # What is due is dropped for all of them at once.
+    day = 86_400_000
+    (first,), state.now, state.calls[:] = state.timers, 18_264 * day, []
+    assert first == 18_262 * day + 1
+    state.timers.clear()
+    assert list(patients.handleExpiredTimer((7,), state, None)) == []
+    assert state.calls == ["entries.get", "entries.put", "timer"] and len(state.blocks()) == 50 and len(state.timers) == 1
+
+
+def test_a_bucket_reads_its_part_of_a_log_in_one_row():
+    state = Held()
+    patients = arrival.BucketState()
+    patients.init(state)
+    logged = [{"entity": p, "encounter_id": f"e{n}", "at_us": n} for p in "pq" for n in range(3)]
+    patients.handleInitialState((7,), Row(logged=logged), state)
+    assert [b[0] for b in state.blocks()] == ["p", "q"]
+    stay = lambda n: packed("p", "encounter", "inpatient", f"e{n}", "2020-01-01T00:00:00Z", "2020-01-02T00:00:00Z")
+    (row,) = patients.handleInputRows((7,), iter([packed("p", "patient", "1960-01-01", ""), stay(1), stay(5)]), state)
+    told = [r.split(arrival.SEPARATOR) for r in row.results]
+    assert [(t[0], t[2]) for t in told] == [("stored", "patient|p"), ("stored", "encounter|e1"), ("discharge", "encounter|e5")]
+
+
+def test_packed_events_read_as_the_rows_they_are_made_of(spark, population):
+    random_population(population, 23, patients=3)
+    population.patient("q", "1931-02-28", "1999-12-31").stay("open", "q", "0099-03-01T23:59:58Z", "").diagnosis("q", "2020-02-29", "", "44054006")
+    rows = arrival.handler_rows(parse_envelopes(write_envelopes(population.raw(spark))))
+    want = {r["prints"]: r for r in rows.collect()}
+    same = [c for c in arrival.EVENT if c not in ("row_key", "input_hash")]
+    got = [arrival.unpacked(r["event"]) for r in arrival.packed_events(rows).collect()]
+    assert len(got) == rows.count() and {r.kind for r in got} == {"patient", "encounter", "medication", "condition"}
+    assert all(getattr(r, c) == want[r.prints][c] for r in got for c in same)
+    # Ties are broken alike.
+    by_row = sorted(want.values(), key=lambda r: (r["kind"], r["entity"], r["row_key"]))
+    assert by_row == sorted(want.values(), key=lambda r: (r["kind"], r["entity"], r["prints"]))
+
+
+def test_only_packed_events_are_shuffled(spark, population):
+    population.patient("p").course("p", "2024-01-01T00:00:00Z")
+    lines = write_envelopes(population.raw(spark))
+    events = arrival.packed_events(arrival.handler_rows(parse_envelopes(lines)))
+    assert events.columns == ["bucket", "event"]
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    # Hashes of lines and of fields take most room and are not needed to keep state.
+    assert "sha2" not in plan and "hex(" not in plan
+
+
+def test_state_takes_little_room():
+    rows = [
+        (arrival.SEEN, n * 86_400_000_000, None, f"medication|{n // 5}|{n * 7919 % 20_000}|2020-01-{n % 28 + 1:02d}T00:00:00Z|",
+         arrival.SEPARATOR.join([str(n * 7919 % 20_000), str(n // 5), f"2020-01-{n % 28 + 1:02d}T00:00:00Z", ""]))
+        for n in range(2500)
+    ]
+    held = arrival.blocks(rows)
+    assert [len(b[0]) for b in held] == [1000, 1000, 500]
+    assert sum(len(part) for b in held for part in b) < 40 * len(rows)
+
+    class State:
+        get = staticmethod(lambda: iter(held))
+
+    assert list(arrival.entries_of(State)) == rows
